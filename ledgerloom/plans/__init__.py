@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["experience"]
+FAMILIES = ["experience", "reserves", "pricing"]
 
 
 def load_queries():
