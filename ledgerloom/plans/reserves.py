@@ -47,7 +47,7 @@ _np = f"""SELECT p.*, face_amount * CASE WHEN product_type = 'Term' THEN (x.big_
 @query(
     "R5",
     duck("policies", """SELECT policy_id, pv_benefits, pv_annuity, pv_benefits / pv_annuity AS net_premium, pv_benefits / pv_annuity / face_amount * 1000 AS premium_per_1000 FROM np""", lt=LT, np=_np),
-    r6="pv_benefits net_premium pv_annuity premium_per_1000",
+    r4="pv_benefits net_premium", r6="pv_annuity premium_per_1000",
 )
 def net_level_premiums(spark, d):
     return rs.net_premiums(cn.policies(spark, d), rs.life_table(spark)).select("policy_id", "pv_benefits", "pv_annuity", "net_premium", "premium_per_1000")
@@ -61,7 +61,7 @@ _pr = f"""SELECT p.*, greatest(0, lv) AS net_level_reserve, greatest(0, lv * gre
 @query(
     "R6",
     duck("policies", "SELECT policy_id, net_level_reserve, modified_reserve, surrender_value FROM pr", lt=LT, pr=_pr),
-    r6="net_level_reserve modified_reserve surrender_value",
+    r4="net_level_reserve modified_reserve surrender_value",
 )
 def prospective_reserves(spark, d):
     return rs.prospective_reserves(cn.policies(spark, d), rs.life_table(spark)).select(
