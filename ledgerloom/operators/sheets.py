@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import attach, own_rows, with_neighbours
+from ..session import cut_lineage
+from .skew import attach, hot_keys, own_rows, with_neighbours
 
 # Words and patterns that mark junk.
 KEYWORDS = {
@@ -85,35 +86,56 @@ def content_features(rows: DataFrame) -> DataFrame:
     n = F.greatest(F.length(text), F.lit(1))
     weighted = reduce(lambda a, b: a + b, [F.regexp_count(low, F.lit(p)) * F.lit(w) for p, w in CONTEXT_PATTERNS])
     matches = reduce(lambda a, b: a + b, [F.regexp_count(low, F.lit(p)) for p, _ in CONTEXT_PATTERNS])
-    return rows.withColumn("_filled", filled).withColumns(
+    # A cell can only hold a number, a date or a keyword if its line does: most lines skip the per-cell tests.
+    first = {
+        "_filled": filled,
+        "keyword_hits": reduce(lambda a, b: a + b, [hits(low, ws) for ws in KEYWORDS.values()]),
+        "_digits": text.rlike("[0-9]"),
+    }
+    size = F.size("_filled")
+    return rows.withColumns(first).withColumns(
         {
-            "non_null": F.size("_filled"),
+            "non_null": size,
             "text_length": F.length(text),
-            "numeric_count": F.size(F.filter("_filled", is_number)),
-            "date_count": F.size(F.filter("_filled", lambda c: c.rlike(DATE_PATTERN))),
+            "numeric_count": F.when(F.col("_digits"), F.size(F.filter("_filled", is_number))).otherwise(0),
+            "date_count": F.when(F.col("_digits"), F.size(F.filter("_filled", lambda c: c.rlike(DATE_PATTERN)))).otherwise(0),
             "specials": F.regexp_count(text, F.lit(r"[^\p{L}\p{N}_\s]")),
             "caps_ratio": F.regexp_count(text, F.lit(r"\p{Lu}")) / n,
-            "space_ratio": F.regexp_count(text, F.lit(" ")) / n,
+            "space_ratio": (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))) / n,
             "unique_tokens": F.size(F.array_distinct(F.filter(F.split(low, r"\s+"), lambda t: t != ""))),
             "repeats": F.regexp_count(text, F.lit(r"(.)\1{2,}")),
-            "keyword_hits": reduce(lambda a, b: a + b, [hits(low, ws) for ws in KEYWORDS.values()]),
             "pattern_hits": matches,
             "pattern_weight": weighted,
-            "consistency": F.size(F.filter("_filled", lambda c: ~F.lower(c).rlike(ANY_KEYWORD)))
-            / F.greatest(F.size("_filled"), F.lit(1)),
+            "mean_cell": F.coalesce(
+                F.aggregate("_filled", F.lit(0), lambda a, v: a + F.length(v)) / F.nullif(size, F.lit(0)), F.lit(0.0)
+            ),
+            "consistency": F.when(F.col("keyword_hits") == 0, F.least(size, F.lit(1)).cast("double")).otherwise(
+                F.size(F.filter("_filled", lambda c: ~F.lower(c).rlike(ANY_KEYWORD))) / F.greatest(size, F.lit(1))
+            ),
         }
-    ).drop("_filled")
+    ).drop("_filled", "_digits")
 
 
-def with_sheet_stats(rows: DataFrame) -> DataFrame:
-    """Attach the sheet's width, row count and text-length moments to each row."""
-    stats = rows.groupBy("file_id").agg(
+def with_sheet_stats(rows: DataFrame, profile: bool = False) -> DataFrame:
+    """Attach the sheet's width, row count and text-length moments to each row.
+
+    With ``profile``, also the sheet's mean row structure (needs content features).
+    """
+    stats = [
         F.max(F.size("cells")).alias("width"),
         F.count(F.lit(1)).alias("n_rows"),
         F.avg(F.length("line")).alias("mean_length"),
         F.stddev_pop(F.length("line")).alias("sd_length"),
-    )
-    return attach(rows, stats, "file_id")
+    ]
+    if profile:
+        stats += [
+            F.avg("non_null").alias("_p_fields"),
+            F.avg("mean_cell").alias("_p_cell"),
+            F.avg((F.col("numeric_count") > 0).cast("double")).alias("_p_num"),
+            F.avg((F.col("non_null") > F.col("numeric_count")).cast("double")).alias("_p_text"),
+        ]
+    hot = hot_keys(rows.select("file_id"), ["file_id"])
+    return attach(rows, rows.groupBy("file_id").agg(*stats), "file_id", hot)
 
 
 def content_score(features: DataFrame) -> DataFrame:
@@ -145,21 +167,9 @@ def proximity_features(rows: DataFrame) -> DataFrame:
     """
     c = F.col
     blanks = F.filter(F.transform("cells", lambda v, i: F.when(F.trim(v) == "", i)), lambda i: i.isNotNull())
-    filled = F.filter("cells", lambda v: F.trim(v) != "")
     rows = rows.withColumns(
-        {
-            "_n": F.size("cells"),
-            "_blanks": blanks,
-            "_packed": F.length(F.regexp_replace("line", " ", "")),
-            "_mean_cell": F.coalesce(F.aggregate(filled, F.lit(0), lambda a, v: a + F.length(v)) / F.nullif(F.size(filled), F.lit(0)), F.lit(0.0)),
-        }
-    )
-    profile = rows.groupBy("file_id").agg(
-        F.avg("non_null").alias("_p_fields"), F.avg("_mean_cell").alias("_p_cell"),
-        F.avg((c("numeric_count") > 0).cast("double")).alias("_p_num"),
-        F.avg((c("non_null") > c("numeric_count")).cast("double")).alias("_p_text"),
+        {"_n": F.size("cells"), "_blanks": blanks, "_packed": F.length(F.regexp_replace("line", " ", ""))}
     )
-    rows = attach(rows, profile, "file_id")
     spread, w = with_neighbours(rows, "file_id", "row_idx", reach=9)
     me = F.struct("null_share", "non_null", "text_length", "consistency", "_n", "_blanks", "_packed").alias("_me")
     spread = spread.withColumn("_me", me)
@@ -193,7 +203,7 @@ def proximity_features(rows: DataFrame) -> DataFrame:
 
     structure = (
         _closeness(c("non_null"), c("_p_fields"))
-        + _closeness(c("_mean_cell"), c("_p_cell"))
+        + _closeness(c("mean_cell"), c("_p_cell"))
         + 0.5 * F.when(c("numeric_count") > 0, c("_p_num")).otherwise(1 - c("_p_num"))
         + 0.5 * F.when(c("non_null") > c("numeric_count"), c("_p_text")).otherwise(1 - c("_p_text"))
     ) / 3.0
@@ -207,7 +217,7 @@ def proximity_features(rows: DataFrame) -> DataFrame:
         }
     )
     drop = [f"_nb{i}" for i in range(6)] + [f"_f{o}" for o in follow]
-    return out.drop("_n", "_blanks", "_packed", "_mean_cell", "_me", "_p_fields", "_p_cell", "_p_num", "_p_text", *drop)
+    return out.drop("_n", "_blanks", "_packed", "_me", "_p_fields", "_p_cell", "_p_num", "_p_text", *drop)
 
 
 def coherence(following: list[Column]) -> Column:
@@ -244,8 +254,8 @@ def coherence(following: list[Column]) -> Column:
 
 
 def statistical_scores(sheet_rows: DataFrame) -> DataFrame:
-    """Content and proximity scores of every row (K1 to K5 in one job)."""
-    rows = content_score(with_sheet_stats(content_features(sheet_rows)))
+    """Content and proximity scores of every row in one job."""
+    rows = content_score(with_sheet_stats(content_features(sheet_rows), profile=True))
     c = F.col
     return proximity_features(rows).withColumn(
         "proximity_score",
@@ -259,7 +269,7 @@ def clip(x: Column, low: float, high: float) -> Column:
 
 def combine_scores(scored: DataFrame, content: float = 0.4, proximity: float = 0.3, sigma: float = 2.0) -> DataFrame:
     """Weighted score scaled by the sheet's maximum, its threshold, and the flag."""
-    rows = scored.withColumn("_raw", F.col("content_score") * content + F.col("proximity_score") * proximity)
+    rows = cut_lineage(scored.withColumn("_raw", F.col("content_score") * content + F.col("proximity_score") * proximity))
     stats = rows.groupBy("file_id").agg(
         F.max("_raw").alias("_top"), F.avg("_raw").alias("_mean"), F.stddev_pop("_raw").alias("_sd")
     )
@@ -413,7 +423,7 @@ def embedding_outliers(rows: DataFrame, vector: str, dim: int, by: list[str], si
     )
     placed = _attach_or_scalar(rows, sums, by)
     mean_cos = F.when(F.col("_n") > 1, (dot(F.col("_u"), F.col("_s")) - 1) / (F.col("_n") - 1))
-    scored = placed.withColumn("outlier_score", 1 - mean_cos).drop("_u", "_s", "_n")
+    scored = cut_lineage(placed.withColumn("outlier_score", 1 - mean_cos).drop("_u", "_s", "_n"))
     stats = scored.groupBy(*by).agg(F.avg("outlier_score").alias("_m"), F.stddev_pop("outlier_score").alias("_sd"))
     out = _attach_or_scalar(scored, stats, by)
     x, m, sd = F.col("outlier_score"), F.col("_m"), F.col("_sd")
@@ -477,11 +487,12 @@ def hybrid_scores(sheet_rows: DataFrame, semantic_weight: float = 0.4, statistic
     A row is junk when either layer flags it or the weighted score passes the sheet's
     lower threshold, mean + .8 sd within .2 and .6.
     """
-    stat = combine_scores(statistical_scores(sheet_rows))
+    stat = cut_lineage(combine_scores(statistical_scores(sheet_rows)))
     sem = boost_confidence(embedding_outliers(row_vector(stat.withColumnRenamed("threshold", "statistical_threshold")), "row_vector", ROW_VECTOR_DIM, ["file_id"]))
     # A sheet of one row has nothing to be compared with.
     sem = sem.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
     rows = sem.withColumn("hybrid_score", F.col("confidence") * semantic_weight + F.col("statistical_score") * statistical_weight)
+    rows = cut_lineage(rows)
     stats = rows.groupBy("file_id").agg(
         clip(F.avg("hybrid_score") + 0.8 * F.stddev_pop("hybrid_score"), 0.2, 0.6).alias("hybrid_threshold")
     )
@@ -553,7 +564,7 @@ def threshold_sweep(rows: DataFrame, score: str, truth: str, low: float = 1.0, h
     placed = attach(rows.select("file_id", score, truth), stats, "file_id")
     n = round((high - low) / step)
     mult = [round(low + i * step, 6) for i in range(n)]
-    flags = {f"{m:.1f}": F.coalesce(F.col(score) > F.col("_m") + m * F.col("_sd"), F.lit(False)) for m in mult}
+    flags = {f"{m:.1f}": F.coalesce(F.round(F.col(score) - (F.col("_m") + m * F.col("_sd")), 9) > 0, F.lit(False)) for m in mult}
     return sweep(placed, flags, F.col(truth))
 
 

@@ -39,15 +39,17 @@ def skew_join(
     salts: int = SALTS,
     share: float = HOT_SHARE,
     rows: int = HOT_ROWS,
+    hot: Column | None = None,
 ) -> DataFrame:
     """Equi join in which rows of a heavy key are spread over ``salts`` tasks.
 
     Only the rows of ``small`` with a heavy key are repeated. Spark still turns
     this into a broadcast join when ``small`` is measured to be small.
     ``how`` is inner, left, left_semi or left_anti; ``small`` may hold repeated keys.
+    ``hot`` takes an earlier ``hot_keys`` result, so a derived ``big`` is not computed twice.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    hot = hot_keys(big, keys, share, rows)
+    hot = hot_keys(big, keys, share, rows) if hot is None else hot
     null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     # Row hash plus partition id: identical copies of one row spread out too.
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]) + F.spark_partition_id(), F.lit(salts))
@@ -60,9 +62,9 @@ def skew_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def attach(rows: DataFrame, stats: DataFrame, keys: list[str] | str) -> DataFrame:
+def attach(rows: DataFrame, stats: DataFrame, keys: list[str] | str, hot: Column | None = None) -> DataFrame:
     """Put group statistics back on every row (``stats`` has one row per key)."""
-    return skew_join(rows, stats, keys, "left")
+    return skew_join(rows, stats, keys, "left", hot=hot)
 
 
 def running_totals(df: DataFrame, order: str, totals: dict[str, str], buckets: int = 256) -> DataFrame:

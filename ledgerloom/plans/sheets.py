@@ -53,7 +53,7 @@ FEAT2 = f"""SELECT *, {_sum_contains('low', _all_kw)} AS keyword_hits, {' + '.jo
     r6="caps_ratio space_ratio pattern_weight consistency",
 )
 def sheet_row_features(spark, d):
-    out = sh.content_features(cn.sheets(spark, d)).drop("line", "cells")
+    out = sh.content_features(cn.sheets(spark, d)).drop("line", "cells", "mean_cell")
     whole = ["non_null", "text_length", "numeric_count", "date_count", "specials", "unique_tokens", "repeats", "keyword_hits", "pattern_hits"]
     return out.withColumns({c: F.col(c).cast("long") for c in whole})
 
@@ -333,7 +333,7 @@ _mult = [round(1.0 + 0.2 * i, 1) for i in range(15)]
 @query(
     "K15",
     duck("sheets", f"""SELECT *, {_qual} FROM (SELECT printf('%.1f', k) AS candidate, count(*) FILTER (p AND t) AS tp, count(*) FILTER (p AND NOT t) AS fp, count(*) FILTER (NOT p AND t) AS fn FROM (
-      SELECT k, t, content_score > m + k * s AS p FROM (SELECT content_score, {_truth} AS t, avg(content_score) OVER (PARTITION BY file_id) AS m, stddev_pop(content_score) OVER (PARTITION BY file_id) AS s FROM content),
+      SELECT k, t, round(content_score - (m + k * s), 9) > 0 AS p FROM (SELECT content_score, {_truth} AS t, avg(content_score) OVER (PARTITION BY file_id) AS m, stddev_pop(content_score) OVER (PARTITION BY file_id) AS s FROM content),
       (SELECT unnest([{', '.join(f'{m}::DOUBLE' for m in _mult)}]) AS k)) GROUP BY 1)""", **BASE),
     r6="precision recall f1",
 )
