@@ -177,3 +177,41 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.split("line", " ").alias("cells"),
         )
     )
+
+
+def messy_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Policies as a careless source would send them: gaps, spellings, text dates, bad amounts and repeated keys."""
+    o = table(spark, sf_dir, "orders")
+    k, c, price = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
+    day = F.col("o_orderdate").cast("date")
+    age = F.when(k % 31 == 0, 130).when(k % 37 == 0, -1).otherwise(18 + c % 63).cast("int")
+    issue = F.when(k % 43 == 0, F.add_months(day, 1200)).otherwise(day)
+    text = (
+        F.when(k % 6 == 0, F.date_format(day, "yyyy-MM-dd")).when(k % 6 == 1, F.date_format(day, "dd/MM/yyyy"))
+        .when(k % 6 == 2, F.date_format(day, "dd-MMM-yyyy")).when(k % 6 == 3, F.date_format(day, "yyyyMMdd"))
+        .when(k % 6 == 4, F.datediff(day, F.to_date(F.lit("1899-12-30"))).cast("string")).otherwise("n/a")
+    )
+    return o.select(
+        k.alias("row_idx"),
+        F.when((k % 50 == 0) & (k > 0), k - 1).otherwise(k).alias("policy_id"),
+        F.concat(F.lit("POL"), F.lpad(F.when((k % 50 == 0) & (k > 0), k - 1).otherwise(k).cast("string"), 7, "0")).alias("policy_number"),
+        F.concat(F.lit("SUB-"), F.lpad((c % 20).cast("string"), 2, "0")).alias("submission_id"),
+        pick(k % 9, ["M", "male", "F", "Female", "f", "m", " M", "X", None]).alias("gender"),
+        pick(k % 7, ["Smoker", "s", "NON-SMOKER", "N", "nonsmoker", "Y", None]).alias("smoker_status"),
+        pick(k % 8, ["Inforce", "active", "IF", "lapsed", "Terminated", "S", "C", "Pending"]).alias("policy_status"),
+        pick(k % 6, ["Term", "TL", "Whole Life", "UL", "VL", "401(k)"]).alias("product_type"),
+        pick(k % 6, ["Preferred Plus", "P", "SP", "Standard", "Rated", "D"]).alias("underwriting_class"),
+        F.when(k % 17 == 0, None).when(k % 23 == 0, -price).otherwise(price).alias("face_amount"),
+        F.when(k % 19 == 0, None).when(k % 29 == 0, price * 0.5).otherwise(price * 0.01).alias("premium"),
+        age.alias("issue_age"),
+        F.when(k % 41 == 0, age - 3).otherwise(age + (k % 20).cast("int")).cast("int").alias("current_age"),
+        issue.alias("issue_date"),
+        text.alias("issue_text"),
+        F.when(k % 47 == 0, F.date_sub(issue, 30)).otherwise(F.date_add(issue, (k % 5000).cast("int"))).alias("maturity_date"),
+        pick(k % 7, ["US$", "usd", "Euro", "€", "British Pound", "¥", "JPN"]).alias("currency"),
+        pick(k % 4, ["Property", "Casualty", "Marine", "Aviation"]).alias("business_line"),
+        pick(k % 3, ["quota_share", "surplus", "excess_of_loss"]).alias("treaty_type"),
+        F.when(k % 11 == 0, None).when(k % 53 == 0, 6.0).otherwise(F.lit(0.3) + (k % 100) * 0.01).alias("loss_ratio"),
+        (F.lit(0.1) + (k % 60) * 0.01).alias("commission"),
+        (price * 0.05 + (k % 13) * 100).alias("limit_amount"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["experience", "reserves", "pricing", "sheets"]
+FAMILIES = ["experience", "reserves", "pricing", "sheets", "quality"]
 
 
 def load_queries():

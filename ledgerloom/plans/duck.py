@@ -46,6 +46,21 @@ VIEWS = {
     "sheets": """SELECT doc_id AS file_id, CAST(unnest(range(len(string_split(text, chr(10))))) AS BIGINT) AS row_idx,
         unnest(string_split(text, chr(10))) AS line, string_split(unnest(string_split(text, chr(10))), ' ') AS cells FROM documents""",
 }
+VIEWS["messy"] = """SELECT o_orderkey AS row_idx, CASE WHEN k % 50 = 0 AND k > 0 THEN k - 1 ELSE k END AS policy_id,
+  'POL' || lpad(CAST(CASE WHEN k % 50 = 0 AND k > 0 THEN k - 1 ELSE k END AS VARCHAR), 7, '0') AS policy_number, 'SUB-' || lpad(CAST(c % 20 AS VARCHAR), 2, '0') AS submission_id,
+  (['M','male','F','Female','f','m',' M','X',NULL])[k % 9 + 1] AS gender, (['Smoker','s','NON-SMOKER','N','nonsmoker','Y',NULL])[k % 7 + 1] AS smoker_status,
+  (['Inforce','active','IF','lapsed','Terminated','S','C','Pending'])[k % 8 + 1] AS policy_status, (['Term','TL','Whole Life','UL','VL','401(k)'])[k % 6 + 1] AS product_type,
+  (['Preferred Plus','P','SP','Standard','Rated','D'])[k % 6 + 1] AS underwriting_class, CASE WHEN k % 17 = 0 THEN NULL WHEN k % 23 = 0 THEN -price ELSE price END AS face_amount,
+  CASE WHEN k % 19 = 0 THEN NULL WHEN k % 29 = 0 THEN price * 0.5::DOUBLE ELSE price * 0.01::DOUBLE END AS premium, age AS issue_age,
+  CAST(CASE WHEN k % 41 = 0 THEN age - 3 ELSE age + k % 20 END AS INT) AS current_age, issue AS issue_date,
+  CASE k % 6 WHEN 0 THEN strftime(day, '%Y-%m-%d') WHEN 1 THEN strftime(day, '%d/%m/%Y') WHEN 2 THEN strftime(day, '%d-%b-%Y') WHEN 3 THEN strftime(day, '%Y%m%d')
+    WHEN 4 THEN CAST(date_diff('day', DATE '1899-12-30', day) AS VARCHAR) ELSE 'n/a' END AS issue_text, day,
+  CASE WHEN k % 47 = 0 THEN issue - 30 ELSE issue + CAST(k % 5000 AS INT) END AS maturity_date, (['US$','usd','Euro','€','British Pound','¥','JPN'])[k % 7 + 1] AS currency,
+  (['Property','Casualty','Marine','Aviation'])[k % 4 + 1] AS business_line, (['quota_share','surplus','excess_of_loss'])[k % 3 + 1] AS treaty_type,
+  CASE WHEN k % 11 = 0 THEN NULL WHEN k % 53 = 0 THEN 6.0::DOUBLE ELSE 0.3::DOUBLE + (k % 100) * 0.01::DOUBLE END AS loss_ratio, 0.1::DOUBLE + (k % 60) * 0.01::DOUBLE AS commission,
+  price * 0.05::DOUBLE + (k % 13) * 100 AS limit_amount
+  FROM (SELECT *, CAST(CASE WHEN k % 31 = 0 THEN 130 WHEN k % 37 = 0 THEN -1 ELSE 18 + c % 63 END AS INT) AS age, CAST(CASE WHEN k % 43 = 0 THEN day + INTERVAL 100 YEAR ELSE day END AS DATE) AS issue
+    FROM (SELECT o_orderkey, o_orderkey AS k, o_custkey AS c, o_totalprice AS price, CAST(o_orderdate AS DATE) AS day FROM orders))"""
 
 NEEDS = {"policies_state": ["policies"], "cedent_years": ["claims", "treaties"]}
 
