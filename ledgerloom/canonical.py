@@ -215,3 +215,42 @@ def messy_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(0.1) + (k % 60) * 0.01).alias("commission"),
         (price * 0.05 + (k % 13) * 100).alias("limit_amount"),
     )
+
+
+def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Policies with the personal, health, income and annuity fields that feature jobs read."""
+    p = policies(spark, sf_dir)
+    k, c = F.col("policy_id"), F.col("customer_id")
+    return p.withColumns(
+        {
+            "height_inches": (F.lit(60) + k % 17).cast("int"),
+            "weight_pounds": (F.lit(110) + k % 150).cast("int"),
+            "marital_status": pick(c % 4, ["Married", "Single", "Divorced", "Widowed"]),
+            "health_rating": F.col("underwriting_class"),
+            "history_diabetes": k % 11 == 0,
+            "history_heart_disease": k % 13 == 0,
+            "history_hypertension": k % 3 == 0,
+            "history_asthma": k % 8 == 0,
+            "annual_income": (F.lit(20000) + (c % 300) * 1000).cast("double"),
+            "net_worth": ((k % 700) * 3000 - 50000).cast("double"),
+            "payment_mode": pick(k % 4, ["Annual", "Monthly", "Quarterly", "Semi-Annual"]),
+            "premium_frequency": pick(k % 4, [1, 12, 4, 2]),
+            "medical_exam": F.when(k % 3 == 0, "No").otherwise("Yes"),
+            "agent_id": F.when(k % 4 != 0, k % 100),
+            "state_code": pick(c % 10, ["CA", "NY", "TX", "FL", "OH", "WA", "GA", "CO", "PA", "AL"]),
+            "zip_code": F.lpad((k % 100000).cast("string"), 5, "0"),
+            "birth_date": F.add_months("issue_date", -12 * F.col("issue_age")),
+            "premium_amount": F.col("face_amount"),
+            "investment_option": pick(k % 3, ["Conservative", "Moderate", "Aggressive"]),
+            "guaranteed_rate": F.lit(0.011) + (k % 4) * 0.005,
+            "payout_option": pick(k % 4, ["Life Only", "10 Year Certain", "Joint Life", "Period Certain 20"]),
+            "monthly_payment": F.col("face_amount") * 0.005,
+            "surrender_value": F.col("face_amount") * (F.lit(0.82) + (k % 5) * 0.04),
+            "contract_date": F.col("issue_date"),
+            "condition_diabetes": (k % 11 == 0).cast("int"),
+            "condition_heart": (k % 13 == 0).cast("int"),
+            "condition_other": (k % 3 == 0).cast("int"),
+            "credit_score": (F.lit(600) + k % 200).cast("int"),
+            "payment_history": F.lit(0.85) + (k % 4) * 0.05,
+        }
+    )

@@ -61,8 +61,16 @@ VIEWS["messy"] = """SELECT o_orderkey AS row_idx, CASE WHEN k % 50 = 0 AND k > 0
   price * 0.05::DOUBLE + (k % 13) * 100 AS limit_amount
   FROM (SELECT *, CAST(CASE WHEN k % 31 = 0 THEN 130 WHEN k % 37 = 0 THEN -1 ELSE 18 + c % 63 END AS INT) AS age, CAST(CASE WHEN k % 43 = 0 THEN day + INTERVAL 100 YEAR ELSE day END AS DATE) AS issue
     FROM (SELECT o_orderkey, o_orderkey AS k, o_custkey AS c, o_totalprice AS price, CAST(o_orderdate AS DATE) AS day FROM orders))"""
+VIEWS["applicants"] = """SELECT *, CAST(60 + policy_id % 17 AS INT) AS height_inches, CAST(110 + policy_id % 150 AS INT) AS weight_pounds,
+  (['Married','Single','Divorced','Widowed'])[customer_id % 4 + 1] AS marital_status, underwriting_class AS health_rating, policy_id % 11 = 0 AS history_diabetes, policy_id % 13 = 0 AS history_heart_disease,
+  policy_id % 3 = 0 AS history_hypertension, policy_id % 8 = 0 AS history_asthma, CAST(20000 + (customer_id % 300) * 1000 AS DOUBLE) AS annual_income, CAST((policy_id % 700) * 3000 - 50000 AS DOUBLE) AS net_worth,
+  (['Annual','Monthly','Quarterly','Semi-Annual'])[policy_id % 4 + 1] AS payment_mode, ([1,12,4,2])[policy_id % 4 + 1] AS premium_frequency, CASE WHEN policy_id % 3 = 0 THEN 'No' ELSE 'Yes' END AS medical_exam,
+  CASE WHEN policy_id % 4 <> 0 THEN policy_id % 100 END AS agent_id, (['CA','NY','TX','FL','OH','WA','GA','CO','PA','AL'])[customer_id % 10 + 1] AS state_code, lpad(CAST(policy_id % 100000 AS VARCHAR), 5, '0') AS zip_code,
+  CAST(issue_date - to_years(issue_age) AS DATE) AS birth_date, 0.011::DOUBLE + (policy_id % 4) * 0.005::DOUBLE AS guaranteed_rate,
+  (['Life Only','10 Year Certain','Joint Life','Period Certain 20'])[policy_id % 4 + 1] AS payout_option, face_amount * 0.005::DOUBLE AS monthly_payment, face_amount * (0.82::DOUBLE + (policy_id % 5) * 0.04::DOUBLE) AS surrender_value,
+  CAST(600 + policy_id % 200 AS INT) AS credit_score, 0.85::DOUBLE + (policy_id % 4) * 0.05::DOUBLE AS payment_history FROM policies"""
 
-NEEDS = {"policies_state": ["policies"], "cedent_years": ["claims", "treaties"]}
+NEEDS = {"applicants": ["policies"], "policies_state": ["policies"], "cedent_years": ["claims", "treaties"]}
 
 
 def duck(views: str, body: str, **extra: str) -> str:

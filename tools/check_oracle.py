@@ -30,7 +30,7 @@ def duck(folder: str):
 
 
 def cell(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)) or v is pd.NaT:
+    if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)) or v is pd.NaT:
         return "NULL"
     if hasattr(v, "tolist") and not isinstance(v, (str, bytes)):
         v = v.tolist()
