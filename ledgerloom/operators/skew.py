@@ -76,7 +76,7 @@ def running_totals(df: DataFrame, order: str, totals: dict[str, str], buckets: i
     """
     cuts = [i / buckets for i in range(1, buckets)]
     edges = df.agg(F.percentile_approx(order, cuts, 10000).alias("_e")).scalar()
-    ranged = df.withColumn("_b", F.size(F.filter(edges, lambda e: e < F.col(order))))
+    ranged = df.withColumn("_e", edges).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col(order)))).drop("_e")
     per_range = ranged.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in totals.items()])
     before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(

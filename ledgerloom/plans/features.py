@@ -55,7 +55,7 @@ def health_features(spark, d):
       CASE WHEN annual_income <= 0 THEN 0 WHEN annual_income < 25000 THEN 20 WHEN annual_income < 50000 THEN 40 WHEN annual_income < 75000 THEN 60 WHEN annual_income < 100000 THEN 75 WHEN annual_income < 150000 THEN 85 WHEN annual_income < 200000 THEN 92 ELSE 95 END::DOUBLE AS income_percentile,
       ln(greatest(face_amount, 1000)) AS face_amount_log, face_amount >= 100000 AND face_amount < 500000 AS medium_coverage, face_amount / greatest(annual_income, 1) AS coverage_multiple, face_amount / annual_income >= 3 AND face_amount / annual_income < 10 AS adequate_coverage_ratio,
       face_amount / annual_income > 20 AS potential_anti_selection, annual_premium / greatest(annual_income, 1) * 100 AS premium_to_income_pct, annual_premium / annual_income > 0.1::DOUBLE AS high_premium_burden, ln(greatest(net_worth, 1000)) AS net_worth_log, net_worth < 0 AS negative_net_worth FROM applicants"""),
-    r6="income_log face_amount_log coverage_multiple net_worth_log", r4="premium_to_income_pct",
+    r6="income_log face_amount_log net_worth_log", r4="premium_to_income_pct", r2="coverage_multiple",
 )
 def financial_features(spark, d):
     return ft.financial(cn.applicants(spark, d)).select(
@@ -89,7 +89,7 @@ _le = """SELECT a.age, a.gender, a.smoker_status, any_value(a.qx) AS qx, coalesc
     "F5 J11 W18",
     duck("applicants", """SELECT policy_id, qx, life_expectancy, qx < 0.005 AS low_mortality_risk, qx >= 0.015 AS high_mortality_risk, life_expectancy > 25 AS long_life_expectancy, face_amount * qx * 0.97 AS approx_net_single_premium, face_amount * qx AS risk_adjusted_coverage
       FROM applicants p JOIN le ON le.age = p.issue_age AND le.gender = p.gender AND le.smoker_status = p.smoker_status""", grid=GRID, curve=_curve, le=_le),
-    r6="qx life_expectancy approx_net_single_premium risk_adjusted_coverage",
+    r6="qx life_expectancy", r2="approx_net_single_premium risk_adjusted_coverage",
 )
 def actuarial_features(spark, d):
     return ft.actuarial(cn.applicants(spark, d), _table(spark)).select(
