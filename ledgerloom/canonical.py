@@ -18,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share out a scan that has fewer splits than the cluster has cores.
+
+    A file with one row group is one task, however costly the work on its rows.
+    A scan that already has enough splits is left alone, so large inputs are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pick(index: Column, values: list) -> Column:
     """The ``index``-th of a few literal values."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
@@ -168,7 +178,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered rows of every document: (file_id, row_idx, line, cells). The row index comes from the source."""
     return (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
         .select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("row_idx", "line"))
         .select(
             "file_id",
