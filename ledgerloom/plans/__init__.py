@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["experience", "reserves", "pricing", "sheets", "quality", "features", "integration", "flows"]
+FAMILIES = ["experience", "reserves", "pricing", "sheets", "quality", "features", "integration", "flows", "models"]
 
 
 def load_queries():
