@@ -293,7 +293,8 @@ def relationships(tables: dict[str, tuple[DataFrame, list[str]]], same: list[tup
 def column_overlap(columns: DataFrame) -> DataFrame:
     """Shared column names of every two datasets over the smaller column count, in percent.
 
-    Joined on the name, so datasets without a common name are never paired.
+    Joined on the name, so datasets without a common name are never paired. Datasets are the
+    named tables of one study, a handful; use ``detect_file_types`` for a landing zone.
     """
     sizes = columns.groupBy("file_id").agg(F.count(F.lit(1)).alias("size"))
     a = columns.select(F.col("file_id").alias("dataset1"), "column_name")

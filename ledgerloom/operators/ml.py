@@ -159,11 +159,11 @@ def ensemble(models: dict, df: DataFrame, key: str) -> DataFrame:
 
 def maturity_forecasts(wide: DataFrame, maturities: list[str], horizon: int = 5, lags: tuple[int, ...] = (1, 2, 5)) -> DataFrame:
     """One forest per maturity on lagged values of all maturities; test RMSE and MAE on the last fifth."""
-    from .series import W, chronological_split
+    from .series import by_date, chronological_split
 
     s = wide.withColumn("series", F.lit("curve"))
-    feats = [F.lag(m, k).over(W).alias(f"{m}_lag{k}") for m in maturities for k in lags]
-    base = s.select("series", "date", *maturities, *feats, *[F.lead(m, horizon).over(W).alias(f"{m}_target") for m in maturities]).dropna()
+    feats = [F.lag(m, k).over(by_date()).alias(f"{m}_lag{k}") for m in maturities for k in lags]
+    base = s.select("series", "date", *maturities, *feats, *[F.lead(m, horizon).over(by_date()).alias(f"{m}_target") for m in maturities]).dropna()
     base = chronological_split(base)
     names = [f"{m}_lag{k}" for m in maturities for k in lags] + maturities
     vec = VectorAssembler(inputCols=names, outputCol="features").transform(base)

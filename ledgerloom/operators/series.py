@@ -9,25 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-W = Window.partitionBy("series").orderBy("date")
+def by_date():
+    return Window.partitionBy("series").orderBy("date")
 
 
 def rolling(c: Column, n: int, how, ready: bool = True) -> Column:
     """``how`` over the last n rows; NULL until n rows exist."""
-    w = W.rowsBetween(-(n - 1), 0)
+    w = by_date().rowsBetween(-(n - 1), 0)
     return F.when(F.count(c).over(w) == n, how(c).over(w)) if ready else how(c).over(w)
 
 
 def change(c: Column, n: int = 1) -> Column:
-    return c - F.lag(c, n).over(W)
+    return c - F.lag(c, n).over(by_date())
 
 
 def pct_change(c: Column, n: int = 1) -> Column:
-    return F.try_divide(c, F.lag(c, n).over(W)) - 1
+    return F.try_divide(c, F.lag(c, n).over(by_date())) - 1
 
 
 def log_change(c: Column, n: int = 1) -> Column:
-    return F.log(c) - F.log(F.lag(c, n).over(W))
+    return F.log(c) - F.log(F.lag(c, n).over(by_date()))
 
 
 def rate_features(s: DataFrame, horizon: int = 5) -> DataFrame:
@@ -35,11 +36,11 @@ def rate_features(s: DataFrame, horizon: int = 5) -> DataFrame:
     v = F.col("value")
     return s.withColumns(
         {
-            "lag_1": F.lag(v, 1).over(W), "lag_5": F.lag(v, 5).over(W),
+            "lag_1": F.lag(v, 1).over(by_date()), "lag_5": F.lag(v, 5).over(by_date()),
             "ma_10": rolling(v, 10, F.avg), "ma_252": rolling(v, 252, F.avg),
             "sd_20": rolling(v, 20, F.stddev_samp), "sd_30": rolling(v, 30, F.stddev_samp),
             "change_1": change(v), "pct_1": pct_change(v), "pct_20": pct_change(v, 20), "log_change": log_change(v),
-            "target": F.lead(v, horizon).over(W),
+            "target": F.lead(v, horizon).over(by_date()),
         }
     )
 
@@ -72,7 +73,7 @@ def annual_volatility(s: DataFrame, periods: int = 12) -> DataFrame:
 
 def mean_reversion(s: DataFrame, periods: int = 12) -> DataFrame:
     """Minus the slope of the change on the level before it, annualised, held within .01-.5."""
-    d = s.withColumn("_x", F.lag("value", 1).over(W)).withColumn("_y", F.col("value") - F.col("_x"))
+    d = s.withColumn("_x", F.lag("value", 1).over(by_date())).withColumn("_y", F.col("value") - F.col("_x"))
     slope = d.groupBy("series").agg(F.regr_slope("_y", "_x").alias("slope"))
     return slope.withColumn("mean_reversion", F.greatest(F.lit(0.01), F.least(F.lit(0.5), -F.col("slope") * periods)))
 
@@ -96,7 +97,7 @@ def year_on_year(monthly: DataFrame) -> DataFrame:
 def chronological_split(s: DataFrame, share: float = 0.8) -> DataFrame:
     """First ``share`` of each series to train, the rest to test."""
     n = F.count(F.lit(1)).over(Window.partitionBy("series"))
-    return s.withColumn("split", F.when(F.row_number().over(W) <= F.floor(n * share), "train").otherwise("test"))
+    return s.withColumn("split", F.when(F.row_number().over(by_date()) <= F.floor(n * share), "train").otherwise("test"))
 
 
 def curve_measures(wide: DataFrame) -> DataFrame:

@@ -260,7 +260,7 @@ def statistical_scores(sheet_rows: DataFrame) -> DataFrame:
     return proximity_features(rows).withColumn(
         "proximity_score",
         (1.0 - c("neighbour_similarity")) * 0.4 + (1.0 - c("pattern_consistency")) * 0.3 + (1.0 - c("coherence")) * 0.3,
-    )
+    ).drop("cells")  # nothing later reads the cells, and staged results stay smaller
 
 
 def clip(x: Column, low: float, high: float) -> Column:

@@ -45,6 +45,22 @@ def nested_json_round_trip(spark, d):
     return flat.groupBy("terms_product").agg(F.count(F.lit(1)).alias("policies"), F.sum("terms_cover_face").alias("terms_cover_face"))
 
 
+@query(
+    "S4 S11",
+    duck("policies", "SELECT reader, product_type, count(*) AS policies, sum(face_amount) AS face_amount FROM policies, (VALUES ('delimited'), ('fixed width')) r(reader) GROUP BY ALL"),
+    r2="face_amount",
+)
+def discovered_text_layouts(spark, d):
+    p = cn.policies(spark, d).select(F.col("policy_id").cast("string"), "product_type", F.format_string("%.2f", "face_amount").alias("face_amount"))
+    piped, fixed = scratch_path(spark, "piped"), scratch_path(spark, "fixed")
+    p.write.option("header", True).option("sep", "|").csv(piped)
+    p.select(F.concat(F.rpad("policy_id", 12, " "), F.rpad("product_type", 20, " "), F.lpad("face_amount", 14, " "))).write.text(fixed)
+    layout = [("policy_id", 1, 12, "bigint"), ("product_type", 13, 20, "string"), ("face_amount", 33, 14, "double")]
+    parts = {"delimited": rd.read_any_delimited(spark, piped), "fixed width": rd.read_fixed_width(spark, fixed, layout)}
+    out = [df.select(F.lit(n).alias("reader"), "product_type", F.col("face_amount").cast("double").alias("face_amount")) for n, df in parts.items()]
+    return out[0].unionByName(out[1]).groupBy("reader", "product_type").agg(F.count(F.lit(1)).alias("policies"), F.sum("face_amount").alias("face_amount"))
+
+
 @query("S2 S9 S10", "SELECT column_name, data_type, (SELECT count(*) FROM orders) AS rows FROM (VALUES ('o_orderkey','bigint'),('o_custkey','bigint'),('o_orderstatus','string'),('o_totalprice','double'),('o_orderdate','timestamp_ntz'),('o_orderpriority','string')) t(column_name, data_type)")
 def schema_probe(spark, d):
     return rd.probe(rd.read_parquet(spark, f"{d}/orders.parquet"))

@@ -1,6 +1,8 @@
 """Compare registered queries with their SQL on one data folder.
 
-usage: python tools/check_oracle.py [--dir DIR] [name-part ...]
+usage: python tools/check_oracle.py [--plain] [--dir DIR] [name-part ...]
+
+``--plain`` uses a session without this package's settings.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import duckdb
 import pandas as pd
+from pyspark.sql import SparkSession
 
 from ledgerloom.plans import load_queries
 from ledgerloom.session import build_session
@@ -79,9 +82,15 @@ def compare(sdf: pd.DataFrame, ddf: pd.DataFrame) -> str:
 def main() -> None:
     args = sys.argv[1:]
     folder = "/root/testdata/sf0.01"
+    plain = args[:1] == ["--plain"]
+    args = args[1:] if plain else args
     if args[:1] == ["--dir"]:
         folder, args = args[1], args[2:]
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+    if plain:
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                                                 "spark.driver.memory": "8g"})
     con = duck(folder)
     bad = 0
