@@ -61,7 +61,9 @@ def train_regressors(df: DataFrame, key: str, label: str, numeric: list[str], ca
     train, test = split(fill_text(df, categorical), key)
     n = df.count()
     prep = Pipeline(stages=preparation(numeric, categorical)).fit(train)
-    tr, te = prep.transform(train).select(key, label, "features"), prep.transform(test).select(key, label, "features")
+    # Folds and boosting rounds read the training rows many times. Lost blocks are recomputed from the scan.
+    tr = prep.transform(train).select(key, label, "features").persist()
+    te = prep.transform(test).select(key, label, "features")
     models, parts = {}, []
     for name, (est, grid) in regressors(label, n).items():
         if which and name not in which:
@@ -73,6 +75,7 @@ def train_regressors(df: DataFrame, key: str, label: str, numeric: list[str], ca
             model = est.fit(tr, grid[0] if grid else {})
         models[name] = PipelineModel([*prep.stages, model])
         parts.append(mt.regression_metrics(model.transform(te), label, "prediction").withColumn("model", F.lit(name)))
+    tr.unpersist()
     return models, reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -113,7 +116,7 @@ def train_classifiers(df: DataFrame, key: str, label: str, numeric: list[str], c
     """Fit the lapse classifiers; returns models and AUC per model on the held-out part."""
     train, test = split(fill_text(df, categorical), key)
     prep = Pipeline(stages=preparation(numeric, categorical, scale=True)).fit(train)
-    tr = class_weights(prep.transform(train), label).select(key, label, "weight", "features")
+    tr = class_weights(prep.transform(train), label).select(key, label, "weight", "features").persist()
     te = prep.transform(test).select(key, label, "features")
     models, parts = {}, []
     for name, est in classifiers(label, len(numeric) + len(categorical)).items():
@@ -123,6 +126,7 @@ def train_classifiers(df: DataFrame, key: str, label: str, numeric: list[str], c
         scored = model.transform(te).withColumn("score", vector_to_array("probability")[1])
         models[name] = PipelineModel([*prep.stages, model])
         parts.append(mt.auc(scored, label, "score").select("auc", F.lit(name).alias("model")))
+    tr.unpersist()
     return models, reduce(lambda a, b: a.unionByName(b), parts)
 
 

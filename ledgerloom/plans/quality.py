@@ -579,7 +579,23 @@ def treaty_term_conflicts(spark, d):
     return cl.treaty_conflicts(rows).groupBy("treaty_id", "inception_date", "premium_versions", "data_quality_flag").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("C1 C5")
+_dedup = "SELECT * FROM messy QUALIFY row_number() OVER (PARTITION BY policy_id, issue_date ORDER BY row_idx DESC) = 1"
+_shaped = "SELECT * REPLACE (" + ", ".join(f"{_map(k, k)} AS {k}" for k in cl.CATEGORIES) + f""", CASE WHEN issue_date > DATE '{ASOF}' AND year(issue_date) > 2050 THEN CAST(issue_date - INTERVAL 100 YEAR AS DATE) ELSE issue_date END AS issue_date,
+  round(abs(face_amount), 2) AS face_amount, round(CAST(premium AS DECIMAL(18, 4)), 2)::DOUBLE AS premium) FROM dedup"""
+_mode_s = lambda c: f"(SELECT {c} FROM shaped WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+_filled = "SELECT * REPLACE (" + ", ".join(f"coalesce({c}, {_mode_s(c)}) AS {c}" for c in ("gender", "smoker_status")) + ", " + ", ".join(
+    f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM shaped)) AS {c}" for c in ("face_amount", "premium")) + ") FROM shaped"
+_bound = lambda c: f"greatest(least({c}, (SELECT quantile_cont({c}, 0.75) + 3 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) FROM filled)), (SELECT quantile_cont({c}, 0.25) - 3 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) FROM filled)) AS {c}"
+
+
+@query(
+    "C1 C5",
+    duck("messy", """SELECT policy_id, gender, smoker_status, policy_status, product_type, abs(face_amount) AS face_amount,
+      abs(CASE WHEN premium / face_amount > 0.2 THEN face_amount * 0.2::DOUBLE WHEN premium / face_amount < 0.0001 THEN face_amount * 0.0001::DOUBLE ELSE premium END) AS premium,
+      least(120, greatest(0, issue_age)) AS issue_age, least(120, greatest(0, greatest(current_age, issue_age))) AS current_age, issue_date FROM capped""",
+      dedup=_dedup, shaped=_shaped, filled=_filled, capped=f"SELECT * REPLACE ({_bound('face_amount')}, {_bound('premium')}) FROM filled"),
+    r4="face_amount premium", day="issue_date",
+)
 def cleaned_policies(spark, d):
     return cl.clean_policies(cn.messy_policies(spark, d), ASOF).select(
         "policy_id", "gender", "smoker_status", "policy_status", "product_type", "face_amount", "premium", "issue_age", "current_age", "issue_date"
