@@ -44,7 +44,18 @@ CURRENCIES = {
     "GBP": ["£", "British Pound", "Sterling", "UK Pound", "GBP."],
     "JPY": ["¥", "Yen", "Japanese Yen", "JPN", "JP¥"],
 }
-DATE_FORMATS = ["yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MMM-yyyy", "dd-MMM-yy", "yyyyMMdd", "dd.MM.yyyy", "MM-dd-yyyy", "yyyy/MM/dd"]
+# Accepted date formats in order, with the pattern that parses them (one-digit days and months too) and their shape.
+DATE_FORMATS = {
+    "yyyy-MM-dd": ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    "dd/MM/yyyy": ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    "MM/dd/yyyy": ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    "dd-MMM-yyyy": ("d-MMM-yyyy", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"),
+    "dd-MMM-yy": ("d-MMM-yy", r"^\d{1,2}-[A-Za-z]{3}-\d{2}$"),
+    "yyyyMMdd": ("yyyyMMdd", r"^\d{8}$"),
+    "dd.MM.yyyy": ("d.M.yyyy", r"^\d{1,2}\.\d{1,2}\.\d{4}$"),
+    "MM-dd-yyyy": ("M-d-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    "yyyy/MM/dd": ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+}
 LINE_LOSS_RATIO = {"Property": 0.65, "Casualty": 0.72, "Marine": 0.68, "Aviation": 0.55}
 
 
@@ -95,23 +106,40 @@ def coerce_types(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns(out)
 
 
+def _serial(c: Column) -> Column:
+    """Day number of a spreadsheet date, else NULL."""
+    n = F.when(F.trim(c).rlike(r"^\d{5}(\.\d*)?$"), F.trim(c).try_cast("double"))
+    return F.when((n > 25569) & (n < 60000), n)
+
+
+def _attempt(c: Column, name: str) -> Column:
+    """The date in one format. Only text of the format's shape is parsed: a failed parse is far dearer than the test."""
+    pattern, shape = DATE_FORMATS[name]
+    text = F.trim(c)
+    day = F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)).cast("date"))
+    # Two-digit years from 69 on belong to the last century.
+    return F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day) if name.endswith("-yy") else day
+
+
 def parse_date(c: Column, formats: list[str] | None = None) -> Column:
     """Serial day numbers first, then each format in order; the first that parses wins."""
-    serial = F.trim(c).try_cast("double")
-    from_serial = F.when(
-        (serial > 25569) & (serial < 60000), F.date_add(F.to_date(F.lit("1899-12-30")), F.floor(serial).cast("int"))
-    )
-    return F.coalesce(from_serial, *[F.try_to_timestamp(F.trim(c), F.lit(f)).cast("date") for f in formats or DATE_FORMATS])
+    serial = F.date_add(F.to_date(F.lit("1899-12-30")), F.floor(_serial(c)).cast("int"))
+    return F.coalesce(serial, *[_attempt(c, f) for f in formats or DATE_FORMATS])
 
 
 def date_format_used(c: Column, formats: list[str] | None = None) -> Column:
-    serial = F.trim(c).try_cast("double")
-    out = F.when((serial > 25569) & (serial < 60000), "serial")
+    out = F.when(_serial(c).isNotNull(), "serial")
     for f in formats or DATE_FORMATS:
-        out = out.when(F.try_to_timestamp(F.trim(c), F.lit(f)).isNotNull(), f)
+        out = out.when(_attempt(c, f).isNotNull(), f)
     return out.otherwise(F.when(c.isNull(), "missing").otherwise("unparsed"))
 
 
+def ambiguous_date(c: Column) -> Column:
+    """Text that reads as a date both day first and month first, and differently."""
+    a, b = _attempt(c, "dd/MM/yyyy"), _attempt(c, "MM/dd/yyyy")
+    return F.coalesce(a != b, F.lit(False))
+
+
 def repair_future(c: Column, asof: str) -> Column:
     """A date after both ``asof`` and 2050 belongs to the century before."""
     return F.when((c > F.lit(asof).cast("date")) & (F.year(c) > 2050), F.add_months(c, -1200)).otherwise(c)

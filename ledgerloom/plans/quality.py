@@ -433,6 +433,16 @@ def date_parse_rates(spark, d):
     return n.withColumn("share", F.col("n") / n.agg(F.sum("n")).scalar())
 
 
+@query(
+    "C14",
+    duck("messy", "SELECT submission_id, count(*) AS dates, count(*) FILTER (row_idx % 6 = 1 AND day(day) <= 12 AND day(day) <> month(day)) AS ambiguous FROM messy GROUP BY 1"),
+)
+def ambiguous_dates(spark, d):
+    return cn.messy_policies(spark, d).groupBy("submission_id").agg(
+        F.count(F.lit(1)).alias("dates"), F.count_if(cl.ambiguous_date(F.col("issue_text"))).alias("ambiguous")
+    )
+
+
 @query(
     "P8 F16",
     duck("messy", """SELECT row_idx, face_amount AS face_amount, CASE WHEN row_idx % 6 = 0 THEN day END AS issue_date, row_idx % 3 = 0 AS is_smoker, trim(gender) AS gender FROM messy"""),

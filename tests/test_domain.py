@@ -85,10 +85,12 @@ def test_currency_spellings(spark):
 
 def test_dates_day_first_and_serial(spark):
     rows = [("2023-01-15", "2023-01-15"), ("15/01/2023", "2023-01-15"), ("01/15/2023", "2023-01-15"), ("15-Jan-2023", "2023-01-15"), ("20230115", "2023-01-15"),
-            ("15.01.2023", "2023-01-15"), ("44941", "2023-01-15"), ("2023/01/15", "2023-01-15"), ("03/04/2023", "2023-04-03")]
+            ("15.01.2023", "2023-01-15"), ("44941", "2023-01-15"), ("2023/01/15", "2023-01-15"), ("03/04/2023", "2023-04-03"),
+            ("15-JAN-23", "2023-01-15"), ("1/2/2023", "2023-02-01"), ("15-Jan-85", "1985-01-15")]
     df = spark.createDataFrame(rows, "raw string, want string").withColumn("got", cl.parse_date(F.col("raw")).cast("string"))
     assert df.where("got IS NULL OR got <> want").collect() == []
     assert one(spark, cl.parse_date(F.lit("n/a"))) is None
+    assert one(spark, cl.ambiguous_date(F.lit("03/04/2023"))) and not one(spark, cl.ambiguous_date(F.lit("15/04/2023")))
 
 
 def test_cleaning_twice_changes_nothing(spark):
