@@ -61,7 +61,8 @@ ANY_KEYWORD = words_pattern([w for ws in KEYWORDS.values() for w in ws])
 
 
 def has_any(text: Column, words: list[str]) -> Column:
-    return text.rlike(words_pattern(words))
+    """Plain substring tests; on long lines far cheaper than one alternation."""
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in dict.fromkeys(words)])
 
 
 def hits(text: Column, words: list[str]) -> Column:
@@ -70,12 +71,12 @@ def hits(text: Column, words: list[str]) -> Column:
 
 
 def is_number(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, "[,$]", "")).rlike(NUMBER_PATTERN)
+    return F.trim(F.translate(c, ",$", "")).rlike(NUMBER_PATTERN)
 
 
 def digits_only(c: Column) -> Column:
     """Only digits once dots and dashes are gone."""
-    return F.regexp_replace(c, "[.-]", "").rlike("^[0-9]+$")
+    return F.translate(c, ".-", "").rlike("^[0-9]+$")
 
 
 def content_features(rows: DataFrame) -> DataFrame:
@@ -168,9 +169,10 @@ def proximity_features(rows: DataFrame) -> DataFrame:
     c = F.col
     blanks = F.filter(F.transform("cells", lambda v, i: F.when(F.trim(v) == "", i)), lambda i: i.isNotNull())
     rows = rows.withColumns(
-        {"_n": F.size("cells"), "_blanks": blanks, "_packed": F.length(F.regexp_replace("line", " ", ""))}
+        {"_n": F.size("cells"), "_blanks": blanks, "_packed": F.length(F.translate("line", " ", "")), **coherence_points()}
     )
-    spread, w = with_neighbours(rows, "file_id", "row_idx", reach=9)
+    # All that reads the text is done: only numbers go through the window shuffle, with the line for later use.
+    spread, w = with_neighbours(rows.drop("cells"), "file_id", "row_idx", reach=9)
     me = F.struct("null_share", "non_null", "text_length", "consistency", "_n", "_blanks", "_packed").alias("_me")
     spread = spread.withColumn("_me", me)
     near = {o: F.lag("_me", o).over(w) for o in (-3, -2, -1, 1, 2, 3)}
@@ -208,49 +210,59 @@ def proximity_features(rows: DataFrame) -> DataFrame:
         + 0.5 * F.when(c("non_null") > c("numeric_count"), c("_p_text")).otherwise(1 - c("_p_text"))
     ) / 3.0
     offsets = list(near)
+    # Each similarity is a column of its own first: it is used twice in the mean.
+    out = out.withColumns(
+        {f"_s{i}": similar(c(f"_nb{i}")) for i in range(6)}
+        | {f"_q{i}": same_pattern(c(f"_nb{i}")) for i, o in enumerate(offsets) if abs(o) <= 2}
+    )
+    patterns = [f"_q{i}" for i, o in enumerate(offsets) if abs(o) <= 2]
     out = out.withColumns(
         {
-            "neighbour_similarity": _mean_of([similar(c(f"_nb{i}")) for i in range(6)], 0.0),
-            "pattern_consistency": _mean_of([same_pattern(c(f"_nb{i}")) for i, o in enumerate(offsets) if abs(o) <= 2], 0.5),
+            "neighbour_similarity": _mean_of([c(f"_s{i}") for i in range(6)], 0.0),
+            "pattern_consistency": _mean_of([c(q) for q in patterns], 0.5),
             "structural_similarity": structure,
             "coherence": coherence([c(f"_f{o}") for o in follow]),
         }
     )
-    drop = [f"_nb{i}" for i in range(6)] + [f"_f{o}" for o in follow]
-    return out.drop("_n", "_blanks", "_packed", "_me", "_p_fields", "_p_cell", "_p_num", "_p_text", *drop)
+    drop = [f"_nb{i}" for i in range(6)] + [f"_f{o}" for o in follow] + [f"_s{i}" for i in range(6)] + patterns
+    return out.drop("_n", "_blanks", "_packed", "_me", "_p_fields", "_p_cell", "_p_num", "_p_text", "_header", "_data", "_junk", *drop)
 
 
-def coherence(following: list[Column]) -> Column:
-    """Fit of a row as header, as data, or else as not junk. Points are counted in tenths."""
+def coherence_points() -> dict[str, Column]:
+    """Points, in tenths, of a row as header, data and junk, as far as the row itself tells."""
     c = F.col
     low = F.lower("line")
     cells = F.filter("cells", lambda v: F.trim(v) != "")
-    calm = F.size(F.filter(cells, lambda v: (v.contains("_") & (F.length(v) < 30)) | (F.regexp_count(F.regexp_replace(v, "[_-]", " "), F.lit(" ")) <= 2)))
-    followers = reduce(lambda a, b: a + b, [F.coalesce((F.abs(f - c("non_null")) <= 2).cast("int"), F.lit(0)) for f in following])
-    placed = (c("row_idx") < c("n_rows") - 2) & (followers >= 2)
+    gaps = lambda v: F.length(v) - F.length(F.translate(v, "_- ", ""))
+    calm = F.size(F.filter(cells, lambda v: (v.contains("_") & (F.length(v) < 30)) | (gaps(v) <= 2)))
     pts = lambda cond, p: F.when(cond, p).otherwise(0)
-    header = pts(c("non_null") * 10 >= c("width") * 6, 3) + pts(placed, 3) + pts((c("non_null") > 0) & (calm * 10 >= c("non_null") * 6), 4)
-    numeric = F.exists(cells, digits_only)
-    dated = F.exists(cells, lambda v: ~digits_only(v) & (v.contains("/") | (v.contains("-") & (F.length(v) >= 8))))
-    plain = F.exists(cells, lambda v: ~digits_only(v) & ~v.contains("/") & ~(v.contains("-") & (F.length(v) >= 8)))
-    kinds = numeric.cast("int") + dated.cast("int") + plain.cast("int")
-    data = (
-        pts((c("row_idx") >= 1) & (c("row_idx") < c("n_rows") - 2), 2)
+    kind = lambda v: F.when(digits_only(v), 1).when(v.contains("/") | (v.contains("-") & (F.length(v) >= 8)), 2).otherwise(3)
+    letters = F.size(F.array_distinct(F.split(F.translate(low, " ", ""), "")))
+    return {
+        "_header": pts(c("non_null") * 10 >= c("width") * 6, 3) + pts((c("non_null") > 0) & (calm * 10 >= c("non_null") * 6), 4),
+        "_data": pts((c("row_idx") >= 1) & (c("row_idx") < c("n_rows") - 2), 2)
         + pts(c("non_null") * 2 >= c("width"), 3)
-        + pts(kinds >= 2, 3)
-        + pts(~has_any(low, DATA_JUNK), 2)
-    )
-    letters = F.size(F.array_distinct(F.split(F.regexp_replace(low, " ", ""), "")))
-    junk = F.least(
-        F.lit(10),
-        pts((c("width") - c("non_null")) * 10 > c("width") * 7, 4)
-        + pts((c("row_idx") * 5 > c("n_rows") * 4) & has_any(low, FOOTER_WORDS), 6)
-        + pts(has_any(low, STRONG_JUNK), 5)
-        + pts(has_any(low, METADATA_PHRASES), 3)
-        + pts((letters <= 3) & (F.length(low) > 5), 7)
-        + pts((c("non_null") == 1) & has_any(low, ["total", "sum", "summary"]), 6),
-    )
-    return F.when(header > 7, header).when(data > 6, data).otherwise(10 - junk) / 10.0
+        + pts(F.size(F.array_distinct(F.transform(cells, kind))) >= 2, 3)
+        + pts(~has_any(low, DATA_JUNK), 2),
+        "_junk": F.least(
+            F.lit(10),
+            pts((c("width") - c("non_null")) * 10 > c("width") * 7, 4)
+            + pts((c("row_idx") * 5 > c("n_rows") * 4) & has_any(low, FOOTER_WORDS), 6)
+            + pts(has_any(low, STRONG_JUNK), 5)
+            + pts(has_any(low, METADATA_PHRASES), 3)
+            + pts((F.length(low) > 5) & (letters <= 3), 7)
+            + pts((c("non_null") == 1) & has_any(low, ["total", "sum", "summary"]), 6),
+        ),
+    }
+
+
+def coherence(following: list[Column]) -> Column:
+    """Fit of a row as header, as data, or else as not junk. ``following`` holds the next rows' field counts."""
+    c = F.col
+    alike = reduce(lambda a, b: a + b, [F.coalesce((F.abs(f - c("non_null")) <= 2).cast("int"), F.lit(0)) for f in following])
+    placed = (c("row_idx") < c("n_rows") - 2) & (alike >= 2)
+    header = c("_header") + F.when(placed, 3).otherwise(0)
+    return F.when(header > 7, header).when(c("_data") > 6, c("_data")).otherwise(10 - c("_junk")) / 10.0
 
 
 def statistical_scores(sheet_rows: DataFrame) -> DataFrame:
@@ -260,7 +272,7 @@ def statistical_scores(sheet_rows: DataFrame) -> DataFrame:
     return proximity_features(rows).withColumn(
         "proximity_score",
         (1.0 - c("neighbour_similarity")) * 0.4 + (1.0 - c("pattern_consistency")) * 0.3 + (1.0 - c("coherence")) * 0.3,
-    ).drop("cells")  # nothing later reads the cells, and staged results stay smaller
+    )
 
 
 def clip(x: Column, low: float, high: float) -> Column:
@@ -305,7 +317,7 @@ def header_candidates(rows: DataFrame) -> DataFrame:
         return (
             F.when((length >= 2) & (length <= 50), 3).otherwise(0)
             + F.when(v.contains("_") | F.substring(v, 2, 1_000_000).rlike(r"\p{Lu}"), 2).otherwise(0)
-            + F.when(~F.regexp_replace(v, "[./-]", "").rlike("^[0-9]+$"), 2).otherwise(0)
+            + F.when(~F.translate(v, "./-", "").rlike("^[0-9]+$"), 2).otherwise(0)
             + F.when(F.lower(v).rlike(words_pattern(HEADER_WORDS)), 3).otherwise(0)
         )
 
