@@ -202,8 +202,8 @@ def _joiner(rule: Rule):
     return run
 
 
-def components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
+def components(docs: DataFrame, rule: Rule = Rule(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns in ``keep``, n_shingles and component_id of every row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id reachable by links, the document's own included. Documents with one and the same set are one node, so
     copies cost a hash each. Null, empty or blank text: no shingle, no link, its own component. Null doc_id: the row follows
@@ -215,8 +215,9 @@ def components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
             sets = [shingles(t, rule.words) for t in pdf.pop("text")]
             yield pdf.assign(n_shingles=[len(s) for s in sets], node=[signature(s) for s in sets])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = cut_lineage(docs.select("doc_id", "text").mapInPandas(measure, f"doc_id {kind}, n_shingles long, node long"), "jaccard-sets")
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep))
+    rows = cut_lineage(docs.select("doc_id", *keep, "text").mapInPandas(measure, f"{schema}, n_shingles long, node long"), "jaccard-sets")
 
     # Cells of two different documents or more, named after their smallest.
     met = _deal(docs, rule).groupBy("cell").agg(F.min("node").alias("cluster"), F.max("node").alias("_other")).where("cluster < _other").select("cell", "cluster")
@@ -265,4 +266,4 @@ def components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     least = cut_lineage(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
     of_node = cut_lineage(named.select("node", "component").join(least, "component").select("node", "component_id"), "jaccard-named")
     out = rows.join(of_node, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", *keep, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -84,11 +84,11 @@ def _block_rounder(seed: int, level: int):
     return run
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, limit: float = 3.0, seed: int = 17, block: int = 256) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, limit: float = 3.0, seed: int = 17, block: int = 256, keep: tuple[str, ...] = ()) -> DataFrame:
     """Copies of each document so that every source's words come to its target.
 
-    Returns doc_id, source, size, source_size, target, copies, taken (copies times size), one row per row
-    of ``docs``. Each source's rate (target over size) splits into whole copies and a fractional one;
+    Returns doc_id, the columns in ``keep``, source, size, source_size, target, copies, taken (copies times size), one row
+    per row of ``docs``. Each source's rate (target over size) splits into whole copies and a fractional one;
     the fractions are rounded by a reduction tree: blocks of about ``block`` documents settle all but
     one of their documents, whose residuals meet in the next level. A source misses its target by less than one document.
 
@@ -96,7 +96,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float =
     like any other. Repeated rows are rounded one by one. Empty table: no rows. Extra columns are ignored.
     Draws depend on ``seed`` and the ids alone, so reruns and retried tasks agree.
     """
-    sizes = cut_lineage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sizes = cut_lineage(docs.select("doc_id", *keep, "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     src = cut_lineage(source_targets(sizes, weights, share, limit), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     to = src.select(F.col("source").alias("_s"), "n_docs", "source_size", "target", rate.alias("rate"))
@@ -122,4 +122,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float =
     for part in done[1:]:
         out = out.unionByName(part)
     copies = (F.col("whole") + F.round("p")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", *keep, "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -188,8 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
     return train(rows["text"].tolist(), rows["quality"].to_numpy(), seed=seed)
 
 
-def score(docs: DataFrame, params: Params, held_out: Column | None = None, cut: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``; each text is scored whole.
+def score(docs: DataFrame, params: Params, held_out: Column | None = None, cut: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of ``docs``; each text is scored whole. ``keep`` names more columns to return.
 
     Null text counts as empty: one chunk of zero bytes. Null ids and repeated rows are scored row by row, an empty
     table gives no rows, extra columns are ignored.
@@ -199,8 +199,11 @@ def score(docs: DataFrame, params: Params, held_out: Column | None = None, cut:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = score_texts(pdf.pop("text").tolist(), sent.value).astype(float)
-            yield pdf.assign(score=got, predicted=(got >= cut).astype(np.int32))
-
-    rows = docs.select("doc_id", held.alias("held_out"), "text")
-    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
+            got = score_texts(pdf["text"].tolist(), sent.value).astype(float)
+            yield pdf[kept].assign(score=got, predicted=(got >= cut).astype(np.int32))
+
+    kinds = dict(docs.dtypes)
+    kept = ["doc_id", *keep, "held_out"]
+    rows = docs.select("doc_id", *keep, *([] if "text" in keep else ["text"]), held.alias("held_out"))
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in kept[:-1]])
+    return rows.mapInPandas(run, f"{schema}, held_out boolean, score double, predicted int")

@@ -13,7 +13,6 @@ later passes join to their block without moving the texts again.
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,8 +108,8 @@ def block_segments(texts: list[bytes], docs: np.ndarray, need: int = NEED) -> pd
     return pd.concat(out, ignore_index=True)
 
 
-def in_blocks(docs: DataFrame) -> DataFrame:
-    """The documents in a table bucketed by block: block, doc_id, text. Only whole rows of one input partition share a block, so nothing is shuffled."""
+def in_blocks(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The documents in a table bucketed by block: doc_id, text, the columns in ``keep``, block. Only whole rows of one input partition share a block, so nothing is shuffled."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, size = TaskContext.get().partitionId() << 24, 0
@@ -123,7 +122,9 @@ def in_blocks(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     path = scratch_path(spark, "repeat-blocks")
     name = "blocks_" + path.rsplit("-", 1)[1]
-    rows = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text string, block long")
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", "text", *keep))
+    rows = docs.select("doc_id", "text", *keep).mapInPandas(run, f"{schema}, block long")
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total // BLOCK))
     rows.write.bucketBy(buckets, "block").option("path", path).option("compression", "zstd").saveAsTable(name)
@@ -237,12 +238,13 @@ def _sorted_shard(need: int):
     return run
 
 
-def _cut(need: int, kind: str):
+def _cut(need: int, with_text: bool, keep: tuple[str, ...]):
     """Removed bytes of each document of a block."""
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else [])]
 
     def run(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
-            return pd.DataFrame({c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")})
+            return pd.DataFrame({c: [] for c in ("doc_id", *keep, *names)})
         docs, texts = _ids(pdf), _texts(pdf)
         own = block_segments(texts, docs, need)
         least = _least(own)
@@ -265,8 +267,8 @@ def _cut(need: int, kind: str):
                 removed, runs, at = removed + e - s, runs + 1, e
             kept.append(raw[at:])
             left = b"".join(kept)
-            out.append((len(raw), removed, runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
-        return pd.concat([pdf[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])], axis=1)
+            out.append((len(raw), removed, runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore"))[: len(names)])
+        return pd.concat([pdf[["doc_id", *keep]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
     return run
 
@@ -285,8 +287,8 @@ def merged(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-def remove_repeats(docs: DataFrame, need: int = NEED, with_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of every row of ``docs`` (doc_id, text).
+def remove_repeats(docs: DataFrame, need: int = NEED, with_text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of every row of ``docs`` (doc_id, text), with the columns in ``keep``.
 
     A byte goes when a string of ``need`` bytes that covers it also starts in a document with a smaller id; strings are judged on the
     input. kept_text leaves out a character of which a part was removed; kept_sha256 is of the bytes.
@@ -294,8 +296,8 @@ def remove_repeats(docs: DataFrame, need: int = NEED, with_text: bool = True) ->
     Null text: empty. Texts shorter than ``need``: kept. Null doc_id: has no place in the order, so it neither loses nor removes anything.
     Rows with one doc_id do not remove each other's bytes. An empty table gives no rows; extra columns are ignored; a long text is cut into overlapping pieces.
     """
-    kind = dict(docs.dtypes)["doc_id"]
-    blocks = in_blocks(docs)
+    kinds = dict(docs.dtypes)
+    blocks = in_blocks(docs, keep)
     offers = blocks.groupBy("block").applyInPandas(_offers(need), "gram long, content long, doc long, block long")
     settled = offers.repartition("gram").sortWithinPartitions("gram", "content", "doc").mapInPandas(_settle, "gram long, content long, doc long, block long, gone boolean")
     settled = cut_lineage(settled, "repeat-settled")
@@ -306,6 +308,6 @@ def remove_repeats(docs: DataFrame, need: int = NEED, with_text: bool = True) ->
     runs = contents.withColumn("shard", shard).groupBy("shard").applyInPandas(_sorted_shard(need), "gram long, content long, doc long, block long, a long, b long")
     runs = cut_lineage(runs, "repeat-runs")
     told = runs.unionByName(settled.where("gone").drop("gone").withColumns({"a": F.lit(-1).cast("long"), "b": F.lit(-1).cast("long")}))
-    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    out = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_cut(need, kind), schema)
-    return out if with_text else out.drop("kept_text")
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema += ", kept_text string" if with_text else ""
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_cut(need, with_text, keep), schema)
