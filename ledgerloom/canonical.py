@@ -128,19 +128,19 @@ def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cedent_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Premium, incurred and counts by cedent and loss year.
 
-    Claims are summed by treaty and year first, so only those sums meet the treaties.
+    Money is summed in decimals, so a sum doesn't depend on the order of its rows. Claims are summed by treaty and year first, so only those sums meet the treaties.
     """
     by_treaty = (
         claims(spark, sf_dir)
         .groupBy("treaty_id", F.year("loss_date").alias("year"))
         .agg(
-            F.sum("claim_amount").alias("p"),
-            F.sum("recovery").alias("r"),
+            F.sum(F.col("claim_amount").cast("decimal(18,2)")).alias("p"),
+            F.sum(F.col("recovery").cast("decimal(18,4)")).alias("r"),
             F.count(F.lit(1)).alias("n"),
-            F.sum("units").alias("u"),
+            F.sum(F.col("units").cast("decimal(18,2)")).alias("u"),
         )
     )
-    premium, incurred = F.sum("p"), F.sum("r") * 12
+    premium, incurred = F.sum("p").cast("double"), F.sum("r").cast("double") * 12
     return (
         by_treaty.join(treaties(spark, sf_dir).select("treaty_id", "cedent_id"), "treaty_id")
         .groupBy("cedent_id", "year")
@@ -148,7 +148,7 @@ def cedent_years(spark: SparkSession, sf_dir: str) -> DataFrame:
             premium.alias("premium_volume"),
             incurred.alias("incurred_claims"),
             F.sum("n").alias("policy_count"),
-            (F.sum("u") * 10000).alias("face_amount_inforce"),
+            (F.sum("u").cast("double") * 10000).alias("face_amount_inforce"),
         )
         .withColumn("loss_ratio", F.col("incurred_claims") / F.col("premium_volume"))
         .withColumn("ae_ratio", F.col("loss_ratio") / F.lit(0.62))

@@ -91,16 +91,17 @@ FLAG_WORDS = ["is_", "has_", "flag"]
 
 
 def coerce_types(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Type text columns by their names: number, date, boolean, else trimmed text."""
+    """Type text columns by their names: number, date, boolean, else trimmed text. What can't be read is NULL."""
     out = {}
     for c in columns:
         n, x = c.lower(), F.col(c)
-        if any(w in n for w in DATE_WORDS):
-            out[c] = F.try_to_timestamp(x, F.lit("yyyy-MM-dd")).cast("date")
-        elif any(w in n for w in NUMBER_WORDS):
+        if any(w in n for w in NUMBER_WORDS):
             out[c] = F.regexp_replace(F.trim(x), "[,$]", "").try_cast("double")
+        elif any(w in n for w in DATE_WORDS):
+            out[c] = parse_date(x)
         elif any(w in n for w in FLAG_WORDS):
-            out[c] = F.lower(F.trim(x)).isin("1", "true", "yes", "y", "t")
+            word = F.lower(F.trim(x))
+            out[c] = F.when(word.isin("1", "true", "yes", "y", "t"), True).when(word.isin("0", "false", "no", "n", "f"), False)
         else:
             out[c] = F.trim(x)
     return df.withColumns(out)

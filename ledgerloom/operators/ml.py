@@ -43,29 +43,34 @@ def split(df: DataFrame, key: str, test: float = 0.2) -> tuple[DataFrame, DataFr
     return df.where(bucket >= int(test * 1000)), df.where(bucket < int(test * 1000))
 
 
-def regressors(label: str, rows: int | None = None) -> dict[str, tuple]:
-    """Models and their grids; large tables get the reduced grid."""
-    small = rows is not None and rows > 10_000
+#: Values searched for each model, whatever the size of the table.
+REGRESSION_GRID = {"regParam": [0.0, 0.1, 1.0], "elasticNetParam": [0.0, 0.5], "forest_depth": [4, 6], "boosting_depth": [3, 5]}
+
+
+def regressors(label: str, grid: dict[str, list] | None = None) -> dict[str, tuple]:
+    """Models and their grids: linear, elastic net, forest and boosting."""
+    g = REGRESSION_GRID | (grid or {})
     lr = LinearRegression(labelCol=label, maxIter=50)
+    en = LinearRegression(labelCol=label, maxIter=50, regParam=0.1)
     rf = RandomForestRegressor(labelCol=label, seed=SEED, numTrees=20)
     gb = GBTRegressor(labelCol=label, seed=SEED, maxIter=15)
     return {
-        "linear": (lr, ParamGridBuilder().addGrid(lr.regParam, [0.0] if small else [0.0, 0.1, 1.0]).build()),
-        "random_forest": (rf, ParamGridBuilder().addGrid(rf.maxDepth, [6] if small else [4, 6]).build()),
-        "gradient_boosting": (gb, ParamGridBuilder().addGrid(gb.maxDepth, [4] if small else [3, 5]).build()),
+        "linear": (lr, ParamGridBuilder().addGrid(lr.regParam, g["regParam"]).build()),
+        "elastic_net": (en, ParamGridBuilder().addGrid(en.elasticNetParam, g["elasticNetParam"]).build()),
+        "random_forest": (rf, ParamGridBuilder().addGrid(rf.maxDepth, g["forest_depth"]).build()),
+        "gradient_boosting": (gb, ParamGridBuilder().addGrid(gb.maxDepth, g["boosting_depth"]).build()),
     }
 
 
 def train_regressors(df: DataFrame, key: str, label: str, numeric: list[str], categorical: list[str], folds: int = 3, which: list[str] | None = None):
     """Fit each model (grid search by cross-validation where its grid has a choice); returns models and a metrics table."""
     train, test = split(fill_text(df, categorical), key)
-    n = df.count()
     prep = Pipeline(stages=preparation(numeric, categorical)).fit(train)
     # Folds and boosting rounds read the training rows many times. Lost blocks are recomputed from the scan.
     tr = prep.transform(train).select(key, label, "features").persist()
     te = prep.transform(test).select(key, label, "features")
     models, parts = {}, []
-    for name, (est, grid) in regressors(label, n).items():
+    for name, (est, grid) in regressors(label).items():
         if which and name not in which:
             continue
         if len(grid) > 1:
@@ -85,9 +90,9 @@ def best_model(metrics: DataFrame, by: str = "rmse", lowest: bool = True) -> Dat
     return metrics.agg(pick("model", by).alias("model"), end(by).alias(by))
 
 
-def frequency_model(df: DataFrame, label: str, numeric: list[str]):
-    """Poisson regression of claim counts."""
-    glm = GeneralizedLinearRegression(family="poisson", link="log", labelCol=label, maxIter=25, regParam=0.01)
+def frequency_model(df: DataFrame, label: str, numeric: list[str], offset: str | None = None):
+    """Poisson regression of claim counts; ``offset`` is the column with the log of the risks."""
+    glm = GeneralizedLinearRegression(family="poisson", link="log", labelCol=label, maxIter=25, regParam=0.01, **({"offsetCol": offset} if offset else {}))
     return Pipeline(stages=[*preparation(numeric, [], scale=True), glm]).fit(df)
 
 
@@ -103,26 +108,35 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("weight", w)
 
 
-def classifiers(label: str, width: int) -> dict:
+def classifiers(label: str, width: int) -> dict[str, tuple]:
+    """Lapse models and the grids searched for them."""
+    lr = LogisticRegression(labelCol=label, weightCol="weight", maxIter=50)
+    rf = RandomForestClassifier(labelCol=label, weightCol="weight", seed=SEED, numTrees=20)
+    gb = GBTClassifier(labelCol=label, weightCol="weight", seed=SEED, maxIter=15)
+    nn = MultilayerPerceptronClassifier(labelCol=label, layers=[width, 16, 8, 2], maxIter=60, seed=SEED)
     return {
-        "logistic": LogisticRegression(labelCol=label, weightCol="weight", maxIter=50),
-        "random_forest": RandomForestClassifier(labelCol=label, weightCol="weight", seed=SEED, numTrees=20, maxDepth=6),
-        "gradient_boosting": GBTClassifier(labelCol=label, weightCol="weight", seed=SEED, maxIter=15, maxDepth=4),
-        "neural_network": MultilayerPerceptronClassifier(labelCol=label, layers=[width, 16, 8, 2], maxIter=60, seed=SEED),
+        "logistic": (lr, ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.1]).build()),
+        "random_forest": (rf, ParamGridBuilder().addGrid(rf.maxDepth, [4, 6]).build()),
+        "gradient_boosting": (gb, ParamGridBuilder().addGrid(gb.maxDepth, [4]).build()),
+        "neural_network": (nn, ParamGridBuilder().build()),
     }
 
 
-def train_classifiers(df: DataFrame, key: str, label: str, numeric: list[str], categorical: list[str], which: list[str] | None = None):
-    """Fit the lapse classifiers; returns models and AUC per model on the held-out part."""
+def train_classifiers(df: DataFrame, key: str, label: str, numeric: list[str], categorical: list[str], which: list[str] | None = None, folds: int = 3, search: bool = True):
+    """Fit the lapse classifiers, each with the best setting of its grid by cross-validated AUC (the first setting without ``search``); returns models and AUC per model on the held-out part."""
     train, test = split(fill_text(df, categorical), key)
     prep = Pipeline(stages=preparation(numeric, categorical, scale=True)).fit(train)
     tr = class_weights(prep.transform(train), label).select(key, label, "weight", "features").persist()
     te = prep.transform(test).select(key, label, "features")
     models, parts = {}, []
-    for name, est in classifiers(label, len(numeric) + len(categorical)).items():
+    for name, (est, grid) in classifiers(label, len(numeric) + len(categorical)).items():
         if which and name not in which:
             continue
-        model = est.fit(tr)
+        if search and len(grid) > 1:
+            rank = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
+            model = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=rank, numFolds=folds, seed=SEED, parallelism=2).fit(tr).bestModel
+        else:
+            model = est.fit(tr, grid[0])
         scored = model.transform(te).withColumn("score", vector_to_array("probability")[1])
         models[name] = PipelineModel([*prep.stages, model])
         parts.append(mt.auc(scored, label, "score").select("auc", F.lit(name).alias("model")))
@@ -134,9 +148,19 @@ def probability(model, df: DataFrame, name: str = "score") -> DataFrame:
     return model.transform(df).withColumn(name, vector_to_array("probability")[1])
 
 
-def calibrate(scored: DataFrame, label: str, score: str = "score"):
-    """Isotonic map from score to observed rate. Equal scores are pooled into one weighted point before the fit."""
-    pooled = scored.groupBy(F.round(score, 4).alias(score)).agg(F.avg(F.col(label).cast("double")).alias("rate"), F.count(F.lit(1)).cast("double").alias("w"))
+def out_of_fold(df: DataFrame, key: str, label: str, numeric: list[str], categorical: list[str], name: str = "logistic", folds: int = 3) -> DataFrame:
+    """Scores of a classifier for rows it has not seen: each fold of a hash of the key is scored by a model of the others."""
+    fold = F.pmod(F.xxhash64(F.col(key), F.lit(SEED + 1)), F.lit(folds))
+    parts = []
+    for k in range(folds):
+        models, _ = train_classifiers(df.where(fold != k), key, label, numeric, categorical, which=[name], search=False)
+        parts.append(probability(models[name], df.where(fold == k)).select(key, label, "score"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def calibrate(scored: DataFrame, label: str, score: str = "score", width: float = 1e-4):
+    """Isotonic map from score to observed rate. Scores within one bin of ``width`` are pooled into a weighted point at their mean for the fit; scoring takes the full score."""
+    pooled = scored.groupBy(F.floor(F.col(score) / width).alias("_bin")).agg(F.avg(score).alias(score), F.avg(F.col(label).cast("double")).alias("rate"), F.count(F.lit(1)).cast("double").alias("w"))
     return IsotonicRegression(featuresCol=score, labelCol="rate", weightCol="w", predictionCol="calibrated").fit(pooled)
 
 
@@ -179,14 +203,23 @@ def maturity_forecasts(wide: DataFrame, maturities: list[str], horizon: int = 5,
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def balance(df: DataFrame, label: str, key: str, target: float = 0.15) -> DataFrame:
-    """Thin the majority class so that positives make up ``target``; a hash of the key decides, so a rerun keeps the same rows."""
+def portable_share(key: Column, seed: int = SEED) -> Column:
+    """A number from 0 to 1 that md5 draws for a key, the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def balance(df: DataFrame, label: str, key: str, target: float = 0.15, low: float = 0.05, high: float = 0.5) -> DataFrame:
+    """Thin the larger class so that the smaller makes up ``target``, where positives are below ``low`` or above ``high``.
+
+    A hash of the key decides, so a rerun keeps the same rows. Otherwise, or where thinning would add rows, all rows stay.
+    """
     c = df.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("p"))).scalar()
     p, n = c.getField("p"), c.getField("n")
-    keep = F.least(F.lit(1.0), p * (1 - target) / target / (n - p))
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(1_000_000)) / 1_000_000
-    positives = df.where(F.col(label) == 1)
-    return positives.unionByName(df.where((F.col(label) == 0) & (u < keep)))
+    minority, majority = F.least(p, n - p), F.greatest(p, n - p)
+    larger = F.when(p * 2 > n, 1).otherwise(0)
+    skewed = (p < n * low) | (p > n * high)
+    keep = F.when(skewed, minority * ((1 - target) / target) / majority).otherwise(F.lit(1.0))
+    return df.where((F.col(label) != larger) | (portable_share(F.col(key)) < keep))
 
 
 def importances(spark: SparkSession, model: PipelineModel) -> DataFrame:

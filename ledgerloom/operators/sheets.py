@@ -316,7 +316,7 @@ def header_candidates(rows: DataFrame) -> DataFrame:
         length = F.length(v)
         return (
             F.when((length >= 2) & (length <= 50), 3).otherwise(0)
-            + F.when(v.contains("_") | F.substring(v, 2, 1_000_000).rlike(r"\p{Lu}"), 2).otherwise(0)
+            + F.when(v.contains("_") | v.rlike(r"(?s).\p{Lu}"), 2).otherwise(0)
             + F.when(~F.translate(v, "./-", "").rlike("^[0-9]+$"), 2).otherwise(0)
             + F.when(F.lower(v).rlike(words_pattern(HEADER_WORDS)), 3).otherwise(0)
         )
@@ -416,7 +416,8 @@ def row_text(rows: DataFrame) -> DataFrame:
 
 def unit_vector(v: Column) -> Column:
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
+    # The outer lambda binds the norm, so that it is computed once per row and not for each element.
+    return F.get(F.transform(F.array(norm), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))), F.lit(0))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -37,8 +37,9 @@ VIEWS = {
         p_type AS line, p_retailprice AS sum_insured, p_size AS risk_count FROM part""",
     "cedent_years": """SELECT *, incurred_claims / premium_volume AS loss_ratio,
         incurred_claims / premium_volume / 0.62::DOUBLE AS ae_ratio FROM (
-        SELECT cedent_id, year(loss_date) AS year, sum(claim_amount) AS premium_volume, sum(recovery) * 12 AS incurred_claims,
-        count(*) AS policy_count, sum(units) * 10000 AS face_amount_inforce
+        SELECT cedent_id, year(loss_date) AS year, CAST(sum(CAST(claim_amount AS DECIMAL(18,2))) AS DOUBLE) AS premium_volume,
+        CAST(sum(CAST(recovery AS DECIMAL(18,4))) AS DOUBLE) * 12 AS incurred_claims,
+        count(*) AS policy_count, CAST(sum(CAST(units AS DECIMAL(18,2))) AS DOUBLE) * 10000 AS face_amount_inforce
         FROM claims JOIN treaties USING (treaty_id) GROUP BY ALL)""",
     "economy": """SELECT event_type AS series, CAST(ts AS DATE) AS date, avg(value) AS value FROM events GROUP BY ALL""",
     "event_log": """SELECT event_id, event_type, ts, user_id AS correlation_id, value,

@@ -145,13 +145,28 @@ def exported_rate_components(spark, d):
     return spark.read.option("header", True).schema("submission_id string, item string, value double, section string").csv(path)
 
 
-@query(
-    "S21 A19",
-    "SELECT 'customer.parquet' AS file_name, 'customer' AS data_type, count(*) AS rows, 5 AS columns, 1.0::DOUBLE AS score FROM customer UNION ALL SELECT 'orders.parquet', 'orders', count(*), 6, 1.0 FROM orders",
-)
+SUPPLIED = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal", "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props", "documents": "doc_id text lang source n_chars", "embeddings": "vec_id embedding label",
+    "pages": "page_id url html", "benchmark": "item_id text", "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
+}
+
+
+def _manifest_sql(table: str, columns: list[str]) -> str:
+    filled = " + ".join(f"CAST({c} IS NOT NULL AS INT)" for c in columns)
+    return f"SELECT '{table}.parquet' AS file_name, '{table}' AS data_type, count(*) AS rows, {len(columns)} AS columns, avg({filled}) / {len(columns)}::DOUBLE AS score FROM {table}"
+
+
+@query("S21 A19", " UNION ALL ".join(_manifest_sql(t, c.split()) for t, c in SUPPLIED.items()), r6="score")
 def file_manifest(spark, d):
-    parts = [sk.file_manifest(cn.table(spark, d, t), t) for t in ("customer", "orders")]
-    return parts[0].unionByName(parts[1])
+    """Each table's files are appended to one stored manifest, which is read back."""
+    path = scratch_path(spark, "manifest")
+    for t in SUPPLIED:
+        sk.append_manifest(sk.file_manifest(cn.table(spark, d, t), t), path)
+    return spark.read.parquet(path)
 
 
 # --- streaming -------------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from .. import canonical as cn
@@ -70,7 +72,7 @@ def policies_with_lapse_history(spark, d):
     )
 
 
-_regions = "SELECT n_name AS region, avg(c_acctbal) AS median_income FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 5 <> 0 GROUP BY 1"
+_regions = "SELECT n_name AS region, avg(c_acctbal) AS median_income FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"
 
 
 @query(
@@ -81,7 +83,7 @@ _regions = "SELECT n_name AS region, avg(c_acctbal) AS median_income FROM custom
 def policies_with_region_economics(spark, d):
     c = cn.table(spark, d, "customer")
     n = cn.table(spark, d, "nation")
-    regions = c.join(n, c.c_nationkey == n.n_nationkey).where("n_nationkey % 5 <> 0").groupBy(F.col("n_name").alias("region")).agg(F.avg("c_acctbal").alias("median_income"))
+    regions = c.join(n, c.c_nationkey == n.n_nationkey).groupBy(F.col("n_name").alias("region")).agg(F.avg("c_acctbal").alias("median_income"))
     by_state = cn.policies(spark, d, with_state=True).groupBy("state").agg(F.count(F.lit(1)).alias("policies"))
     return by_state.join(regions, by_state.state == regions.region, "left").select(
         "state", "policies", "median_income", F.coalesce(F.col("median_income") < 4500, F.lit(False)).alias("low_income_area")
@@ -221,9 +223,10 @@ def _map_sql(schema: str) -> str:
       FROM (SELECT *, {_sq} AS sq FROM lz), (VALUES {fields}) f(field, required, t)) WHERE score > 0.6 QUALIFY row_number() OVER (PARTITION BY file_id, field ORDER BY score DESC, position) = 1"""
 
 
-@query("P1 P2", duck("", _map_sql("claims"), lz=_lz), r6="score")
+@query("P1 P2", duck("", " UNION ALL ".join(f"SELECT '{s}' AS target, * FROM ({_map_sql(s)})" for s in ig.SCHEMAS), lz=_lz), r6="score")
 def mapped_columns(spark, d):
-    return ig.map_columns(_landing(spark, d), "claims")
+    lz = _landing(spark, d)
+    return reduce(lambda a, b: a.unionByName(b), [ig.map_columns(lz, s).select(F.lit(s).alias("target"), "*") for s in ig.SCHEMAS])
 
 
 _pf = ", ".join(f"('{k}', '{f}')" for k, fs in ig.PRODUCT_FIELDS.items() for f in fs)
@@ -246,18 +249,15 @@ def data_domains(spark, d):
     return ig.data_domain(_landing(spark, d)).groupBy("data_domain").agg(F.count(F.lit(1)).alias("files"), F.sum("columns").alias("columns"))
 
 
-_kinds = {f: (k, p) for k, groups in [("LIFE", ig.PRODUCT_FIELDS["LIFE"])] for f in groups for p in [f]}
-
-
 @query(
     "J20",
     duck("", """SELECT dataset1, dataset2, count(*) AS common_columns, count(*) / least(any_value(s1), any_value(s2)) * 100 AS strength FROM (
       SELECT a.kind AS dataset1, b.kind AS dataset2, column_name FROM k a JOIN k b USING (column_name) WHERE a.kind < b.kind) JOIN (SELECT kind AS dataset1, count(*) AS s1 FROM k GROUP BY 1) USING (dataset1) JOIN (SELECT kind AS dataset2, count(*) AS s2 FROM k GROUP BY 1) USING (dataset2) GROUP BY ALL""",
-      lz=_lz, k="SELECT DISTINCT 'set_' || (CAST(substr(file_id, 6) AS INT) % 4) AS kind, column_name FROM lz WHERE position < 2"),
+      lz=_lz, k="SELECT DISTINCT 'set_' || (CAST(substr(file_id, 6) AS INT) % 4) AS kind, column_name FROM lz"),
     r4="strength",
 )
 def dataset_column_overlap(spark, d):
-    sets = _landing(spark, d).where("position < 2").select(
+    sets = _landing(spark, d).select(
         F.concat(F.lit("set_"), F.substring("file_id", 6, 12).cast("int") % 4).alias("file_id"), "column_name"
     ).distinct()
     return ig.column_overlap(sets)

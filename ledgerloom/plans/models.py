@@ -45,8 +45,10 @@ def premium_line(spark, d):
 
 @query("M3")
 def frequency_and_severity(spark, d):
-    f = ig.frequency_data(cn.exposures(spark, d), cn.claims(spark, d), "treaty_id", "risk_count").withColumn("claim_count", F.col("claim_count").cast("double"))
-    freq = ml.frequency_model(f, "claim_count", ["sum_insured", "risk_count"])
+    by_treaty = cn.exposures(spark, d).groupBy("treaty_id").agg(F.sum("sum_insured").alias("sum_insured"), F.sum("risk_count").alias("risk_count"), F.avg("sum_insured").alias("mean_insured"))
+    f = ig.frequency_data(by_treaty, cn.claims(spark, d), "treaty_id", "risk_count").withColumn("claim_count", F.col("claim_count").cast("double"))
+    f = f.where("risk_count > 0").withColumn("log_risks", F.log("risk_count"))
+    freq = ml.frequency_model(f, "claim_count", ["sum_insured", "mean_insured"], offset="log_risks")
     s = ig.severity_data(cn.claims(spark, d), cn.treaties(spark, d).select("treaty_id", "business_line", "retention"), "treaty_id")
     sev = ml.severity_model(s, "log_severity", ["units", "retention"], ["business_line"])
     a = freq.transform(f).groupBy("treaty_id").agg(F.avg("prediction").alias("expected_count"))
@@ -61,15 +63,17 @@ def _lapse(spark, d):
 @query("M4 T5 A30")
 def lapse_classifiers(spark, d):
     _, auc = ml.train_classifiers(_lapse(spark, d), "policy_id", "lapsed", NUM, CAT)
-    return auc
+    auc = cut_lineage(auc)
+    return auc.join(ml.best_model(auc, "auc", lowest=False).select("model", F.lit(True).alias("best")), "model", "left").fillna(False, ["best"])
 
 
 @query("M5 M13 F21")
 def calibrated_lapse_scores(spark, d):
     p = _lapse(spark, d)
     models, _ = ml.train_classifiers(p, "policy_id", "lapsed", NUM, CAT, which=["logistic"])
-    scored = cut_lineage(ml.probability(models["logistic"], p).select("policy_id", "lapsed", "score"))
-    out = ml.calibrate(scored, "lapsed").transform(scored.withColumn("score", F.round("score", 4)))
+    unseen = cut_lineage(ml.out_of_fold(p, "policy_id", "lapsed", NUM, CAT))
+    scored = ml.probability(models["logistic"], p).select("policy_id", "lapsed", "score")
+    out = ml.calibrate(unseen, "lapsed").transform(scored)
     return out.select("policy_id", "score", "calibrated", (1 - F.pow(1 - F.col("calibrated"), F.lit(1 / 12))).alias("monthly_rate"))
 
 
@@ -99,7 +103,15 @@ def rate_forecast_errors(spark, d):
     return ml.maturity_forecasts(_curve_rows(spark, d), ["y2", "y5", "y10"])
 
 
-@query("M9 U2")
+_share = "CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|42'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+@query(
+    "M9 U2",
+    f"""WITH r AS (SELECT doc_id, 1 - quality AS bad FROM labels), c AS (SELECT count(*) AS n, sum(bad) AS p FROM r)
+      SELECT bad, count(*) AS rows FROM r, c WHERE bad <> CASE WHEN p * 2 > n THEN 1 ELSE 0 END OR {_share} <
+        CASE WHEN p < n * 0.05 OR p > n * 0.5 THEN least(p, n - p) * (0.85::DOUBLE / 0.15::DOUBLE) / greatest(p, n - p) ELSE 1.0 END GROUP BY bad""",
+)
 def balanced_labels(spark, d):
     rows = cn.table(spark, d, "labels").select("doc_id", F.col("quality").alias("good")).withColumn("bad", 1 - F.col("good"))
     out = ml.balance(rows, "bad", "doc_id", 0.15)
@@ -131,8 +143,8 @@ def lapse_age_elasticity(spark, d):
     m = models["logistic"]
     base = p.groupBy(*CAT).agg(*[F.avg(c).alias(c) for c in NUM])
     base = ml.probability(m, base, "base_y").select(*CAT, *NUM, "base_y")
-    grid = ml.sensitivity_grid(base, "policy_duration", F.lit(1.0), F.lit(11.0))
-    pts = ml.probability(m, grid, "y").withColumn("x", F.col("policy_duration"))
+    grid = ml.sensitivity_grid(base, "issue_age", F.lit(20.0), F.lit(70.0))
+    pts = ml.probability(m, grid, "y").withColumn("x", F.col("issue_age"))
     return sr.elasticity(pts, CAT)
 
 

@@ -116,17 +116,14 @@ def table_quality_score(spark, d):
     return ql.quality_score(cn.messy_policies(spark, d), MESSY, ["face_amount", "premium", "issue_age"])
 
 
-_few = ["policy_number", "gender", "smoker_status", "face_amount"]
-
-
 @query(
     "A22",
-    duck("messy", f"""SELECT *, greatest(0, 100 - 2 * missing_pct - 3 * duplicate_pct) AS score FROM (SELECT sum(({' + '.join(f'CAST({c} IS NULL AS INT)' for c in _few)}) * n) / (sum(n) * {len(_few)}) * 100 AS missing_pct, sum(n - 1) / sum(n) * 100 AS duplicate_pct
-      FROM (SELECT {', '.join(_few)}, count(*) AS n FROM messy GROUP BY ALL))"""),
+    duck("messy", f"""SELECT *, greatest(0, 100 - 2 * missing_pct - 3 * duplicate_pct) AS score FROM (SELECT sum(({' + '.join(f'CAST({c} IS NULL AS INT)' for c in MESSY)}) * n) / (sum(n) * {len(MESSY)}) * 100 AS missing_pct, sum(n - 1) / sum(n) * 100 AS duplicate_pct
+      FROM (SELECT {', '.join(MESSY)}, count(*) AS n FROM messy GROUP BY ALL))"""),
     r6="missing_pct duplicate_pct score",
 )
 def simple_quality_score(spark, d):
-    return ql.simple_score(cn.messy_policies(spark, d), _few)
+    return ql.simple_score(cn.messy_policies(spark, d), MESSY)
 
 
 _let = "regexp_matches(v, '\\p{L}')"
@@ -445,14 +442,14 @@ def ambiguous_dates(spark, d):
 
 @query(
     "P8 F16",
-    duck("messy", """SELECT row_idx, face_amount AS face_amount, CASE WHEN row_idx % 6 = 0 THEN day END AS issue_date, row_idx % 3 = 0 AS is_smoker, trim(gender) AS gender FROM messy"""),
+    duck("messy", """SELECT row_idx, face_amount AS face_amount, CASE WHEN row_idx % 6 <> 5 THEN day END AS issue_date, CASE row_idx % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false END AS is_smoker, trim(gender) AS gender FROM messy"""),
     day="issue_date",
 )
 def types_from_names(spark, d):
     m = cn.messy_policies(spark, d)
     raw = m.select(
         "row_idx", F.concat(F.lit(" $"), F.col("face_amount").cast("decimal(18,2)").cast("string")).alias("face_amount"), F.col("issue_text").alias("issue_date"),
-        F.when(F.col("row_idx") % 3 == 0, "Yes ").otherwise("no").alias("is_smoker"), "gender",
+        F.element_at(F.array(F.lit("Yes "), F.lit("no"), F.lit("0"), F.lit("unknown")), (F.col("row_idx") % 4 + 1).cast("int")).alias("is_smoker"), "gender",
     )
     return cl.coerce_types(raw, ["face_amount", "issue_date", "is_smoker", "gender"])
 

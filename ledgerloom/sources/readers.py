@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,21 +50,22 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None
     return flatten((reader.schema(schema) if schema else reader).json(path))
 
 
-def find_delimiter(spark: SparkSession, path: str, lines: int = 20) -> str:
-    """The first of ``, ; | TAB`` that splits the opening lines into more than one column.
-
-    Reads a few lines of the file; only their four counts reach the driver.
-    """
-    head = spark.read.text(path).where("trim(value) <> ''").limit(lines)
-    counts = head.agg(*[F.min(F.size(F.split("value", "\\" + d if d == "|" else d))).alias(str(i)) for i, d in enumerate(DELIMITERS)]).first()
-    for i, d in enumerate(DELIMITERS):
-        if (counts[i] or 0) > 1:
-            return d
-    return ","
+def find_delimiters(spark: SparkSession, path: str) -> DataFrame:
+    """Per file of ``path``: file_path and delimiter, the first of ``, ; | TAB`` that stands in more than half of all its lines (else a comma)."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file_path")).where("trim(value) <> ''")
+    split = [F.count_if(F.col("value").contains(d)) * 2 > F.count(F.lit(1)) for d in DELIMITERS]
+    first = F.coalesce(*[F.when(ok, F.lit(d)) for ok, d in zip(split, DELIMITERS)], F.lit(","))
+    return lines.groupBy("file_path").agg(first.alias("delimiter"))
 
 
 def read_any_delimited(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, sep=find_delimiter(spark, path))
+    """Delimited files, each read with its own separator; columns missing in some files are NULL there.
+
+    The driver gets the files' names, one list per separator, as it does for any scan.
+    """
+    found = find_delimiters(spark, path).groupBy("delimiter").agg(F.sort_array(F.collect_list("file_path")).alias("files")).orderBy("delimiter").collect()
+    parts = [read_csv(spark, r.files, sep=r.delimiter) for r in found]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else read_csv(spark, path, sep=",")
 
 
 def read_fixed_width(spark: SparkSession, path: str, layout: list[tuple[str, int, int, str]], skip: int = 0) -> DataFrame:

@@ -57,6 +57,11 @@ def melt_results(priced: DataFrame, key: str, columns: list[str], section: str)
     )
 
 
+def append_manifest(entries: DataFrame, path: str) -> None:
+    """Add the files of one load to the stored manifest."""
+    entries.write.mode("append").parquet(path)
+
+
 def file_manifest(df: DataFrame, name: str) -> DataFrame:
     """One row per input file: rows, columns and completeness."""
     data = [c for c in df.columns]

@@ -8,11 +8,12 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from ledgerloom.session import build_session
 
     s = build_session("tests", master="local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g",
+        "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}",
     })
     yield s
     s.stop()

@@ -87,7 +87,7 @@ def main() -> None:
     if args[:1] == ["--dir"]:
         folder, args = args[1], args[2:]
     if plain:
-        spark = SparkSession.builder.master("local[8]").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.showConsoleProgress", "false").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8").getOrCreate()
         spark.sparkContext.setLogLevel("ERROR")
     else:
         spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
