@@ -147,7 +147,7 @@ def repair_future(c: Column, asof: str) -> Column:
 
 
 def normalise_amounts(df: DataFrame, absolute: list[str], rounded: list[str]) -> DataFrame:
-    out = {c: F.round(F.abs(c) if c in absolute else F.col(c), 2) for c in dict.fromkeys([*absolute, *rounded])}
+    out = {c: F.round((F.abs(c) if c in absolute else F.col(c)).cast("decimal(28,6)"), 2).cast("double") for c in dict.fromkeys([*absolute, *rounded])}
     return df.withColumns(out)
 
 

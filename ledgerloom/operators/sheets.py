@@ -526,10 +526,10 @@ def explain(scored: DataFrame) -> DataFrame:
     c = F.col
     why = F.array_compact(
         F.array(
-            F.when(c("outlier_score") > 0.8, "Very dissimilar to other rows in the dataset"),
-            F.when(c("non_null") == 0, "Completely empty row").when(c("non_null") <= 2, "Mostly empty with very few values"),
-            F.when(c("row_idx") < 3, "Located at the beginning of file (potential header/title)")
-            .when(c("row_idx") >= c("n_rows") - 3, "Located at the end of file (potential footer/summary)"),
+            F.when(c("outlier_score") > 0.8, "outlying_vector"),
+            F.when(c("non_null") == 0, "no_cells").when(c("non_null") <= 2, "few_cells"),
+            F.when(c("row_idx") < 3, "top_of_sheet")
+            .when(c("row_idx") >= c("n_rows") - 3, "end_of_sheet"),
         )
     )
     return scored.where("is_junk").withColumn("reasons", why)

@@ -256,9 +256,9 @@ def portfolio_summary_by_submission(spark, d):
     "G11",
     duck("policies_state", """SELECT *, least(10.0, 5.0 + CASE WHEN g > 0.4 THEN 1.5 WHEN g > 0.25 THEN 0.5 ELSE 0 END + CASE WHEN p > 0.7 THEN 1.0 ELSE 0 END
       + CASE WHEN a > 55 THEN 0.8 WHEN a < 30 THEN 0.5 ELSE 0 END + CASE WHEN s > 0.25 THEN 1.2 ELSE 0 END + CASE WHEN f > 1000000 THEN 0.7 ELSE 0 END)::DOUBLE AS risk_score,
-      array_to_string(list_filter([CASE WHEN g > 0.4 THEN 'High geographic concentration' END, CASE WHEN g > 0.25 AND g <= 0.4 THEN 'Moderate geographic concentration' END,
-        CASE WHEN p > 0.7 THEN 'High product concentration' END, CASE WHEN a > 55 THEN 'Older average issue age' END, CASE WHEN a < 30 THEN 'Very young average issue age' END,
-        CASE WHEN s > 0.25 THEN 'High smoker percentage' END, CASE WHEN f > 1000000 THEN 'Large average face amounts' END], lambda x: x IS NOT NULL), '; ') AS risk_factors
+      array_to_string(list_filter([CASE WHEN g > 0.4 THEN 'state_share_over_40' END, CASE WHEN g > 0.25 AND g <= 0.4 THEN 'state_share_over_25' END,
+        CASE WHEN p > 0.7 THEN 'product_share_over_70' END, CASE WHEN a > 55 THEN 'age_over_55' END, CASE WHEN a < 30 THEN 'age_under_30' END,
+        CASE WHEN s > 0.25 THEN 'smokers_over_25' END, CASE WHEN f > 1000000 THEN 'face_over_1m' END], lambda x: x IS NOT NULL), '; ') AS risk_factors
       FROM (SELECT submission_id, top_state_concentration AS g, top_product_share AS p, avg_issue_age AS a, smoker_percentage AS s, avg_face_amount AS f FROM summary)""", summary=_summary),
     r4="f", r6="g p a s risk_score",
 )

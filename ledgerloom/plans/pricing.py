@@ -88,8 +88,8 @@ _list = "array_to_string(list_filter([{}], lambda x: x IS NOT NULL), '; ')"
     duck("cedent_years", f"""SELECT treaty_id, key_risks, recommendations, CASE WHEN f >= 2 AND n <= 2 THEN 'High' WHEN n >= 4 THEN 'Low' ELSE 'Medium' END AS confidence FROM (
       SELECT treaty_id, CAST(loss_trend = 'stable' AS INT) + CAST(uq IN ('excellent','good') AS INT) AS f,
       CAST(loss_trend <> 'stable' AS INT) + CAST(uq NOT IN ('excellent','good') AS INT) + CAST(cr = 'high' AS INT) + CAST(treaty_type = 'excess_of_loss' AS INT) AS n,
-      {_list.format("CASE WHEN loss_trend <> 'stable' THEN 'Loss ratio trend volatility' END, CASE WHEN uq NOT IN ('excellent','good') THEN 'Underwriting quality concerns' END, CASE WHEN cr = 'high' THEN 'Geographic concentration risk' END, CASE WHEN treaty_type = 'excess_of_loss' THEN 'Low frequency, high severity exposure' END")} AS key_risks,
-      {_list.format("CASE WHEN uq IN ('excellent','good') THEN 'Consider preferential terms due to strong underwriting' END, CASE WHEN cr = 'high' THEN 'Consider aggregate limits or territorial restrictions' END, CASE WHEN treaty_type = 'excess_of_loss' THEN 'Ensure adequate catastrophe reserves' END, CASE WHEN gross_rate > 0.8 THEN 'Rate appears high - consider market competitiveness' END, CASE WHEN gross_rate < 0.3 THEN 'Rate may be insufficient - verify loss projections' END")} AS recommendations
+      {_list.format("CASE WHEN loss_trend <> 'stable' THEN 'loss_trend' END, CASE WHEN uq NOT IN ('excellent','good') THEN 'underwriting' END, CASE WHEN cr = 'high' THEN 'concentration' END, CASE WHEN treaty_type = 'excess_of_loss' THEN 'severity' END")} AS key_risks,
+      {_list.format("CASE WHEN uq IN ('excellent','good') THEN 'better_terms' END, CASE WHEN cr = 'high' THEN 'limit_territory' END, CASE WHEN treaty_type = 'excess_of_loss' THEN 'catastrophe_reserve' END, CASE WHEN gross_rate > 0.8 THEN 'rate_above_market' END, CASE WHEN gross_rate < 0.3 THEN 'rate_below_losses' END")} AS recommendations
       FROM tp)""", an=_an, tp=_tp),
 )
 def treaty_recommendations(spark, d):
@@ -178,15 +178,15 @@ def deal_rate_sensitivities(spark, d):
     return ty.deal_sensitivities(ty.price_deals(_deals(spark, d)), "submission_id")
 
 
-_adv = """CASE WHEN gross_rate > 1.2 THEN 'Rate appears very high - verify market competitiveness' END, CASE WHEN gross_rate > 1.0 AND gross_rate <= 1.2 THEN 'Rate is above 100% - ensure adequate profit margin' END,
-  CASE WHEN gross_rate < 0.7 THEN 'Rate may be insufficient - consider additional margins' END, CASE WHEN expected_loss_ratio > 0.9 THEN 'High expected loss ratio - consider stricter underwriting terms' END,
-  CASE WHEN expected_loss_ratio < 0.5 THEN 'Conservative loss ratio estimate - opportunity for competitive pricing' END, CASE WHEN risk_margin > 0.15 THEN 'High risk margin reflects portfolio concerns - monitor closely' END,
-  CASE WHEN conf < 3 THEN 'Low confidence - recommend conservative approach and frequent monitoring' END, CASE WHEN conf < 3 THEN 'Consider additional data requests or limited trial period' END, CASE WHEN conf >= 5 THEN 'High confidence - proceed with standard terms' END"""
+_adv = """CASE WHEN gross_rate > 1.2 THEN 'rate_over_120' END, CASE WHEN gross_rate > 1.0 AND gross_rate <= 1.2 THEN 'rate_over_100' END,
+  CASE WHEN gross_rate < 0.7 THEN 'rate_under_70' END, CASE WHEN expected_loss_ratio > 0.9 THEN 'loss_ratio_over_90' END,
+  CASE WHEN expected_loss_ratio < 0.5 THEN 'loss_ratio_under_50' END, CASE WHEN risk_margin > 0.15 THEN 'risk_margin_over_15' END,
+  CASE WHEN conf < 3 THEN 'low_confidence' END, CASE WHEN conf < 3 THEN 'more_data' END, CASE WHEN conf >= 5 THEN 'standard_terms' END"""
 
 
 @query(
     "G9",
-    duck("policies_state claims", f"""SELECT submission_id, CASE WHEN r = '' THEN 'Pricing appears reasonable - proceed with standard underwriting review' ELSE r END AS recommendations
+    duck("policies_state claims", f"""SELECT submission_id, CASE WHEN r = '' THEN 'no_finding' ELSE r END AS recommendations
       FROM (SELECT submission_id, {_list.format(_adv)} AS r FROM deal)""", summary=_summary, deal=_deal),
 )
 def deal_recommendations(spark, d):

@@ -456,11 +456,11 @@ def types_from_names(spark, d):
 
 @query(
     "C2 C3 C15",
-    duck("messy", f"""SELECT row_idx, CASE WHEN issue_date > DATE '{ASOF}' AND year(issue_date) > 2050 THEN CAST(issue_date - INTERVAL 100 YEAR AS DATE) ELSE issue_date END AS issue_date, round(abs(face_amount), 2) AS face_amount, round(premium, 2) AS premium, trim(gender) AS gender FROM (SELECT * REPLACE (premium + 0.00003::DOUBLE AS premium) FROM messy)"""),
+    duck("messy", f"""SELECT row_idx, CASE WHEN issue_date > DATE '{ASOF}' AND year(issue_date) > 2050 THEN CAST(issue_date - INTERVAL 100 YEAR AS DATE) ELSE issue_date END AS issue_date, CAST(round(CAST(abs(face_amount) AS DECIMAL(28,6)), 2) AS DOUBLE) AS face_amount, CAST(round(CAST(premium AS DECIMAL(28,6)), 2) AS DOUBLE) AS premium, trim(gender) AS gender FROM messy"""),
     r2="face_amount premium", day="issue_date",
 )
 def repaired_dates_and_amounts(spark, d):
-    m = cn.messy_policies(spark, d).withColumn("premium", F.col("premium") + 0.00003).withColumn("issue_date", cl.repair_future(F.col("issue_date"), ASOF))
+    m = cn.messy_policies(spark, d).withColumn("issue_date", cl.repair_future(F.col("issue_date"), ASOF))
     m = cl.normalise_amounts(m, ["face_amount"], ["premium"])
     return m.select("row_idx", "issue_date", "face_amount", "premium", F.trim("gender").alias("gender"))
 

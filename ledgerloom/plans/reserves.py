@@ -232,15 +232,13 @@ def cohort_lapse_curves(spark, d):
 @query(
     "R19",
     duck("policies", """SELECT drivers, count(*) AS policies, sum(annual_premium) AS premium FROM (SELECT annual_premium,
-      CASE WHEN policy_duration <= 2 AND annual_premium / face_amount * 1000 > 25 THEN 'Early policy duration; High premium-to-coverage ratio'
-           WHEN policy_duration <= 2 THEN 'Early policy duration' WHEN annual_premium / face_amount * 1000 > 25 THEN 'High premium-to-coverage ratio' ELSE 'Standard risk factors' END AS drivers
-      FROM (SELECT * REPLACE (annual_premium + 0.0001 AS annual_premium) FROM policies)) GROUP BY 1"""),
+      CASE WHEN policy_duration <= 2 AND round(annual_premium / face_amount * 1000, 6) > 25 THEN 'first_two_years; premium_over_25_per_1000'
+           WHEN policy_duration <= 2 THEN 'first_two_years' WHEN round(annual_premium / face_amount * 1000, 6) > 25 THEN 'premium_over_25_per_1000' ELSE 'none' END AS drivers
+      FROM policies) GROUP BY 1"""),
     r2="premium",
 )
 def lapse_drivers(spark, d):
-    # A small shift keeps the 25-per-1000 boundary off floating-point ties.
-    p = cn.policies(spark, d).withColumn("annual_premium", F.col("annual_premium") + 0.0001)
-    return rs.lapse_drivers(p).groupBy(F.array_join("drivers", "; ").alias("drivers")).agg(
+    return rs.lapse_drivers(cn.policies(spark, d)).groupBy(F.array_join("drivers", "; ").alias("drivers")).agg(
         F.count(F.lit(1)).alias("policies"), F.sum("annual_premium").alias("premium")
     )
 

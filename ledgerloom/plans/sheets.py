@@ -303,9 +303,9 @@ def fallback_junk_rows(spark, d):
 
 @query(
     "K14",
-    duck("sheets", """SELECT file_id, row_idx, array_to_string(list_filter([CASE WHEN outlier_score > 0.8 THEN 'Very dissimilar to other rows in the dataset' END,
-      CASE WHEN non_null = 0 THEN 'Completely empty row' WHEN non_null <= 2 THEN 'Mostly empty with very few values' END,
-      CASE WHEN row_idx < 3 THEN 'Located at the beginning of file (potential header/title)' WHEN row_idx >= n_rows - 3 THEN 'Located at the end of file (potential footer/summary)' END], lambda x: x IS NOT NULL), '; ') AS reasons
+    duck("sheets", """SELECT file_id, row_idx, array_to_string(list_filter([CASE WHEN outlier_score > 0.8 THEN 'outlying_vector' END,
+      CASE WHEN non_null = 0 THEN 'no_cells' WHEN non_null <= 2 THEN 'few_cells' END,
+      CASE WHEN row_idx < 3 THEN 'top_of_sheet' WHEN row_idx >= n_rows - 3 THEN 'end_of_sheet' END], lambda x: x IS NOT NULL), '; ') AS reasons
       FROM hyb WHERE is_junk""", **ALL),
 )
 def junk_row_explanations(spark, d):
