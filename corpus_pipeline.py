@@ -7,17 +7,42 @@ of ``docs``; rows keep their doc_id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, jaccard, mixing, quality_net, repeats
 from ledgerloom.llm.common import crc_fold, table
-from ledgerloom.session import cut_lineage
+from ledgerloom.session import cut_lineage, drop_scratch, scratch_scope
 
 #: SQL can't train the classifier, so the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Scratch tables of the stage that ran last.
+_made: list[str] = []
+
+
+def tidy(stage: Stage) -> Stage:
+    """Delete the scratch tables of the stage before, now that its result is written. If ``docs`` still reads them, they stay."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not any(f"{path}/" in file for file in docs.inputFiles() for path in _made):
+            drop_scratch(spark, _made)
+            _made.clear()
+        with scratch_scope() as made:
+            out = stage(spark, docs, sf_dir)
+        _made.extend(made)
+        return out
+
+    return run
+
+
+@tidy
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte network scores below 0.3 go. It learns from the labelled documents of folds 1 to 4 of 5."""
     usable = crc_fold(F.col("doc_id"), 5) != 0
@@ -26,6 +51,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality_net.score(docs, params, keep=others).where("predicted = 1").select(docs.columns)
 
 
+@tidy
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 or more of their 5-word shingles, the one with the smallest doc_id stays.
 
@@ -42,6 +68,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return kept.select(docs.columns)
 
 
+@tidy
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes that also start in an earlier document are cut out; a document of which nothing is left goes."""
     keep = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
@@ -50,11 +77,13 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(docs.columns)
 
 
+@tidy
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, as it is or with other values in its slots, go."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
+@tidy
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with their copies (1 to 3) and the words taken."""
     keyed = docs.withColumn("row_key", F.xxhash64(*docs.columns))
