@@ -31,7 +31,8 @@ def tidy(stage: Stage) -> Stage:
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if not any(f"{path}/" in file for file in docs.inputFiles() for path in _made):
+        names = {path.rsplit("/", 1)[1] for path in _made}
+        if not any(names & set(file.split("/")) for file in docs.inputFiles()):
             drop_scratch(spark, _made)
             _made.clear()
         with scratch_scope() as made:
