@@ -186,13 +186,18 @@ def forward_fill(df: DataFrame, idx: str, column: str, chunk: int = 100_000) ->
     """Last earlier non-null value in the order of ``idx``, without one global window.
 
     Each range of ``chunk`` index values is filled on its own; the last value of
-    the ranges before it, one row per range, fills its head.
+    the ranges before it fills its head. The ranges' last values are carried in the same
+    way, ``chunk`` ranges at a time, so one task holds a row per chunk squared index values.
     """
     d = df.withColumn("_c", F.floor(F.col(idx) / chunk))
     inside = Window.partitionBy("_c").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
     tails = d.groupBy("_c").agg(F.max_by(F.col(column), F.when(F.col(column).isNotNull(), F.col(idx))).alias("_tail"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    heads = tails.select("_c", F.last("_tail", ignorenulls=True).over(before).alias("_head"))
+    upto = (Window.unboundedPreceding, -1)
+    wide = tails.withColumn("_g", F.floor(F.col("_c") / chunk))
+    ends = wide.groupBy("_g").agg(F.max_by("_tail", F.when(F.col("_tail").isNotNull(), F.col("_c"))).alias("_end"))
+    starts = ends.select("_g", F.last("_end", ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("_g").rowsBetween(*upto)).alias("_start"))
+    near = F.last("_tail", ignorenulls=True).over(Window.partitionBy("_g").orderBy("_c").rowsBetween(*upto))
+    heads = wide.withColumn("_near", near).join(starts, "_g").select("_c", F.coalesce("_near", "_start").alias("_head"))
     filled = d.withColumn("_f", F.last(column, ignorenulls=True).over(inside)).join(heads, "_c", "left")
     return filled.withColumn(column, F.coalesce("_f", "_head")).drop("_c", "_f", "_head")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import refdata
+from .skew import running_totals
 
 FULL_CREDIBILITY_DEATHS = 1082
 CHI_SQUARE_95 = 3.84
@@ -238,9 +239,12 @@ def market_position(years: DataFrame) -> DataFrame:
     out = years.groupBy("cedent_id").agg(F.avg("loss_ratio").alias("mean_lr"))
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), (1 - (F.col("mean_lr") - 0.60) / F.lit(0.30)) * 100))
     s = F.col("position_score")
-    # One row per cedent reaches this window.
-    rank = F.percent_rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("mean_lr")))
-    return out.withColumn("position_score", score).withColumn("peer_percentile", rank * 100).withColumn(
+    # Share of the other cedents with a higher ratio, from running counts over the distinct ratios.
+    ratios = running_totals(out.groupBy("mean_lr").agg(F.count(F.lit(1)).alias("_n")), "mean_lr", {"_upto": "_n"}).select("mean_lr", "_upto")
+    n = out.agg(F.count(F.lit(1))).scalar()
+    above = F.when(n > 1, (n - F.col("_upto")) / (n - 1)).otherwise(F.lit(0.0))
+    out = out.join(ratios, "mean_lr")
+    return out.withColumn("position_score", score).withColumn("peer_percentile", above * 100).drop("_upto").withColumn(
         "position", F.when(s >= 75, "Top quartile").when(s >= 50, "Above median").otherwise("Below median")
     )
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import skew_join
+
 def by_date():
     return Window.partitionBy("series").orderBy("date")
 
@@ -118,12 +120,17 @@ def as_of_join(rows: DataFrame, states: DataFrame, key: list[str], time: str, co
     intervals are spread to days, so no window ever runs over the big side.
     """
     w = Window.partitionBy(*key).orderBy(time) if key else Window.partitionBy(F.lit(0)).orderBy(time)
+    newest = states.agg(F.max_by(F.struct(time, *columns), time)).scalar() if not key else None
     last = states.agg(F.max(time)).scalar()
     spans = states.withColumn("_next", F.lead(time).over(w))
     end = F.coalesce(F.date_sub("_next", 1), F.col(time))
     daily = spans.withColumn("_day", F.explode(F.sequence(F.col(time), F.greatest(F.col(time), end)))).select(*key, "_day", *columns)
-    keyed = rows.withColumn("_day", F.least(F.col(time), last))  # after the last state, the last state holds
-    return keyed.join(daily, [*key, "_day"], "left").drop("_day")
+    if key:
+        return skew_join(rows.withColumn("_day", F.least(F.col(time), last)), daily, [*key, "_day"], "left").drop("_day")
+    # After the last state, the last state holds: those rows, maybe most, take it as a scalar and meet no key.
+    after = F.col(time) >= last
+    joined = skew_join(rows.withColumn("_day", F.when(~after, F.col(time))), daily, "_day", "left")
+    return joined.withColumn("_new", newest).withColumns({c: F.when(after, F.col("_new")[c]).otherwise(F.col(c)) for c in columns}).drop("_day", "_new")
 
 
 def latest_values(states: DataFrame, time: str, columns: list[str]) -> DataFrame:

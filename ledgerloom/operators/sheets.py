@@ -500,7 +500,7 @@ def hybrid_scores(sheet_rows: DataFrame, semantic_weight: float = 0.4, statistic
     A row is junk when either layer flags it or the weighted score passes the sheet's
     lower threshold, mean + .8 sd within .2 and .6.
     """
-    stat = cut_lineage(combine_scores(statistical_scores(sheet_rows)))
+    stat = combine_scores(statistical_scores(sheet_rows))  # staged inside
     sem = boost_confidence(embedding_outliers(row_vector(stat.withColumnRenamed("threshold", "statistical_threshold")), "row_vector", ROW_VECTOR_DIM, ["file_id"]))
     # A sheet of one row has nothing to be compared with.
     sem = sem.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))

@@ -7,9 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
 HOT_SHARE = 1 / 1000
 HOT_ROWS = 1_000_000
+#: Rows of a heavy key that one task joins; its salts follow from its sketched count.
+ROWS_PER_SALT = 1_000_000
+#: Tasks that rows with a NULL key, which match nothing, are spread over.
+NULL_SALTS = 4096
 
 
 def _key_hash(keys: list[str]) -> Column:
@@ -17,18 +20,18 @@ def _key_hash(keys: list[str]) -> Column:
 
 
 def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, rows: int = HOT_ROWS) -> Column:
-    """Hashes of the heavy keys of ``df`` as one array-valued scalar subquery.
+    """Heavy keys of ``df`` as one scalar subquery: a map from hash to estimated rows.
 
     A frequent-items sketch finds them in one pass, with no shuffle of the rows.
-    At most ``1 / share`` keys can qualify, which bounds the array. A miss costs
-    only balance: both join sides read the same array, so results do not depend on it.
+    At most ``1 / share`` keys can qualify, which bounds the map. A miss costs
+    only balance: both join sides read the same map, so results do not depend on it.
     """
     sketch = df.select(_key_hash(keys).alias("_k")).agg(
         F.expr("approx_top_k(_k, 1000, 10000)").alias("_top"), F.count(F.lit(1)).alias("_n")
     )
     floor = F.greatest(F.lit(float(rows)), F.col("_n") * F.lit(share))
     heavy = F.filter("_top", lambda t: t["count"] > floor)
-    return sketch.select(F.transform(heavy, lambda t: t["item"]).alias("_hot")).scalar()
+    return sketch.select(F.map_from_arrays(F.transform(heavy, lambda t: t["item"]), F.transform(heavy, lambda t: t["count"])).alias("_hot")).scalar()
 
 
 def skew_join(
@@ -36,12 +39,12 @@ def skew_join(
     small: DataFrame,
     keys: list[str] | str,
     how: str = "left",
-    salts: int = SALTS,
+    rows_per_salt: int = ROWS_PER_SALT,
     share: float = HOT_SHARE,
     rows: int = HOT_ROWS,
     hot: Column | None = None,
 ) -> DataFrame:
-    """Equi join in which rows of a heavy key are spread over ``salts`` tasks.
+    """Equi join in which the rows of a heavy key are spread over tasks of about ``rows_per_salt`` rows.
 
     Only the rows of ``small`` with a heavy key are repeated. Spark still turns
     this into a broadcast join when ``small`` is measured to be small.
@@ -52,13 +55,10 @@ def skew_join(
     hot = hot_keys(big, keys, share, rows) if hot is None else hot
     null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     # Row hash plus partition id: identical copies of one row spread out too.
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]) + F.spark_partition_id(), F.lit(salts))
-    is_hot = F.array_contains(hot, _key_hash(keys))
-    left = big.withColumn("_salt", F.when(null_key | is_hot, spread).otherwise(F.lit(0).cast("long")))
-    all_salts = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
-    right = small.withColumn(
-        "_salt", F.explode(F.when(is_hot, all_salts).otherwise(F.array(F.lit(0).cast("long"))))
-    )
+    spread = F.xxhash64(*[F.col(c) for c in big.columns]) + F.spark_partition_id()
+    salts = F.greatest(F.lit(1).cast("long"), F.ceil(F.coalesce(F.try_element_at(hot, _key_hash(keys)), F.lit(0)) / F.lit(rows_per_salt)))
+    left = big.withColumn("_n", F.when(null_key, F.lit(NULL_SALTS).cast("long")).otherwise(salts)).withColumn("_salt", F.pmod(spread, F.col("_n"))).drop("_n")
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
