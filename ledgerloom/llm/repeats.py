@@ -28,7 +28,7 @@ from .suffixes import sort_suffixes
 
 _U = np.uint64
 #: Bytes of a window, bytes of a gram, bytes of a block of documents, bytes worked on at once, bytes of contents in a shard.
-NEED, GRAM, BLOCK, PIECE, SHARD = 50, 16, 8 << 20, 1 << 20, 8 << 20
+NEED, GRAM, BLOCK, PIECE, SHARD = 50, 16, 4 << 20, 1 << 19, 4 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -206,11 +206,45 @@ def _contents(need: int):
     return run
 
 
+def in_company(contents: list[bytes], grams: np.ndarray, need: int, gram: int = GRAM) -> np.ndarray:
+    """Whether each content can share a window with another one of its gram.
+
+    Around a gram in a shared window at least half of the window's other bytes stand before it, or after it, and are shared as well.
+    """
+    raw = np.frombuffer(b"".join(contents), np.uint8)
+    lengths = np.array([len(c) for c in contents], np.int64)
+    ends = np.cumsum(lengths)
+    total = np.zeros(len(raw) + 1, _U)
+    np.cumsum(_BYTE[raw] * _geometric(_BASE, len(raw)), out=total[1:])
+    back = _geometric(_BACK, len(raw) + 1)
+    of = np.repeat(np.arange(len(contents)), lengths)
+    low = mix((total[gram:] - total[:-gram]) * back[: len(raw) - gram + 1]).view(np.int64)
+    at = np.flatnonzero(low == grams[of[: len(low)]])
+    at = at[at + gram <= ends[of[at]]]
+    more = -(-(need - gram) // 2)
+    before = at[at - more >= (ends - lengths)[of[at]]]
+    after = at[at + gram + more <= ends[of[at]]]
+    keys = np.concatenate([
+        mix((total[before + gram] - total[before - more]) * back[before - more]), ~mix((total[after + gram + more] - total[after]) * back[after]),
+    ])
+    who = np.concatenate([of[before], of[after]])
+    order = np.argsort(keys)
+    keys, who = keys[order], who[order]
+    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    several = np.minimum.reduceat(who, heads) != np.maximum.reduceat(who, heads)
+    out = np.zeros(len(contents), bool)
+    out[who[np.repeat(several, np.diff(np.append(heads, len(keys))))]] = True
+    return out
+
+
 def _sorted_shard(need: int):
     """Windows of the contents of a shard that an earlier document has: runs from window ``a`` up to ``b`` of a content."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["gram", "content", "doc", "block"]).reset_index(drop=True)
+        pdf = pdf[in_company(pdf["raw"].tolist(), pdf["gram"].to_numpy(np.int64), need)].reset_index(drop=True)
+        if not len(pdf):
+            return pd.DataFrame({c: [] for c in ("gram", "content", "doc", "block", "a", "b")})
         lengths = pdf["raw"].str.len().to_numpy(np.int64)
         text = np.frombuffer(b"\0".join(pdf["raw"].tolist()) + b"\0", np.uint8).astype(np.int16) + 2
         cuts = np.cumsum(lengths + 1) - 1

@@ -119,3 +119,19 @@ def test_empty_tables(spark):
     none = frame(spark, [])
     assert jaccard.components(none).count() == 0
     assert rp.remove_repeats(none).count() == 0
+
+
+def test_contents_in_company_hold_every_shared_window():
+    rng = random.Random(8)
+    need, gram = 50, 16
+    for _ in range(40):
+        core = bytes(rng.randrange(97, 123) for _ in range(need))
+        a = bytes(rng.randrange(97, 123) for _ in range(rng.randrange(20))) + core + b"xyz"
+        b = b"12345" + core + bytes(rng.randrange(97, 123) for _ in range(rng.randrange(20)))
+        p = rng.randrange(need - gram + 1)
+        c = bytes(rng.randrange(97, 123) for _ in range(40)) + core[p : p + gram] + bytes(rng.randrange(97, 123) for _ in range(40))
+        raw = np.frombuffer(core[p : p + gram], np.uint8)
+        total = np.zeros(gram + 1, np.uint64)
+        np.cumsum(rp._BYTE[raw] * rp._geometric(rp._BASE, gram), out=total[1:])
+        own = rp.mix(total[gram:] - total[:1]).view(np.int64)[0]
+        assert rp.in_company([a, c, b], np.array([own] * 3), need).tolist() == [True, False, True]
