@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 CHUNK, HOP, EMBED, WIDTH, STEP, FILTERS, HIDDEN = 256, 192, 4, 8, 2, 16, 16
 #: Bounds of the training sample: documents of each class, bytes of a document in it.
 SAMPLE, SAMPLE_BYTES = 1500, 32_768
+#: Training steps.
+STEPS = 900
 #: Chunks scored at once.
 BATCH = 512
 
@@ -106,8 +108,8 @@ def score_texts(texts: list[str | None], p: Params) -> np.ndarray:
     return np.concatenate(scores) if scores else np.zeros(0)
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 32, rate: float = 4e-3, seed: int = 5) -> Params:
-    """Adam on the cross entropy; both classes weigh the same. Only a filter's best place in a chunk gets a gradient."""
+def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, batch: int = 32, rate: float = 4e-3, seed: int = 5) -> Params:
+    """Adam on the cross entropy, as many steps for few documents as for many; both classes weigh the same. Only a filter's best place in a chunk gets a gradient."""
     p = new_params(seed)
     y = np.asarray(labels, np.float32)
     share = y.mean()
@@ -119,18 +121,18 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 3
     data = [chunks(t.encode("utf-8", "surrogatepass")) for t in texts]
     rng = np.random.default_rng(seed)
     m, v, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    steps = epochs * -(-len(data) // batch)
-    for _ in range(epochs):
-        order = rng.permutation(len(data))
-        for at in range(0, len(order), batch):
-            ids = order[at : at + batch]
-            g = _gradient([data[i] for i in ids], y[ids], weight[ids], p)
-            t += 1
-            lr = rate * (1 - 0.9 * t / steps)
-            for k in p:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
-                p[k] -= (lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-7)).astype(np.float32)
+    order = np.zeros(0, np.int64)
+    while t < steps:
+        if not len(order):
+            order = rng.permutation(len(data))
+        ids, order = order[:batch], order[batch:]
+        g = _gradient([data[i] for i in ids], y[ids], weight[ids], p)
+        t += 1
+        lr = rate * (1 - 0.9 * t / steps)
+        for k in p:
+            m[k] = 0.9 * m[k] + 0.1 * g[k]
+            v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
+            p[k] -= (lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-7)).astype(np.float32)
     return p
 
 
