@@ -8,6 +8,8 @@ slots must map one to one between item and document.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,36 +26,58 @@ UNITS = (
     "usd eur mph kmh kph degree degrees c f k w kw v hz khz mhz ghz kb mb gb tb"
 ).split()
 
-# Java regular expressions. A name is a capitalised word inside a sentence, after a lower-case letter or a comma and one space.
-_NAME = r"\p{Lu}(?<=[\p{Ll},] \p{Lu})[\p{L}\p{M}]*"
+# Java regular expressions. A name is a capitalised word (not one in capitals) inside a sentence, after a lower-case letter or a comma and one space.
+_NAME = r"\p{Lu}(?<=[\p{Ll},] \p{Lu})\p{Ll}[\p{L}\p{M}]*"
 _NUMBER = r"\p{Nd}+(?:[.,]\p{Nd}+)*"
-_UNIT = rf"(?i)({NUMBER} ?)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])"
+_UNIT = rf"({NUMBER} ?)(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])"
 _TOKEN = rf"[\p{{L}}\p{{M}}]+|[{NUMBER}{NAME}{UNIT}]"
 _RAW = rf"[\p{{L}}\p{{M}}]+|{_NUMBER}"
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _plain(text: Column) -> Column:
+    """The text without characters that stand for placeholders."""
+    marks = NUMBER + NAME + UNIT
+    return F.when(text.rlike(f"[{marks}]"), F.translate(text, marks, "   ")).otherwise(text)
+
+
 def template(text: Column) -> Column:
     """Lower-case template tokens of a text; as many as ``values`` has."""
-    plain = F.translate(text, NUMBER + NAME + UNIT, "   ")
-    slots = F.regexp_replace(F.regexp_replace(plain, _NAME, NAME), _NUMBER, NUMBER)
+    slots = F.regexp_replace(F.regexp_replace(_plain(text), _NAME, NAME), _NUMBER, NUMBER)
     return F.regexp_extract_all(F.lower(F.regexp_replace(slots, _UNIT, "$1" + UNIT)), F.lit(_TOKEN), F.lit(0))
 
 
 def values(text: Column) -> Column:
     """The tokens of a text as they stand, lower-cased."""
-    return F.regexp_extract_all(F.lower(F.translate(text, NUMBER + NAME + UNIT, "   ")), F.lit(_RAW), F.lit(0))
+    return F.regexp_extract_all(F.lower(_plain(text)), F.lit(_RAW), F.lit(0))
+
+
+def _paired(hashes: Column, apart: int) -> Column:
+    """Hash of each element and the one ``apart`` places later."""
+    return _bind(hashes, lambda h: F.zip_with(F.slice(h, F.lit(1), F.size(h) - apart), F.slice(h, F.lit(1 + apart), F.size(h) - apart), lambda a, b: F.xxhash64(a, b)))
 
 
 def window_hashes(tokens: Column, window: int = WINDOW) -> Column:
-    """Hash of each window; a shorter text is one window that only another whole text can equal."""
+    """Hash of each window; a shorter text is one window that only another whole text can equal.
+
+    Tokens are hashed once, then pairs, pairs of pairs and so on; two overlapping powers of two cover any other length.
+    """
+
+    def rolled(t: Column) -> Column:
+        h, width = F.transform(t, lambda x: F.xxhash64(x)), 1
+        while width * 2 <= window:
+            h, width = _paired(h, width), width * 2
+        return _paired(h, window - width) if width < window else h
 
     def of(t: Column) -> Column:
         n = F.size(t)
-        each = F.transform(F.sequence(F.lit(1), n - window + 1), lambda i: F.xxhash64(F.slice(t, i, window)))
-        return F.when(n >= window, each).when(n > 0, F.array(F.xxhash64(t, F.lit("whole")))).otherwise(F.array().cast("array<long>"))
+        return F.when(n >= window, rolled(t)).when(n > 0, F.array(F.xxhash64(t, F.lit("whole")))).otherwise(F.array().cast("array<long>"))
 
-    # The lambda binds the tokens, so that they are computed once and not for each window.
-    return F.get(F.transform(F.array(tokens), of), F.lit(0))
+    return _bind(tokens, of)
 
 
 def _is_slot(token: Column) -> Column:
@@ -122,7 +146,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
         return F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["type"], p[side]))))
 
     one_to_one = (distinct("item") == F.size("pairs")) & (distinct("doc") == F.size("pairs"))
-    judged = same.withColumn("starts", starts).withColumn("under", under).withColumn("pairs", pairs).withColumn(
+    judged = cut_lineage(same.withColumn("starts", starts), "leak-same").withColumn("under", under)
+    judged = cut_lineage(judged.withColumn("pairs", pairs).drop("under", "words", "doc_words", "doc_tokens"), "leak-pairs").withColumn(
         "kind", F.when(F.forall("pairs", lambda p: p["item"] == p["doc"]), "exact").when(one_to_one, "reparameterised").otherwise("partial")
     ).withColumn("matched_tokens", F.when(F.col("kind") == "partial", covered(plain, width)).otherwise(covered(F.col("starts"), width)))
     found = judged.where(F.col("matched_tokens") >= need).select(
