@@ -213,20 +213,26 @@ def lapse_risk_against_benchmark(spark, d):
     return rs.lapse_risk(rates).withColumns({"monthly_rate": rs.monthly_from_annual(p), "six_month": rs.cumulative_lapse(p, 6)})
 
 
+def _steps_sql(steps: dict[int, float]) -> str:
+    return "CASE " + " ".join(f"WHEN year >= {y} THEN {r}" for y, r in sorted(steps.items(), reverse=True)) + f" ELSE {steps[1]} END"
+
+
+_bench_by_product = "CASE product_type " + " ".join(f"WHEN '{p}' THEN {_steps_sql(s)}" for p, s in rs.LAPSE_BENCHMARK.items()) + f" ELSE {_steps_sql(rs.LAPSE_BENCHMARK['Term'])} END"
+
+
 @query(
     "R17",
-    duck("policies", f"""SELECT segment, CAST(range AS INT) AS policy_year, policies, issue_age, observed, issue_age + range AS age,
-      observed * CASE WHEN range >= 11 THEN 0.04 WHEN range >= 10 THEN 0.05 WHEN range >= 5 THEN 0.06 WHEN range >= 3 THEN 0.08 WHEN range >= 2 THEN 0.10 ELSE 0.12 END / 0.06 AS lapse_rate
-      FROM (SELECT segment, count(*) AS policies, avg(issue_age) AS issue_age, avg(CAST(policy_status IN ('Lapsed','Surrendered') AS INT)) AS observed FROM (
+    duck("policies", f"""SELECT segment, CAST(year AS INT) AS policy_year, CAST(sum(n) AS BIGINT) AS policies, sum(ages) / sum(n) AS issue_age, sum(lapsed) / sum(n) AS observed, sum(ages) / sum(n) + year AS age,
+      sum(lapsed) / sum(n) * (CAST(sum(n * CAST({_bench_by_product} AS DECIMAL(6,4))) AS DOUBLE) / sum(n)) / 0.06::DOUBLE AS lapse_rate
+      FROM (SELECT segment, product_type, count(*) AS n, sum(issue_age) AS ages, sum(CAST(policy_status IN ('Lapsed','Surrendered') AS INT)) AS lapsed FROM (
         SELECT *, unnest(['product_' || product_type, CASE WHEN issue_age <= 35 THEN 'young' WHEN issue_age <= 55 THEN 'middle_aged' ELSE 'mature' END,
-          CASE WHEN face_amount <= (SELECT quantile_cont(face_amount, 0.5) FROM policies) THEN 'small_policies' ELSE 'large_policies' END]) AS segment FROM policies) GROUP BY 1), range(1, 21)"""),
+          CASE WHEN face_amount <= (SELECT quantile_cont(face_amount, 0.5) FROM policies) THEN 'small_policies' ELSE 'large_policies' END]) AS segment FROM policies) GROUP BY 1, 2), range(1, 21) y(year) GROUP BY segment, year"""),
     r6="issue_age observed age lapse_rate",
 )
 def cohort_lapse_curves(spark, d):
     p = cn.policies(spark, d)
     median = exact_quantiles(p, [], "face_amount", {"m": 0.5}).select("m").scalar()
-    shape = lambda y: F.col("observed") * rs.benchmark_lapse(F.lit("Term"), y) / 0.06
-    return rs.lapse_curves(rs.lapse_segments(p, median), shape)
+    return rs.lapse_curves(rs.lapse_segments(p, median))
 
 
 @query(
