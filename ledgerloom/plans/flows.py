@@ -122,15 +122,17 @@ def submission_listing(spark, d):
 
 @query(
     "S18 F18",
-    duck("policies", "SELECT submission_id, action, user_name, CAST(policies AS BIGINT) AS policies FROM (SELECT submission_id, 'POLICY_UPLOAD' AS action, 'loader' AS user_name, count(*) AS policies FROM policies GROUP BY 1 UNION ALL SELECT submission_id, 'ANALYSIS', 'actuary', count(*) FILTER (policy_status = 'Inforce') FROM policies GROUP BY 1)"),
+    duck("policies", "SELECT submission_id, action, user_name, logged_at, CAST(policies AS BIGINT) AS policies FROM (SELECT submission_id, 'POLICY_UPLOAD' AS action, 'loader' AS user_name, count(*) AS policies, max(issue_date) AS logged_at FROM policies GROUP BY 1 UNION ALL SELECT submission_id, 'ANALYSIS', 'actuary', count(*) FILTER (policy_status = 'Inforce'), max(issue_date) + 1 FROM policies GROUP BY 1)"),
+    day="logged_at",
 )
 def audit_log(spark, d):
     path = scratch_path(spark, "audit")
     p = cn.policies(spark, d)
+    newest = F.max("issue_date")  # the load is logged on the day of its newest policy, the analysis a day later
     log = lambda df, action, user: sk.append_audit(df.withColumns({"action": F.lit(action), "user_name": F.lit(user)}), path)
-    log(p.groupBy("submission_id").agg(F.count(F.lit(1)).alias("policies")), "POLICY_UPLOAD", "loader")
-    log(p.groupBy("submission_id").agg(F.count_if(F.col("policy_status") == "Inforce").alias("policies")), "ANALYSIS", "actuary")
-    return spark.read.parquet(path).select("submission_id", "action", "user_name", F.get_json_object("details", "$.policies").cast("long").alias("policies"))
+    log(p.groupBy("submission_id").agg(F.count(F.lit(1)).alias("policies"), newest.alias("logged_at")), "POLICY_UPLOAD", "loader")
+    log(p.groupBy("submission_id").agg(F.count_if(F.col("policy_status") == "Inforce").alias("policies"), F.date_add(newest, 1).alias("logged_at")), "ANALYSIS", "actuary")
+    return spark.read.parquet(path).select("submission_id", "action", "user_name", "logged_at", F.get_json_object("details", "$.policies").cast("long").alias("policies"))
 
 
 @query(

@@ -229,6 +229,14 @@ def mapped_columns(spark, d):
     return reduce(lambda a, b: a.unionByName(b), [ig.map_columns(lz, s).select(F.lit(s).alias("target"), "*") for s in ig.SCHEMAS])
 
 
+TREATY_NAMES = {"s_suppkey": "treaty_id", "s_name": "cedant", "s_acctbal": "premium", "s_nationkey": "territory"}
+
+
+@query("P1", "SELECT " + ", ".join(f"{a} AS {b}" for a, b in TREATY_NAMES.items()) + " FROM supplier")
+def renamed_treaties(spark, d):
+    return ig.apply_mapping(cn.table(spark, d, "supplier"), TREATY_NAMES)
+
+
 _pf = ", ".join(f"('{k}', '{f}')" for k, fs in ig.PRODUCT_FIELDS.items() for f in fs)
 
 

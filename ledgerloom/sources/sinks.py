@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_scratch
 from .readers import latest_per
 
 
@@ -19,15 +21,26 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: list, partition: str = "submission_id") -> None:
-    """Insert or replace rows by key; only the partitions that receive rows are read and rewritten."""
-    rows = new
+    """Insert or replace rows by key; only partitions that receive rows or held an incoming key are read and rewritten.
+
+    A row that moves leaves its old partition; one that has no rows left is deleted.
+    """
+    rows, gone = new, None
     if table_exists(spark, path):
         old = spark.read.parquet(path)
-        touched = new.select(partition).distinct()
+        touched = new.select(partition)
+        if partition not in keys:
+            touched = touched.union(old.join(new.select(keys).distinct(), keys, "left_semi").select(partition))
+        touched = cut_lineage(touched.distinct(), "upsert-touched")
         rows = old.join(touched, partition, "left_semi").unionByName(new, allowMissingColumns=True)
     # The result is staged: the target must not be overwritten while it is still being read.
     staged = cut_lineage(latest_per(rows, keys, order), "upsert")
+    if rows is not new:
+        empty = touched.join(staged.select(partition).distinct(), partition, "left_anti")
+        folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+        gone = [unquote(r.folder) for r in old.select(partition, folder.alias("folder")).join(empty, partition, "left_semi").select("folder").distinct().collect()]
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    drop_scratch(spark, gone or [])  # at most one folder per touched partition
 
 
 def store_policies(spark: SparkSession, path: str, checked: DataFrame, keys: list[str]) -> DataFrame:

@@ -70,6 +70,33 @@ def test_upsert_replaces_and_leaves_other_partitions(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(submission_id" in plan
 
 
+def test_upsert_moves_a_key_between_partitions(spark, tmp_path):
+    path = str(tmp_path / "moved")
+    mk = lambda rows: spark.createDataFrame(rows, "submission_id string, k int, v int")
+    sk.upsert(spark, path, mk([("a", 1, 1), ("a", 2, 1), ("b", 3, 1), ("c d", 4, 1)]), ["k"], [F.desc("v")])
+    sk.upsert(spark, path, mk([("b", 1, 9), ("a", 4, 9)]), ["k"], [F.desc("v")])
+    got = sorted((r.submission_id, r.k, r.v) for r in spark.read.parquet(path).collect())
+    assert got == [("a", 2, 1), ("a", 4, 9), ("b", 1, 9), ("b", 3, 1)]
+
+
+def test_no_folder_is_made_up_on_a_cluster():
+    from types import SimpleNamespace
+
+    from ledgerloom.session import shared_folder
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(cluster)
+
+
+def test_each_file_keeps_its_own_separator(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.txt").write_text("title line\n" + "k;v\n" + "".join(f"{i};{i * 2}\n" for i in range(50)))
+    (tmp_path / "x" / "b.txt").write_text("k|v\n1|2\n")
+    found = {r.file_path.rsplit("/", 1)[1]: r.delimiter for r in rd.find_delimiters(spark, str(tmp_path / "x")).collect()}
+    assert found == {"a.txt": ";", "b.txt": "|"}
+
+
 def test_scan_reads_only_what_is_used(spark):
     df = cn.claims(spark, D).where("claim_amount > 1000").groupBy("treaty_id").agg(F.sum("claim_amount"))
     plan = df._jdf.queryExecution().executedPlan().toString()
