@@ -72,6 +72,35 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES = {
+    "op5_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM w
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM shared JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 90 * (x.n + y.n - c)),
+        reach AS (SELECT DISTINCT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)
+    """,
+    "op6_repeats": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        win AS (SELECT doc_id, i, b[i:i + 49] AS w FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS i FROM d WHERE octet_length(b) >= 50)),
+        head AS (SELECT w, min(doc_id) AS m FROM win GROUP BY w),
+        hit AS (SELECT DISTINCT doc_id, i FROM win JOIN head USING (w) WHERE m < doc_id),
+        runs AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g
+            FROM (SELECT *, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -100) AS before FROM hit)),
+        spans AS (SELECT doc_id, g, min(i) AS s, max(i) + 49 AS e FROM runs GROUP BY doc_id, g),
+        parts AS (SELECT doc_id, g, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY g), 0) + 1 AS a, s - 1 AS z FROM spans
+            UNION ALL SELECT doc_id, max(g) + 1, max(e) + 1, octet_length(any_value(b)) FROM spans JOIN d USING (doc_id) GROUP BY doc_id),
+        kept AS (SELECT doc_id, string_agg(CASE WHEN z >= a THEN hex(b[a:z]) ELSE '' END, '' ORDER BY g) AS h FROM parts JOIN d USING (doc_id) GROUP BY doc_id),
+        gone AS (SELECT doc_id, sum(e - s + 1) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+        SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+            sha256(CASE WHEN h IS NULL THEN b ELSE unhex(h) END) AS kept_sha256
+        FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
     "op8_chat": r"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
