@@ -122,11 +122,13 @@ def with_sheet_stats(rows: DataFrame, profile: bool = False) -> DataFrame:
 
     With ``profile``, also the sheet's mean row structure (needs content features).
     """
+    cells = F.col("_n") if "_n" in rows.columns else F.size("cells")
+    length = F.col("text_length") if "text_length" in rows.columns else F.length("line")
     stats = [
-        F.max(F.size("cells")).alias("width"),
+        F.max(cells).alias("width"),
         F.count(F.lit(1)).alias("n_rows"),
-        F.avg(F.length("line")).alias("mean_length"),
-        F.stddev_pop(F.length("line")).alias("sd_length"),
+        F.avg(length).alias("mean_length"),
+        F.stddev_pop(length).alias("sd_length"),
     ]
     if profile:
         stats += [
@@ -164,15 +166,11 @@ def _closeness(a: Column, b: Column) -> Column:
 def proximity_features(rows: DataFrame) -> DataFrame:
     """Neighbour similarity, local density, pattern consistency, structural similarity, coherence.
 
-    ``rows`` carries content features and sheet statistics.
+    ``rows`` carries content features, text measures and sheet statistics: numbers only, no text.
     """
     c = F.col
-    blanks = F.filter(F.transform("cells", lambda v, i: F.when(F.trim(v) == "", i)), lambda i: i.isNotNull())
-    rows = rows.withColumns(
-        {"_n": F.size("cells"), "_blanks": blanks, "_packed": F.length(F.translate("line", " ", "")), **coherence_points()}
-    )
-    # All that reads the text is done: only numbers go through the window shuffle, with the line for later use.
-    spread, w = with_neighbours(rows.drop("cells"), "file_id", "row_idx", reach=9)
+    rows = rows.withColumns(coherence_points()).drop(*TEXT_MEASURES)
+    spread, w = with_neighbours(rows, "file_id", "row_idx", reach=9)
     me = F.struct("null_share", "non_null", "text_length", "consistency", "_n", "_blanks", "_packed").alias("_me")
     spread = spread.withColumn("_me", me)
     near = {o: F.lag("_me", o).over(w) for o in (-3, -2, -1, 1, 2, 3)}
@@ -228,30 +226,48 @@ def proximity_features(rows: DataFrame) -> DataFrame:
     return out.drop("_n", "_blanks", "_packed", "_me", "_p_fields", "_p_cell", "_p_num", "_p_text", "_header", "_data", "_junk", *drop)
 
 
-def coherence_points() -> dict[str, Column]:
-    """Points, in tenths, of a row as header, data and junk, as far as the row itself tells."""
-    c = F.col
+TEXT_MEASURES = ["_calm", "_kinds", "_letters", "_data_junk", "_footer_words", "_strong_junk", "_metadata", "_sum_words"]
+
+
+def text_measures(rows: DataFrame) -> DataFrame:
+    """What the neighbour scores need of a row's text, as numbers and flags."""
     low = F.lower("line")
     cells = F.filter("cells", lambda v: F.trim(v) != "")
     gaps = lambda v: F.length(v) - F.length(F.translate(v, "_- ", ""))
-    calm = F.size(F.filter(cells, lambda v: (v.contains("_") & (F.length(v) < 30)) | (gaps(v) <= 2)))
-    pts = lambda cond, p: F.when(cond, p).otherwise(0)
     kind = lambda v: F.when(digits_only(v), 1).when(v.contains("/") | (v.contains("-") & (F.length(v) >= 8)), 2).otherwise(3)
-    letters = F.size(F.array_distinct(F.split(F.translate(low, " ", ""), "")))
+    return rows.withColumns({
+        "_n": F.size("cells"),
+        "_blanks": F.filter(F.transform("cells", lambda v, i: F.when(F.trim(v) == "", i)), lambda i: i.isNotNull()),
+        "_packed": F.length(F.translate("line", " ", "")),
+        "_calm": F.size(F.filter(cells, lambda v: (v.contains("_") & (F.length(v) < 30)) | (gaps(v) <= 2))),
+        "_kinds": F.size(F.array_distinct(F.transform(cells, kind))),
+        "_letters": F.size(F.array_distinct(F.split(F.translate(low, " ", ""), ""))),
+        "_data_junk": has_any(low, DATA_JUNK),
+        "_footer_words": has_any(low, FOOTER_WORDS),
+        "_strong_junk": has_any(low, STRONG_JUNK),
+        "_metadata": has_any(low, METADATA_PHRASES),
+        "_sum_words": has_any(low, ["total", "sum", "summary"]),
+    })
+
+
+def coherence_points() -> dict[str, Column]:
+    """Points, in tenths, of a row as header, data and junk, as far as the row itself tells."""
+    c = F.col
+    pts = lambda cond, p: F.when(cond, p).otherwise(0)
     return {
-        "_header": pts(c("non_null") * 10 >= c("width") * 6, 3) + pts((c("non_null") > 0) & (calm * 10 >= c("non_null") * 6), 4),
+        "_header": pts(c("non_null") * 10 >= c("width") * 6, 3) + pts((c("non_null") > 0) & (c("_calm") * 10 >= c("non_null") * 6), 4),
         "_data": pts((c("row_idx") >= 1) & (c("row_idx") < c("n_rows") - 2), 2)
         + pts(c("non_null") * 2 >= c("width"), 3)
-        + pts(F.size(F.array_distinct(F.transform(cells, kind))) >= 2, 3)
-        + pts(~has_any(low, DATA_JUNK), 2),
+        + pts(c("_kinds") >= 2, 3)
+        + pts(~c("_data_junk"), 2),
         "_junk": F.least(
             F.lit(10),
             pts((c("width") - c("non_null")) * 10 > c("width") * 7, 4)
-            + pts((c("row_idx") * 5 > c("n_rows") * 4) & has_any(low, FOOTER_WORDS), 6)
-            + pts(has_any(low, STRONG_JUNK), 5)
-            + pts(has_any(low, METADATA_PHRASES), 3)
-            + pts((F.length(low) > 5) & (letters <= 3), 7)
-            + pts((c("non_null") == 1) & has_any(low, ["total", "sum", "summary"]), 6),
+            + pts((c("row_idx") * 5 > c("n_rows") * 4) & c("_footer_words"), 6)
+            + pts(c("_strong_junk"), 5)
+            + pts(c("_metadata"), 3)
+            + pts((c("text_length") > 5) & (c("_letters") <= 3), 7)
+            + pts((c("non_null") == 1) & c("_sum_words"), 6),
         ),
     }
 
@@ -265,9 +281,15 @@ def coherence(following: list[Column]) -> Column:
     return F.when(header > 7, header).when(c("_data") > 6, c("_data")).otherwise(10 - c("_junk")) / 10.0
 
 
-def statistical_scores(sheet_rows: DataFrame) -> DataFrame:
-    """Content and proximity scores of every row in one job."""
-    rows = content_score(with_sheet_stats(content_features(sheet_rows), profile=True))
+def statistical_scores(sheet_rows: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Content and proximity scores of every row.
+
+    Each line is read once, into a staged table of numbers; sheet statistics, joins and
+    windows work on that alone. ``carry`` names text columns to keep beside them.
+    """
+    measured = text_measures(content_features(sheet_rows))
+    numbers = cut_lineage(measured.drop(*[t for t in ("line", "cells") if t not in carry]), "sheet-numbers")
+    rows = content_score(with_sheet_stats(numbers, profile=True))
     c = F.col
     return proximity_features(rows).withColumn(
         "proximity_score",
@@ -494,13 +516,13 @@ def row_vector(features: DataFrame) -> DataFrame:
     return features.withColumn("row_vector", F.array(*[p.cast("double") for p in parts]))
 
 
-def hybrid_scores(sheet_rows: DataFrame, semantic_weight: float = 0.4, statistical_weight: float = 0.4) -> DataFrame:
+def hybrid_scores(sheet_rows: DataFrame, semantic_weight: float = 0.4, statistical_weight: float = 0.4, carry: tuple[str, ...] = ()) -> DataFrame:
     """Both layers side by side, their weighted score, and the union of their flags.
 
     A row is junk when either layer flags it or the weighted score passes the sheet's
     lower threshold, mean + .8 sd within .2 and .6.
     """
-    stat = combine_scores(statistical_scores(sheet_rows))  # staged inside
+    stat = combine_scores(statistical_scores(sheet_rows, carry))  # staged inside
     sem = boost_confidence(embedding_outliers(row_vector(stat.withColumnRenamed("threshold", "statistical_threshold")), "row_vector", ROW_VECTOR_DIM, ["file_id"]))
     # A sheet of one row has nothing to be compared with.
     sem = sem.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))

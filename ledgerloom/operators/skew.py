@@ -57,7 +57,7 @@ def skew_join(
     # Row hash plus partition id: identical copies of one row spread out too.
     spread = F.xxhash64(*[F.col(c) for c in big.columns]) + F.spark_partition_id()
     salts = F.greatest(F.lit(1).cast("long"), F.ceil(F.coalesce(F.try_element_at(hot, _key_hash(keys)), F.lit(0)) / F.lit(rows_per_salt)))
-    left = big.withColumn("_n", F.when(null_key, F.lit(NULL_SALTS).cast("long")).otherwise(salts)).withColumn("_salt", F.pmod(spread, F.col("_n"))).drop("_n")
+    left = big.withColumn("_salt", F.pmod(spread, F.when(null_key, F.lit(NULL_SALTS).cast("long")).otherwise(salts)))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 

@@ -355,7 +355,7 @@ _ws = [(a, b) for a in (0.2, 0.3, 0.4, 0.5, 0.6) for b in (0.2, 0.3, 0.4, 0.5, 0
     r6="precision recall f1",
 )
 def hybrid_weight_sweep(spark, d):
-    rows = sh.hybrid_scores(cn.sheets(spark, d)).select("file_id", "line", "confidence", "statistical_score")
+    rows = sh.hybrid_scores(cn.sheets(spark, d), carry=("line",)).select("file_id", "line", "confidence", "statistical_score")
     # Mean and deviation of any weighting follow from the moments of the two layers.
     m = rows.groupBy("file_id").agg(
         F.avg("confidence").alias("mc"), F.avg("statistical_score").alias("ms"), F.var_pop("confidence").alias("vc"),
