@@ -31,7 +31,7 @@ _U = np.uint64
 #: Coordinates of the dealing vector in a block, coordinates of the R-tree's points, children of a node.
 GROUPS, DIMS, FANOUT = 1 << 16, 64, 16
 #: Documents, and their shingles, that one task joins at once; documents that every task of a larger group gets.
-MEMBERS, SHINGLES, PIVOTS = 1024, 2_000_000, 8
+MEMBERS, SHINGLES, PIVOTS = 256, 500_000, 8
 #: Ratio of the bounds of a size band.
 BAND = 1.5
 
@@ -77,6 +77,11 @@ def signature(own: np.ndarray) -> int:
     return int(mix(np.array([total], _U)).view(np.int64)[0])
 
 
+def point(own: np.ndarray) -> np.ndarray:
+    """Group counts of a set: its point in the R-tree."""
+    return np.bincount((own >> _U(40)).astype(np.int64) % DIMS, minlength=DIMS).astype(np.uint32)
+
+
 @lru_cache(4096)
 def _block_starts(blocks: int) -> np.ndarray:
     """Where each of ``blocks`` equal ranges of 64-bit hashes starts."""
@@ -153,7 +158,7 @@ def link(sets: list[np.ndarray], labels: list[int], rule: Rule, ask: list[int] |
     """
     _, comp = np.unique(np.array(labels, np.int64), return_inverse=True)
     sizes = np.array([len(s) for s in sets], np.int64)
-    points = np.stack([np.bincount((s >> _U(40)).astype(np.int64) % DIMS, minlength=DIMS) for s in sets])
+    points = np.stack([point(s) for s in sets])
     tree = RTree(points, sizes)
     for i in range(len(sets)) if ask is None else ask:
         near, bound = tree.search(points[i], int(sizes[i]), rule)
@@ -184,6 +189,41 @@ def _deal(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.select("text").mapInPandas(run, "cell long, node long")
 
 
+def _company(rule: Rule):
+    """Of rows sorted by cluster, those whose point another member's point comes close enough to. Only the last cluster of a batch is held over."""
+
+    def close(rows: pd.DataFrame) -> pd.DataFrame:
+        cluster, sizes = rows["cluster"].to_numpy(), rows["n"].to_numpy(np.int64)
+        points = np.frombuffer(b"".join(rows["point"]), np.uint32).reshape(len(rows), DIMS).astype(np.int64)
+        starts = np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1]))
+        counts = np.diff(np.append(starts, len(cluster)))
+        keep = np.zeros(len(rows), bool)
+        two = starts[counts == 2]
+        bound = np.minimum(points[two], points[two + 1]).sum(axis=1)
+        fits = bound >= rule.least_shared(sizes[two] + sizes[two + 1])
+        keep[two[fits]] = keep[two[fits] + 1] = True
+        for s, c in zip(starts[counts > 2], counts[counts > 2]):
+            tree = RTree(points[s : s + c], sizes[s : s + c])
+            for i in range(c):
+                keep[s + i] = len(tree.search(points[s + i], int(sizes[s + i]), rule)[0]) > 1  # itself is one
+        return rows.loc[keep, ["cluster", "node"]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(rows):
+                continue
+            last = rows["cluster"].to_numpy() == rows["cluster"].iloc[-1]
+            held, done = rows[last], rows[~last].reset_index(drop=True)
+            if len(done):
+                yield close(done)
+        if held is not None and len(held):
+            yield close(held.reset_index(drop=True))
+
+    return run
+
+
 def _joiner(rule: Rule):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node")
@@ -213,36 +253,43 @@ def components(docs: DataFrame, rule: Rule = Rule(), keep: tuple[str, ...] = ())
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [shingles(t, rule.words) for t in pdf.pop("text")]
-            yield pdf.assign(n_shingles=[len(s) for s in sets], node=[signature(s) for s in sets])
+            yield pdf.assign(n_shingles=[len(s) for s in sets], node=[signature(s) for s in sets], point=[point(s).tobytes() for s in sets])
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep))
-    rows = cut_lineage(docs.select("doc_id", *keep, "text").mapInPandas(measure, f"{schema}, n_shingles long, node long"), "jaccard-sets")
+    rows = cut_lineage(docs.select("doc_id", *keep, "text").mapInPandas(measure, f"{schema}, n_shingles long, node long, point binary"), "jaccard-sets")
 
     # Cells of two different documents or more, named after their smallest.
     met = _deal(docs, rule).groupBy("cell").agg(F.min("node").alias("cluster"), F.max("node").alias("_other")).where("cluster < _other").select("cell", "cluster")
     met = cut_lineage(met, "jaccard-cells")
     dealt = cut_lineage(_deal(docs, rule).join(met, "cell").select("cluster", "node").distinct(), "jaccard-dealt")
 
-    # One text for each document that meets another.
-    holder = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    active = holder.join(dealt.select("node").distinct(), "node", "left_semi").where("doc_id is not null")
-    texts = cut_lineage(docs.select("doc_id", "text").join(active, "doc_id").select("node", "n", "text").dropDuplicates(), "jaccard-texts")
-
-    sizes = cut_lineage(
-        dealt.join(texts.select("node", "n").distinct(), "node").groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where("members > 1"), "jaccard-sizes"
-    )
+    # The points of the documents that meet others, and one doc_id to read each of their texts by.
+    holder = rows.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("point").alias("point"))
+    active = cut_lineage(holder.join(dealt.select("node").distinct(), "node", "left_semi"), "jaccard-active")
+    sizes = dealt.join(active.select("node", "n"), "node").groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where("members > 1")
     parts = F.greatest(F.ceil(F.col("members") / MEMBERS), F.ceil(F.col("shingles") / SHINGLES))
-    placed = dealt.join(sizes.select("cluster", "members", parts.alias("parts")), "cluster")
-    chosen = (F.col("parts") > 1) & (F.pmod(F.xxhash64("node", F.lit(3)), F.greatest(F.lit(1).cast("long"), F.floor(F.col("members") / PIVOTS))) == 0)
+    sizes = cut_lineage(sizes.select("cluster", "members", parts.alias("parts")), "jaccard-sizes")
+    placed = dealt.join(sizes, "cluster")
+
+    # Chance meetings end here: in clusters of one part, only members that some other member's point is close to go on, without any text moved.
+    single = placed.where("parts = 1").join(active.select("node", "n", "point"), "node").select("cluster", "node", "n", "point")
+    close = single.repartition("cluster").sortWithinPartitions("cluster").mapInPandas(_company(rule), "cluster long, node long")
+    one = F.lit(1).cast("long")
+    kept = cut_lineage(close.withColumns({"members": one, "parts": one}).unionByName(placed.where("parts > 1").select("cluster", "node", "members", "parts")), "jaccard-kept")
+
+    # Texts of those that are left.
+    wanted = active.join(kept.select("node").distinct(), "node", "left_semi").select("node", "doc_id")
+    texts = cut_lineage(docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text").dropDuplicates(), "jaccard-texts")
+    chosen = (F.col("parts") > 1) & (F.pmod(F.xxhash64("node", F.lit(3)), F.greatest(one, F.floor(F.col("members") / PIVOTS))) == 0)
     everywhere = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    placed = placed.withColumn("part", F.explode(F.when(chosen, everywhere).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts"))))))
-    local = placed.select("cluster", "part", "node").join(texts.select("node", "text"), "node").withColumns({"label": F.col("node"), "ask": F.lit(True)})
+    spread = kept.withColumn("part", F.explode(F.when(chosen, everywhere).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts"))))))
+    local = spread.select("cluster", "part", "node").join(texts, "node").withColumns({"label": F.col("node"), "ask": F.lit(True)})
     edges = cut_lineage(local.groupBy("cluster", "part").applyInPandas(_joiner(rule), "a long, b long").distinct(), "jaccard-edges")
     labels = connected(edges, "jaccard-components")
 
     # Groups of more than one part that are still in pieces: who is outside the largest piece meets every member.
-    large = dealt.join(sizes.where(parts > 1).select("cluster", parts.alias("parts")), "cluster")
+    large = kept.where("parts > 1").select("cluster", "node", "parts")
     if large.limit(1).count():
         named = cut_lineage(large.join(labels, "node", "left").select("cluster", "parts", "node", F.coalesce("component", "node").alias("label")), "jaccard-large")
         pieces = named.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -255,7 +302,7 @@ def components(docs: DataFrame, rule: Rule = Rule(), keep: tuple[str, ...] = ())
         rest = split.where(outside).withColumns({"rest": F.pmod(F.xxhash64("node", F.lit(5)), F.col("rest_parts")), "ask": F.lit(True)})
         rest = rest.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         cols = ["cluster", "part", "rest", "node", "label", "ask"]
-        both = members.select(cols).unionByName(rest.select(cols)).groupBy(*cols[:5]).agg(F.max("ask").alias("ask")).join(texts.select("node", "text"), "node")
+        both = members.select(cols).unionByName(rest.select(cols)).groupBy(*cols[:5]).agg(F.max("ask").alias("ask")).join(texts, "node")
         more = both.groupBy("cluster", "part", "rest").applyInPandas(_joiner(rule), "a long, b long")
         more = cut_lineage(more.distinct(), "jaccard-more")
         if more.limit(1).count():
