@@ -188,8 +188,8 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
     schema = "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary"
-    # One archive per row, so that archives spread over the tasks.
-    return manifest.select("path").repartition("path").mapInPandas(read, schema)
+    # A row is a whole archive: a fixed number of tasks keeps Spark from putting all of these short rows into one.
+    return manifest.select("path").repartition(max(1, min(manifest.count(), 10_000))).mapInPandas(read, schema)
 
 
 def bare(urn: str) -> str | None:
