@@ -224,6 +224,23 @@ def _company(rule: Rule):
     return run
 
 
+def _close_calls(rule: Rule):
+    """Of a part of a large cluster and of those outside its largest piece: the askers with a close point of another piece, and those points."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        points = np.frombuffer(b"".join(rows["point"]), np.uint32).reshape(len(rows), DIMS).astype(np.int64)
+        sizes, labels = rows["n"].to_numpy(np.int64), rows["label"].to_numpy()
+        tree, keep = RTree(points, sizes), np.zeros(len(rows), bool)
+        for i in np.flatnonzero(rows["ask"].to_numpy(bool)):
+            near = tree.search(points[i], int(sizes[i]), rule)[0]
+            near = near[labels[near] != labels[i]]
+            keep[near] = True
+            keep[i] |= len(near) > 0
+        return rows.loc[keep, ["cluster", "part", "rest", "node", "label", "ask"]]
+
+    return run
+
+
 def _joiner(rule: Rule):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node")
@@ -232,6 +249,8 @@ def _joiner(rule: Rule):
         own = np.array([signature(s) for s in sets]) == rows["node"].to_numpy()
         own &= ~rows["node"].where(own).duplicated().to_numpy()
         sets, rows = [s for s, ok in zip(sets, own) if ok], rows[own]
+        if not sets:
+            return pd.DataFrame({"a": [], "b": []})
         nodes, labels = rows["node"].to_numpy(), rows["label"].to_numpy()
         ask = None if rows["ask"].all() else np.flatnonzero(rows["ask"]).tolist()
         comp = link(sets, labels.tolist(), rule, ask)
@@ -283,11 +302,25 @@ def components(docs: DataFrame, rule: Rule = Rule(), keep: tuple[str, ...] = ())
     texts = cut_lineage(docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text").dropDuplicates(), "jaccard-texts")
     chosen = (F.col("parts") > 1) & (F.pmod(F.xxhash64("node", F.lit(3)), F.greatest(one, F.floor(F.col("members") / PIVOTS))) == 0)
     everywhere = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    spread = kept.withColumn("part", F.explode(F.when(chosen, everywhere).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts"))))))
+    # A document of a group of near copies is in a few clusters. It is joined in the first one only;
+    # where that leaves another cluster in pieces, the cluster is looked at again.
+    home = kept.join(kept.groupBy("node").agg(F.min("cluster").alias("cluster")), ["node", "cluster"], "left_semi")
+    spread = home.withColumn("part", F.explode(F.when(chosen, everywhere).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts"))))))
     local = spread.select("cluster", "part", "node").join(texts, "node").withColumns({"label": F.col("node"), "ask": F.lit(True)})
     edges = cut_lineage(local.groupBy("cluster", "part").applyInPandas(_joiner(rule), "a long, b long").distinct(), "jaccard-edges")
     labels = connected(edges, "jaccard-components")
 
+    at_home = home.select("node", "cluster", F.lit(True).alias("home"))
+    named = kept.where("parts = 1").join(at_home, ["node", "cluster"], "left").join(labels, "node", "left")
+    named = cut_lineage(named.select("cluster", "node", "home", F.coalesce("component", "node").alias("label")), "jaccard-again")
+    open_ = named.groupBy("cluster").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("home").alias("n"), F.count(F.lit(1)).alias("m")).where("l < h and n < m")
+    again = named.join(cut_lineage(open_.select("cluster"), "jaccard-open"), "cluster", "left_semi").drop("home")
+    again = again.join(texts, "node").withColumns({"part": F.lit(0).cast("long"), "ask": F.lit(True)})
+    found = cut_lineage(again.groupBy("cluster", "part").applyInPandas(_joiner(rule), "a long, b long").distinct(), "jaccard-edges")
+    if found.limit(1).count():
+        edges = edges.union(found)
+        labels = connected(edges, "jaccard-components")
+
     # Groups of more than one part that are still in pieces: who is outside the largest piece meets every member.
     large = kept.where("parts > 1").select("cluster", "node", "parts")
     if large.limit(1).count():
@@ -302,8 +335,10 @@ def components(docs: DataFrame, rule: Rule = Rule(), keep: tuple[str, ...] = ())
         rest = split.where(outside).withColumns({"rest": F.pmod(F.xxhash64("node", F.lit(5)), F.col("rest_parts")), "ask": F.lit(True)})
         rest = rest.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         cols = ["cluster", "part", "rest", "node", "label", "ask"]
-        both = members.select(cols).unionByName(rest.select(cols)).groupBy(*cols[:5]).agg(F.max("ask").alias("ask")).join(texts, "node")
-        more = both.groupBy("cluster", "part", "rest").applyInPandas(_joiner(rule), "a long, b long")
+        both = members.select(cols).unionByName(rest.select(cols)).groupBy(*cols[:5]).agg(F.max("ask").alias("ask"))
+        near = both.join(active.select("node", "n", "point"), "node").groupBy("cluster", "part", "rest")
+        near = cut_lineage(near.applyInPandas(_close_calls(rule), "cluster long, part long, rest long, node long, label long, ask boolean"), "jaccard-close")
+        more = near.join(texts, "node").groupBy("cluster", "part", "rest").applyInPandas(_joiner(rule), "a long, b long")
         more = cut_lineage(more.distinct(), "jaccard-more")
         if more.limit(1).count():
             labels = connected(edges.union(more), "jaccard-components")
