@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -82,10 +81,17 @@ def point(own: np.ndarray) -> np.ndarray:
     return np.bincount((own >> _U(40)).astype(np.int64) % DIMS, minlength=DIMS).astype(np.uint32)
 
 
-@lru_cache(4096)
+# A plain dictionary: a cached function could not travel to the executors by value.
+_starts: dict[int, np.ndarray] = {}
+
+
 def _block_starts(blocks: int) -> np.ndarray:
     """Where each of ``blocks`` equal ranges of 64-bit hashes starts."""
-    return np.array([(i << 64) // blocks for i in range(blocks)], _U)
+    if blocks not in _starts:
+        if len(_starts) > 4096:
+            _starts.clear()
+        _starts[blocks] = np.array([(i << 64) // blocks for i in range(blocks)], _U)
+    return _starts[blocks]
 
 
 def block_keys(own: np.ndarray, rule: Rule) -> np.ndarray:

@@ -124,10 +124,11 @@ def predict(docs: DataFrame, model: Model, held_out: Column | None = None) -> Da
     repeated rows are kept as they are, an empty table gives no rows, extra columns are ignored. Equal proportions: the language that sorts first.
     """
     held = F.lit(False) if held_out is None else held_out
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_BYTES
+    # At most MODEL_BYTES; plain values, since a broadcast class would have to be importable on the executors.
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.chance))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
+        m = Model(*sent.value)
         for pdf in batches:
             got = [m.predict(t) for t in pdf.pop("text")]
             yield pdf.assign(lang_pred=[g[0] for g in got], score=[g[1] for g in got])
