@@ -4,7 +4,9 @@ Every window of ``need`` bytes belongs to the smallest gram hash in it, so equal
 the same one. The windows of a run with one smallest gram form a segment, and segments are dealt by that gram. A segment
 whose whole content an earlier document has too goes at once; the first holder of each other content sends
 it to a shard, where the suffixes of all contents of a gram are sorted together by external induced sorting
-and windows whose neighbours share ``need`` bytes are compared by document.
+and windows whose neighbours share ``need`` bytes are compared by document. A gram with more contents than a
+part of a shard sends none: its windows are compared one by one by their hash, each once per block, so a passage
+that stands in very many documents fills no shard.
 
 Documents are written once into blocks of some MB, in a table bucketed by block, so that
 later passes join to their block without moving the texts again.
@@ -29,6 +31,8 @@ from .suffixes import sort_suffixes
 _U = np.uint64
 #: Bytes of a window, bytes of a gram, bytes of a block of documents, bytes worked on at once, bytes of contents in a shard.
 NEED, GRAM, BLOCK, PIECE, SHARD = 50, 16, 4 << 20, 1 << 19, 4 << 20
+#: A gram whose contents are more than this part of a shard is split into its windows.
+HEAVY = 4
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -152,7 +156,8 @@ def _offers(need: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = block_segments(_texts(pdf), _ids(pdf), need)
         least = own.sort_values("doc").drop_duplicates("content")
-        return least[["gram", "content", "doc"]].assign(block=pdf["block"].iloc[0])
+        size = (least["last"] - least["first"] + need).astype(np.int32)
+        return least[["gram", "content", "doc"]].assign(block=pdf["block"].iloc[0], size=size)
 
     return run
 
@@ -206,6 +211,41 @@ def _contents(need: int):
     return run
 
 
+def window_keys(texts: list[bytes | None], own: pd.DataFrame, need: int) -> Iterator[pd.DataFrame]:
+    """Every window of the segments ``own`` of ``texts``, some ``PIECE`` bytes at once: row, gram, doc, at (in the text), key (a hash of its bytes)."""
+    size = (own["last"] - own["first"] + need).to_numpy(np.int64)
+    for _, part in own.groupby(np.cumsum(size) // PIECE, sort=False):
+        first, last = part["first"].to_numpy(np.int64), part["last"].to_numpy(np.int64)
+        raw = np.frombuffer(b"".join(texts[r][f : e + need] for r, f, e in zip(part["row"].tolist(), first.tolist(), last.tolist())), np.uint8)
+        total = np.zeros(len(raw) + 1, _U)
+        np.cumsum(_BYTE[raw] * _geometric(_BASE, len(raw)), out=total[1:])
+        count = last - first + 1
+        of = np.repeat(np.arange(len(part)), count)
+        inner = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        start = inner + np.repeat(np.cumsum(count + need - 1) - (count + need - 1), count)
+        key = mix((total[start + need] - total[start]) * _geometric(_BACK, len(raw) + 1)[start]).view(np.int64)
+        yield part[["row", "gram", "doc"]].iloc[of].assign(at=first[of] + inner, key=key)
+
+
+def _windows(need: int):
+    """The windows of the heavy contents that a block was asked for, each once: smallest document, and whether others of the block have it."""
+
+    def run(pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(asked):
+            return pd.DataFrame({"gram": [], "content": [], "doc": [], "block": [], "several": []})
+        docs, texts = _ids(pdf), _texts(pdf)
+        wanted = set(asked["doc"])
+        texts = [t if d in wanted else None for t, d in zip(texts, docs.tolist())]
+        own = block_segments(texts, docs, need).drop_duplicates(["content", "doc"]).merge(asked[["content", "doc"]].drop_duplicates(), on=["content", "doc"])
+        parts = [w.groupby(["gram", "key"], sort=False)["doc"].agg(["min", "max"]) for w in window_keys(texts, own, need)]
+        if not parts:
+            return pd.DataFrame({"gram": [], "content": [], "doc": [], "block": [], "several": []})
+        found = pd.concat(parts).groupby(level=["gram", "key"], sort=False).agg({"min": "min", "max": "max"}).reset_index()
+        return pd.DataFrame({"gram": found["gram"], "content": found["key"], "doc": found["min"], "block": pdf["block"].iloc[0], "several": found["min"] < found["max"]})
+
+    return run
+
+
 def in_company(contents: list[bytes], grams: np.ndarray, need: int, gram: int = GRAM) -> np.ndarray:
     """Whether each content can share a window with another one of its gram.
 
@@ -285,10 +325,15 @@ def _cut(need: int, with_text: bool, keep: tuple[str, ...]):
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]
         gone_here = own[own["doc"].to_numpy() > least]
         rest = own[own["doc"].to_numpy() <= least]
-        keys = told[told["a"] < 0][["content", "doc"]].drop_duplicates()
+        keys = told[told["a"] == -1][["content", "doc"]].drop_duplicates()
         for part in (gone_here, rest.merge(keys, on=["content", "doc"])):
             for r, f, s in zip(part["row"].tolist(), part["first"].tolist(), part["last"].tolist()):
                 spans[r].append((f, s + need))
+        heavy = told[told["a"] == -2].rename(columns={"content": "key", "doc": "least"})[["gram", "key", "least"]].drop_duplicates()
+        for windows in window_keys(texts, rest[rest["gram"].isin(heavy["gram"])], need) if len(heavy) else ():
+            windows = windows.merge(heavy, on=["gram", "key"])
+            for r, w in windows.loc[windows["doc"] > windows["least"], ["row", "at"]].drop_duplicates().itertuples(index=False):
+                spans[r].append((w, w + need))
         part = rest.merge(told[told["a"] >= 0][["content", "doc", "a", "b"]].drop_duplicates(), on=["content", "doc"])
         for r, f, a, b in zip(part["row"].tolist(), part["first"].tolist(), part["a"].tolist(), part["b"].tolist()):
             spans[r].append((f + a, f + b - 1 + need))
@@ -332,16 +377,31 @@ def remove_repeats(docs: DataFrame, need: int = NEED, with_text: bool = True, ke
     """
     kinds = dict(docs.dtypes)
     blocks = in_blocks(docs, keep)
-    offers = blocks.groupBy("block").applyInPandas(_offers(need), "gram long, content long, doc long, block long")
-    settled = offers.repartition("gram").sortWithinPartitions("gram", "content", "doc").mapInPandas(_settle, "gram long, content long, doc long, block long, gone boolean")
+    offers = blocks.groupBy("block").applyInPandas(_offers(need), "gram long, content long, doc long, block long, size int")
+    settled = offers.repartition("gram").sortWithinPartitions("gram", "content", "doc").mapInPandas(_settle, "gram long, content long, doc long, block long, size int, gone boolean")
     settled = cut_lineage(settled, "repeat-settled")
     asked = settled.where("not gone").drop("gone")
-    contents = blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(_contents(need), "gram long, content long, doc long, block long, raw binary")
-    shards = max(1, asked.count() * (NEED + 20) // SHARD)
+    # As many rows as heavy parts of a shard fit into the contents at most.
+    heavy = cut_lineage(asked.groupBy("gram").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > SHARD // HEAVY).select("gram"), "repeat-heavy")
+    split = heavy.limit(1).count() > 0
+    light = asked.join(heavy, "gram", "left_anti") if split else asked
+    contents = blocks.groupBy("block").cogroup(light.groupBy("block")).applyInPandas(_contents(need), "gram long, content long, doc long, block long, raw binary")
+    shards = max(1, -(-(light.agg(F.sum("size")).first()[0] or 0) // SHARD))
     shard = F.pmod(F.xxhash64("gram"), F.lit(shards))
     runs = contents.withColumn("shard", shard).groupBy("shard").applyInPandas(_sorted_shard(need), "gram long, content long, doc long, block long, a long, b long")
     runs = cut_lineage(runs, "repeat-runs")
-    told = runs.unionByName(settled.where("gone").drop("gone").withColumns({"a": F.lit(-1).cast("long"), "b": F.lit(-1).cast("long")}))
+
+    def marked(rows: DataFrame, mark: int) -> DataFrame:
+        return rows.select("gram", "content", "doc", "block", F.lit(mark).cast("long").alias("a"), F.lit(mark).cast("long").alias("b"))
+
+    told = runs.unionByName(marked(settled.where("gone"), -1))
+    if split:
+        many = asked.join(heavy, "gram", "left_semi").groupBy("block")
+        windows = cut_lineage(blocks.groupBy("block").cogroup(many).applyInPandas(_windows(need), "gram long, content long, doc long, block long, several boolean"), "repeat-windows")
+        # A window is one row per block, so no key here has more rows than there are blocks.
+        least = windows.groupBy("gram", "content").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n"), F.max("several").alias("several"))
+        shared = windows.select("gram", "content", "block").join(least.where("n > 1 or several"), ["gram", "content"])
+        told = told.unionByName(marked(shared, -2))
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", kept_text string" if with_text else ""
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_cut(need, with_text, keep), schema)

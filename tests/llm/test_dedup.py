@@ -135,3 +135,27 @@ def test_contents_in_company_hold_every_shared_window():
         np.cumsum(rp._BYTE[raw] * rp._geometric(rp._BASE, gram), out=total[1:])
         own = rp.mix(total[gram:] - total[:1]).view(np.int64)[0]
         assert rp.in_company([a, c, b], np.array([own] * 3), need).tolist() == [True, False, True]
+
+
+def test_a_passage_in_many_documents_fills_no_shard(spark, monkeypatch):
+    rng = random.Random(5)
+    passage = prose(rng, 40)
+    rows = [(i, prose(rng, 12) + " " + passage + " " + prose(rng, 12)) for i in range(400)] + [(400 + i, "ab" * (40 + i % 7) + prose(rng, 9)) for i in range(60)]
+    rows += [(7, rows[9][1]), (None, rows[3][1]), (900, rows[8][1])]
+    inner, most = rp._sorted_shard, 2 * 8192
+
+    def bounded(need):
+        run = inner(need)
+
+        def checked(pdf):
+            assert pdf["raw"].str.len().sum() <= most, "a shard is larger than its bound"
+            return run(pdf)
+
+        return checked
+
+    monkeypatch.setattr(rp, "SHARD", 8192)
+    monkeypatch.setattr(rp, "BLOCK", 20_000)
+    monkeypatch.setattr(rp, "_sorted_shard", bounded)
+    got = rp.remove_repeats(frame(spark, rows), need=50).collect()
+    want = as_bag((i, n, gone, spans, hashlib.sha256(kept).hexdigest()) for i, n, gone, spans, kept in repeats(rows, 50))
+    assert as_bag((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
