@@ -81,7 +81,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 @tidy
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, as it is or with other values in its slots, go."""
-    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"), inside=True).select(docs.columns)
 
 
 @tidy

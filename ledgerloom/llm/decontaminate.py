@@ -27,11 +27,15 @@ UNITS = (
 ).split()
 
 # Java regular expressions. A name is a capitalised word (not one in capitals) inside a sentence, after a lower-case letter or a comma and one space.
-_NAME = r"\p{Lu}(?<=[\p{Ll},] \p{Lu})\p{Ll}[\p{L}\p{M}]*"
+# Scripts without spaces between words: each character is a token.
+_SINGLE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_LETTER = rf"[\p{{L}}\p{{M}}&&[^{_SINGLE}]]"
+_CHARACTER = rf"[\p{{L}}\p{{M}}&&[{_SINGLE}]]"
+_NAME = rf"\p{{Lu}}(?<=[\p{{Ll}},] \p{{Lu}})\p{{Ll}}{_LETTER}*"
 _NUMBER = r"\p{Nd}+(?:[.,]\p{Nd}+)*"
-_UNIT = rf"({NUMBER} ?)(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])"
-_TOKEN = rf"[\p{{L}}\p{{M}}]+|[{NUMBER}{NAME}{UNIT}]"
-_RAW = rf"[\p{{L}}\p{{M}}]+|{_NUMBER}"
+_UNIT = rf"({NUMBER} ?)(?i:{'|'.join(UNITS)})(?!{_LETTER})"
+_TOKEN = rf"{_LETTER}+|{_CHARACTER}|[{NUMBER}{NAME}{UNIT}]"
+_RAW = rf"{_LETTER}+|{_CHARACTER}|{_NUMBER}"
 
 
 def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -80,6 +84,19 @@ def window_hashes(tokens: Column, window: int = WINDOW) -> Column:
     return _bind(tokens, of)
 
 
+def document_windows(tokens: Column, window: int, lengths: list[int]) -> Column:
+    """Position (doc_at) and hash of each window of a document, and of each run of tokens as long as a shorter item (``lengths``)."""
+
+    def of(t: Column) -> Column:
+        hashed = [F.transform(window_hashes(t, window), lambda h, i: F.struct(i.alias("doc_at"), h.alias("hash")))]
+        for n in lengths:
+            runs = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.struct(i.alias("doc_at"), F.xxhash64(F.slice(t, i + 1, F.lit(n)), F.lit("whole")).alias("hash")))
+            hashed.append(F.when(F.size(t) > n, runs).otherwise(F.array().cast("array<struct<doc_at:int,hash:bigint>>")))
+        return F.concat(*hashed) if lengths else hashed[0]
+
+    return _bind(tokens, of)
+
+
 def _is_slot(token: Column) -> Column:
     return token.isin(NUMBER, NAME, UNIT)
 
@@ -103,11 +120,12 @@ def _key() -> Column:
     return F.xxhash64(F.col("text"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, tokens: int = TOKENS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, tokens: int = TOKENS, inside: bool = False) -> DataFrame:
     """Documents that hold a benchmark item: doc_id, text_key, item_id, items, item_tokens, matched_tokens, slots, kind.
 
     One row per document and class of items. A leak covers at least ``share`` of the item's tokens and at least ``tokens`` of them (or the whole of a shorter
-    item) on one diagonal. ``kind`` is ``exact`` where the slots hold the item's values and ``reparameterised`` where other
+    item) on one diagonal. An item of fewer tokens than a window is found inside a longer document where ``inside`` is set, otherwise only where it is
+    the whole document; without a word among its slots it is found with its own values only. ``kind`` is ``exact`` where the slots hold the item's values and ``reparameterised`` where other
     values map to them one to one; where they don't, only windows without a slot count (``partial``).
 
     Null or empty texts on either side match nothing. Null doc_id and rows sharing a doc_id are told apart by their text; repeated rows are
@@ -115,18 +133,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     """
     items = cut_lineage(item_classes(benchmark), "leak-items")
     windows = cut_lineage(items.select("item_id", F.posexplode(window_hashes(F.col("tokens"), window)).alias("item_at", "hash")), "leak-windows")
+    lengths = []
+    if inside:  # below the window, so a few at most
+        lengths = sorted(r.n for r in items.where(F.size("tokens") < window).select(F.size("tokens").alias("n")).distinct().collect())
     known = windows.select("hash").distinct()
     if windows.count() <= BROADCAST:  # otherwise Spark joins the two by shuffle
         known = F.broadcast(known)
     texts = docs.where("text is not null").select("doc_id", "text")
-    seen = texts.select("doc_id", _key().alias("text_key"), F.explode(window_hashes(template(F.col("text")), window)).alias("hash"))
+    all_hashes = window_hashes(template(F.col("text")), window)
+    if lengths:
+        all_hashes = F.transform(document_windows(template(F.col("text")), window, lengths), lambda w: w["hash"])
+    seen = texts.select("doc_id", _key().alias("text_key"), F.explode(all_hashes).alias("hash"))
     suspects = cut_lineage(seen.join(known, "hash", "left_semi").select("doc_id", "text_key").distinct(), "leak-suspects")
 
     # Only the suspects are looked at closely.
     keyed = texts.withColumn("text_key", _key())
     near = keyed.join(suspects.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["doc_id", "text_key"])
     read = cut_lineage(near.select("doc_id", "text_key", template(F.col("text")).alias("doc_tokens"), values(F.col("text")).alias("doc_words")), "leak-read")
-    places = read.select("doc_id", "text_key", F.posexplode(window_hashes(F.col("doc_tokens"), window)).alias("doc_at", "hash"))
+    places = read.select("doc_id", "text_key", F.inline(document_windows(F.col("doc_tokens"), window, lengths)))
     hits = places.join(windows, "hash").groupBy("doc_id", "text_key", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(F.array_sort(F.collect_set("item_at")).alias("starts"))
     width = F.least(F.lit(window), F.size("tokens"))
     need = F.least(F.size("tokens"), F.greatest(F.lit(tokens), F.ceil(F.size("tokens") * F.lit(share))))
@@ -145,7 +169,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     def distinct(side: str) -> Column:
         return F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["type"], p[side]))))
 
-    one_to_one = (distinct("item") == F.size("pairs")) & (distinct("doc") == F.size("pairs"))
+    worded = (F.size("tokens") >= window) | F.exists("tokens", lambda t: ~_is_slot(t))
+    one_to_one = worded & (distinct("item") == F.size("pairs")) & (distinct("doc") == F.size("pairs"))
     judged = cut_lineage(same.withColumn("starts", starts), "leak-same").withColumn("under", under)
     judged = cut_lineage(judged.withColumn("pairs", pairs).drop("under", "words", "doc_words", "doc_tokens"), "leak-pairs").withColumn(
         "kind", F.when(F.forall("pairs", lambda p: p["item"] == p["doc"]), "exact").when(one_to_one, "reparameterised").otherwise("partial")
@@ -159,7 +184,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     )
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, inside: bool = False) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
-    found = cut_lineage(leaks(docs, benchmark).select("text_key").distinct(), "leak-found")
+    found = cut_lineage(leaks(docs, benchmark, inside=inside).select("text_key").distinct(), "leak-found")
     return docs.join(found, F.xxhash64(docs["text"]) == found["text_key"], "left_anti")

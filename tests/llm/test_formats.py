@@ -179,6 +179,23 @@ def test_leaks(spark):
     assert decontaminate.without_leaks(frame, items.limit(0)).count() == len(docs)
 
 
+def test_short_items_inside_longer_documents(spark):
+    items = spark.createDataFrame([(1, "short one here"), (2, "What is 3 plus 4?"), (3, "一加二等于几"), (4, "42 km"), (5, "这个城市有多少人口和房子")], "item_id long, text string")
+    docs = [
+        (1, "well, a short one here is fine for all of us today", [(1, "exact")]), (2, "so. what is 3 plus 4? they asked the class of pupils", [(2, "exact")]),
+        (3, "so. what is 5 plus 9? they asked the class of pupils", [(2, "reparameterised")]), (4, "老师今天问我们一加二等于几没有人知道", [(3, "exact")]),
+        (5, "it is 42 km from the old town to the sea by road", [(4, "exact")]), (6, "it is 17 mi from the old town to the sea by road", []),
+        (7, "请问这个城市有多少人口和房子谢谢", [(5, "exact")]), (8, "a short one there is not what it was here", []), (9, "Tom说3 km说 a short one here", [(1, "exact")]),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string")
+    got = decontaminate.leaks(frame, items, inside=True).collect()
+    assert as_bag((r.doc_id, r.item_id, r.kind) for r in got) == as_bag((i, *k) for i, _, ks in docs for k in ks)
+    left = decontaminate.without_leaks(frame, items, inside=True).collect()
+    assert sorted(r.doc_id for r in left) == [i for i, _, ks in docs if not ks]
+    sizes = frame.select(F.size(decontaminate.template(F.col("text"))).alias("a"), F.size(decontaminate.values(F.col("text"))).alias("b")).collect()
+    assert all(r.a == r.b for r in sizes)
+
+
 def test_beyond_the_broadcast_bound(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     want = sorted(decontaminate.leaks(docs, items).collect())
