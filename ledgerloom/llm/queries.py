@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, langid, mixing, pages, quality_net, quality_rules, repeats, warc
+from . import chat, decontaminate, jaccard, langid, merkle, mixing, pages, quality_net, quality_rules, repeats, sharding, spelling, warc
 from .common import crc_fold, table
 
 QUERIES = {}
@@ -71,7 +71,101 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.without_breaks(table(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.document_shards(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.document_variants(table(spark, sf_dir, "documents"))
+
+
+#: crc32 by its table of 256 entries, for SQL without such a function.
+CRC_TABLE = """
+    SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) ORDER BY i) AS t
+    FROM (SELECT unnest(range(256)) AS i)
+"""
+
+
+def crc32_sql(text: str) -> str:
+    """crc32 of the UTF-8 bytes of ``text``; ``t`` is the column of CRC_TABLE."""
+    codes = f"list_transform(range(octet_length(encode({text}))), lambda k: CAST('0x' || substr(hex(encode({text})), CAST(2 * k + 1 AS INTEGER), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295)"
+
+
+def field_sql(column: str) -> str:
+    text = f"CAST({column} AS VARCHAR)"
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE octet_length(encode({text})) || ':' || {text} END"
+
+
 ORACLES = {
+    "op11_merkle": f"""
+        WITH RECURSIVE crc AS ({CRC_TABLE}),
+        d AS (
+            SELECT *, CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS now FROM documents, crc
+        ), leaves AS (
+            SELECT doc_id, source, sha256(concat({", ".join(map(field_sql, merkle.FIELDS))})) AS leaf,
+                sha256(concat({", ".join(field_sql("now" if c == "text" else c) for c in merkle.FIELDS)})) AS other FROM d
+        ), ranked AS (
+            SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r,
+                count(*) OVER (PARTITION BY source) AS n FROM leaves
+        ), nodes AS (
+            SELECT 0 AS level, tree, n, r, leaf AS h FROM ranked
+            UNION ALL SELECT level + 1, tree, (n + 2) // 3, r // 3, sha256(string_agg(h, '' ORDER BY r)) FROM nodes WHERE n > 1 GROUP BY level, tree, n, r // 3
+        ), subroots AS (SELECT tree, h, count(*) OVER () AS n FROM nodes WHERE n = 1),
+        crown AS (
+            SELECT 0 AS level, n, tree AS r, h FROM subroots
+            UNION ALL SELECT level + 1, (n + 2) // 3, r // 3, sha256(string_agg(h, '' ORDER BY r)) FROM crown WHERE n > 1 GROUP BY level, n, r // 3
+        ), steps AS (
+            SELECT x.tree, x.r AS leaf_r, p.level, string_agg(s.h, '' ORDER BY s.r) FILTER (s.r < x.r // CAST(power(3, p.level) AS BIGINT)) AS lefts,
+                string_agg(s.h, '' ORDER BY s.r) FILTER (s.r > x.r // CAST(power(3, p.level) AS BIGINT)) AS rights
+            FROM ranked x JOIN (SELECT DISTINCT level, tree FROM nodes WHERE n > 1) p ON p.tree = x.tree
+            JOIN nodes s ON s.tree = x.tree AND s.level = p.level AND s.r // 3 = x.r // CAST(power(3, p.level + 1) AS BIGINT) GROUP BY ALL
+            UNION ALL
+            SELECT x.tree, x.r, p.level + 1000, string_agg(s.h, '' ORDER BY s.r) FILTER (s.r < x.tree // CAST(power(3, p.level) AS BIGINT)),
+                string_agg(s.h, '' ORDER BY s.r) FILTER (s.r > x.tree // CAST(power(3, p.level) AS BIGINT))
+            FROM ranked x JOIN (SELECT DISTINCT level FROM crown WHERE n > 1) p ON true
+            JOIN crown s ON s.level = p.level AND s.r // 3 = x.tree // CAST(power(3, p.level + 1) AS BIGINT) GROUP BY ALL
+        ), path AS (
+            SELECT tree, leaf_r, row_number() OVER (PARTITION BY tree, leaf_r ORDER BY level) AS k, coalesce(lefts, '') AS lefts, coalesce(rights, '') AS rights FROM steps
+        ), folded AS (
+            SELECT tree, r, 0::BIGINT AS k, other AS h FROM ranked
+            UNION ALL SELECT f.tree, f.r, f.k + 1, sha256(p.lefts || f.h || p.rights) FROM folded f JOIN path p ON p.tree = f.tree AND p.leaf_r = f.r AND p.k = f.k + 1
+        ), proofs AS (SELECT tree, leaf_r, sha256(string_agg(lefts || rights, '' ORDER BY k)) AS proof FROM path GROUP BY ALL),
+        ends AS (SELECT tree, r, arg_max(h, k) AS h FROM folded GROUP BY ALL)
+        SELECT x.doc_id, x.leaf, u.h AS subroot, c.h AS root, coalesce(proof, sha256('')) AS proof_sha256, e.h AS folded_root, e.h = c.h AS verified
+        FROM ranked x JOIN subroots u USING (tree) JOIN crown c ON c.n = 1 JOIN ends e ON e.tree = x.tree AND e.r = x.r LEFT JOIN proofs p ON p.tree = x.tree AND p.leaf_r = x.r
+    """,
+    "op13_spelling": rf"""
+        WITH RECURSIVE crc AS ({CRC_TABLE}),
+        runs AS (
+            SELECT doc_id, run, count(*) AS n FROM (
+                SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents
+            ) GROUP BY ALL
+        ), hashed AS (SELECT run, n, {crc32_sql("doc_id || ':' || run")} AS h FROM runs, crc),
+        noisy AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+        words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM noisy WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+        pairs AS (
+            SELECT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND length(a.word) = length(b.word) AND a.word <> b.word
+            UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON w.word = c.rest
+            UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON w.word = c.rest
+        ), best AS (SELECT word, count(*) AS n_near, min({{'minus': -n, 'word': other}}) AS b FROM pairs GROUP BY word),
+        forms AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.minus >= 2 * w.n THEN b.word END AS form, CASE WHEN -b.minus >= 2 * w.n THEN -b.minus END AS form_n
+            FROM words w LEFT JOIN best ON best.word = w.word
+        ), ends AS (
+            SELECT word, word AS at, form AS further FROM forms
+            UNION ALL SELECT e.word, f.word, f.form FROM ends e JOIN forms f ON f.word = e.further
+        )
+        SELECT f.word, f.form, e.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN ends e ON e.word = f.word AND e.further IS NULL
+    """,
     "op5_jaccard": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
