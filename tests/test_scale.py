@@ -9,7 +9,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.clean import forward_fill
-from ledgerloom.operators.quantiles import exact_quantiles
+from ledgerloom.operators import quantiles
+from ledgerloom.operators.quantiles import exact_quantiles, narrow
 from ledgerloom.operators.skew import hot_keys, own_rows, running_totals, skew_join, with_neighbours
 
 
@@ -67,6 +68,46 @@ def test_quantiles_of_a_large_group(spark):
         assert whole[n] == pytest.approx(np.quantile(pdf["x"], p), abs=1e-9)
 
 
+SHAPES = {
+    "even": lambda i: F.hash("id").cast("double"),
+    "tied": lambda i: F.when(F.col("id") % 4 > 0, F.lit(5.0)).otherwise(F.hash("id") / 1e6),
+    "heavy tail": lambda i: F.exp((F.hash("id") % 700).cast("double")) * (1 + F.col("id") / 1e6),
+    "one value": lambda i: F.lit(3.25),
+    "edges": lambda i: F.when(F.col("id") % 3 == 0, F.lit(float("-inf"))).when(F.col("id") % 3 == 1, F.lit(float("inf"))).otherwise(F.col("id") / 7),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_no_task_sorts_more_than_the_budget(spark, shape, monkeypatch):
+    """A third of 90,000 rows in one group, a budget of 64 values and 16 pieces: several rounds of narrowing."""
+    df = spark.range(90_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 11).cast("string")).alias("g"), SHAPES[shape](None).alias("x"))
+    seen, rounds = [], []
+
+    def watched(counted, keys, ps, budget, pieces=16):
+        kept = narrow(counted, keys, ps, 64, 16)
+        seen.append(kept.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        rounds.append(counted.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        return kept
+
+    monkeypatch.setattr(quantiles, "narrow", watched)
+    probs = {"p1": 0.01, "q1": 0.25, "m": 0.5, "q3": 0.75, "p99": 0.99, "lo": 0.0, "hi": 1.0}
+    got = exact_quantiles(df, ["g"], "x", probs).toPandas().set_index("g")
+    assert max(seen) <= 64 and (shape == "one value" or max(rounds) > 64)
+    for g, part in df.toPandas().groupby("g"):
+        for n, p in probs.items():
+            with np.errstate(invalid="ignore"):
+                want = np.quantile(part["x"], p)
+            if np.isfinite(want):
+                assert got.loc[g, n] == pytest.approx(want, rel=1e-12, abs=1e-9)
+        assert got.loc[g, "n_values"] == len(part)
+
+
+def test_budget_that_pieces_cannot_reach(spark):
+    with pytest.raises(ValueError, match="budget"):
+        exact_quantiles(spark.range(5), [], "id", {"m": 0.5}, budget=10)
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=30), st.floats(0, 1))
 def test_quantile_matches_numpy(spark, xs, p):
