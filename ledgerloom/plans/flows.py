@@ -229,7 +229,43 @@ def stream_validation_counters(spark, d):
     return c.groupBy("event_type").agg(*[F.sum(n).alias(n) for n in ("rows", "missing", "negative", "no_payload")])
 
 
-@query("ST9", duck("event_log", "SELECT ts < TIMESTAMP '2024-01-10 00:00:00' AS late, count(*) AS events, sum(value) AS value FROM event_log GROUP BY 1"), r4="value")
+# Every eighth event comes two hours of the log after its neighbours, so it is older than what the stream has settled by then.
+_arrival = "event_id + CASE WHEN event_id % 8 = 0 THEN (SELECT count(*) FROM event_log) // 4 ELSE 0 END"
+_LANDINGS = 5
+
+
+@query(
+    "ST9",
+    duck("event_log", f"""SELECT late, count(*) AS events, sum(value) AS value, min(event_id) AS first_event, max(event_id) AS last_event FROM (
+      SELECT *, coalesce(ts < settled - INTERVAL 1 HOUR, false) AS late FROM (
+        SELECT *, least({_arrival}, total - 1) * {_LANDINGS} // total AS landing FROM event_log, (SELECT count(*) AS total FROM event_log)) e
+      LEFT JOIN (SELECT landing, max(date_trunc('millisecond', newest)) OVER (ORDER BY landing ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS settled FROM (
+        SELECT least({_arrival}, total - 1) * {_LANDINGS} // total AS landing, max(ts) AS newest FROM event_log, (SELECT count(*) AS total FROM event_log) GROUP BY 1)) USING (landing)) GROUP BY 1"""),
+    r4="value",
+)
 def stream_late_events(spark, d):
-    path = ev.run_batches(ev.event_stream(spark, d), "late", lambda b, p: ev.split_late(b, "2024-01-10 00:00:00", p))
-    return spark.read.parquet(path).withColumn("late", F.col("late").cast("boolean")).groupBy("late").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value"))
+    """Events land in five files, in order of arrival; on-time and late rows go to two tables."""
+    raw = cn.table(spark, d, "events")
+    total = raw.count()
+    arrival = F.least(F.col("event_id") + F.when(F.col("event_id") % 8 == 0, total // 4).otherwise(0), F.lit(total - 1))
+    landing = scratch_path(spark, "landing")
+    for n in range(_LANDINGS):  # one file after the other: the source takes the oldest first
+        raw.where(F.floor(arrival * _LANDINGS / total) == n).coalesce(1).write.mode("append").parquet(landing)
+    marked = ev.with_lateness(ev.event_stream(spark, landing, files_per_trigger=1, glob="*.parquet"))
+    rows = spark.read.parquet(ev.run_batches(marked, "late", ev.split_late))
+    return rows.groupBy(F.col("late").cast("boolean").alias("late")).agg(
+        F.count(F.lit(1)).alias("events"), F.sum("value").alias("value"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
+
+
+@query(
+    "ST6",
+    duck("event_log", f"""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_type, value FROM (
+      SELECT * FROM (SELECT * FROM event_log UNION ALL SELECT event_id + 1000000000, event_type, ts + INTERVAL 10 DAY, correlation_id, value, k FROM event_log)
+      ORDER BY ts DESC, event_id DESC LIMIT {ev.HISTORY})"""),
+)
+def stream_bounded_history(spark, d):
+    """The newest 10,000 of all events and of copies that come ten days later."""
+    once = ev.event_stream(spark, d)
+    later = once.withColumns({"event_id": F.col("event_id") + 1_000_000_000, "ts": F.col("ts") + F.expr("INTERVAL 10 DAYS")})
+    path = ev.run_batches(ev.newest_events(once.unionByName(later)), "bounded", ev.write_history, mode="update")
+    return ev.merged_history(spark, path).select("event_id", F.date_format("ts", f"{_fmt}.SSSSSS").alias("ts"), "event_type", "value")

@@ -18,10 +18,14 @@ EVENT_SCHEMA = T.StructType(
     ]
 )
 DELAY = "1 hour"
+#: Events that a history holds.
+HISTORY = 10_000
+#: Times go through JSON with all their digits.
+JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
-def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
-    raw = read_chunks(spark, folder, EVENT_SCHEMA, glob="events*.parquet", files_per_trigger=files_per_trigger)
+def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100, glob: str = "events*.parquet") -> DataFrame:
+    raw = read_chunks(spark, folder, EVENT_SCHEMA, glob=glob, files_per_trigger=files_per_trigger)
     return raw.select(
         "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("correlation_id"), "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
@@ -42,10 +46,19 @@ def daily_counts(events: DataFrame) -> DataFrame:
 
 
 def rolling_sessions(events: DataFrame) -> DataFrame:
-    """Statistics of the last 24 hours, every hour."""
-    w = F.window("ts", "24 hours", "1 hour")
-    return events.withWatermark("ts", DELAY).groupBy(w).agg(
-        F.count(F.lit(1)).alias("sessions"), F.avg("value").alias("average_value"), F.avg("k").alias("average_risk"), F.max("ts").alias("latest")
+    """Statistics of the last 24 hours, every hour.
+
+    Hours are summed first, so an event is one update of one state row; the 24 windows that an hour is in
+    then take the hour's sums. Both steps keep state until the watermark passes a window's end.
+    """
+    sums = {"value": F.sum("value"), "values": F.count("value"), "k": F.sum("k"), "ks": F.count("k")}
+    hours = events.withWatermark("ts", DELAY).groupBy(F.window("ts", "1 hour").alias("hour")).agg(
+        F.count(F.lit(1)).alias("events"), F.max("ts").alias("newest"), *[c.alias(n) for n, c in sums.items()]
+    )
+    w = F.window(F.window_time("hour"), "24 hours", "1 hour")
+    return hours.groupBy(w).agg(
+        F.sum("events").alias("sessions"), (F.sum("value") / F.sum("values")).alias("average_value"), (F.sum("k") / F.sum("ks")).alias("average_risk"),
+        F.max("newest").alias("latest"),
     ).select(F.col("window.end").alias("window_end"), "sessions", "average_value", "average_risk", "latest")
 
 
@@ -57,6 +70,8 @@ def freshness(rolled: DataFrame) -> DataFrame:
 
 def chains(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """Runs of events of one correlation id with no pause longer than ``gap``."""
+    # Sessions of one busy id are merged in each task before the shuffle.
+    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     w = F.session_window("ts", gap)
     return events.withWatermark("ts", DELAY).groupBy("correlation_id", w).agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value")).select(
         "correlation_id", F.col("session_window.start").alias("started"), "events", "value"
@@ -78,22 +93,83 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, label: str, handle: Callable[[DataFrame, str], None]) -> str:
+def run_batches(stream: DataFrame, label: str, handle: Callable[[DataFrame, str], None], mode: str = "append") -> str:
     """foreachBatch to a folder; ``handle`` writes each batch below a path named by its number, so a replay overwrites itself."""
     spark = stream.sparkSession
     out, progress = scratch_path(spark, label), scratch_path(spark, f"{label}-progress")
     q = (
         stream.writeStream.foreachBatch(lambda df, n: handle(df, f"{out}/batch={n}"))
-        .option("checkpointLocation", progress).trigger(availableNow=True).start()
+        .option("checkpointLocation", progress).outputMode(mode).trigger(availableNow=True).start()
     )
     q.awaitTermination()
     return out
 
 
-def split_late(batch: DataFrame, watermark: str, path: str) -> None:
-    """On-time and late rows of a batch, against a fixed watermark, into two tables."""
-    edge = F.lit(watermark).cast("timestamp")
-    batch.withColumn("late", F.col("ts") < edge).write.mode("overwrite").partitionBy("late").parquet(path)
+def with_lateness(events: DataFrame, delay: str = DELAY, buckets: int = 64) -> DataFrame:
+    """``events`` with watermark (as it runs) and late: whether the row is older than what the stream had settled when it came.
+
+    Other stateful operators drop such rows unseen. Rows are dealt by a hash of the event, so a busy id is spread over
+    tasks, and stream through in Arrow batches; a bucket's state is its number of rows and late rows so far.
+    A null time is never late. The first batch has no watermark and no late rows.
+    """
+    columns = events.columns
+    marked = events.withWatermark("ts", delay).select("ts", F.pmod(F.xxhash64("event_id"), F.lit(buckets)).alias("bucket"), F.unix_millis("ts").alias("at"), F.to_json(F.struct(*columns), JSON).alias("row"))
+    schema = "row string, watermark long, late boolean, bucket_rows long, bucket_late long"
+
+    def mark(key, frames, state):
+        edge = state.getCurrentWatermarkMs()
+        rows, late_rows = state.get if state.exists else (0, 0)
+        for f in frames:
+            late = f["at"] < edge
+            rows, late_rows = rows + len(f), late_rows + int(late.sum())
+            yield f[["row"]].assign(watermark=edge, late=late, bucket_rows=rows, bucket_late=late_rows)
+        state.update((rows, late_rows))
+
+    judged = marked.groupBy("bucket").applyInPandasWithState(mark, schema, "rows long, late long", "append", "NoTimeout")
+    return judged.select(F.from_json("row", events.schema, JSON).alias("e"), F.timestamp_millis("watermark").alias("watermark"), "late").select("e.*", "watermark", "late")
+
+
+def split_late(batch: DataFrame, path: str) -> None:
+    """On-time and late rows of a batch of ``with_lateness``, in two tables."""
+    batch.write.mode("overwrite").partitionBy("late").parquet(path)
+
+
+def newest_events(events: DataFrame, keep: int = HISTORY, buckets: int = 16) -> DataFrame:
+    """A history of ``keep`` events: what each bucket of events holds of it whenever it changes, at most its own ``keep`` newest.
+
+    The state of a bucket is a list, newest first by (ts, event_id); older rows than the last of a full list leave it.
+    ``history`` of any moment is made of the buckets' lists by ``merged_history``. Null times count as the oldest.
+    """
+    rows = events.select(
+        F.pmod(F.xxhash64("event_id"), F.lit(buckets)).cast("int").alias("bucket"), F.coalesce(F.unix_micros("ts"), F.lit(-(2**63))).alias("at"),
+        F.coalesce("event_id", F.lit(-(2**63))).alias("id"), F.to_json(F.struct(*events.columns), JSON).alias("row"),
+    )
+    names = ["at", "id", "row"]
+
+    def evict(key, frames, state):
+        import pandas as pd
+
+        held = pd.DataFrame(dict(zip(names, map(list, state.get))) if state.exists else {n: [] for n in names})
+        for f in frames:
+            both = pd.concat([held, f[names]]) if len(held) else f[names]
+            held = both.sort_values(["at", "id"], ascending=False, kind="stable").head(keep)
+        state.update(tuple(held[n].tolist() for n in names))
+        yield held.assign(bucket=key[0])
+
+    lists = rows.groupBy("bucket").applyInPandasWithState(evict, "at long, id long, row string, bucket int", "at array<long>, id array<long>, row array<string>", "update", "NoTimeout")
+    return lists.select("bucket", "at", "id", F.from_json("row", events.schema, JSON).alias("event"))
+
+
+def write_history(batch: DataFrame, path: str) -> None:
+    """The lists of the buckets that a batch changed."""
+    batch.write.mode("overwrite").parquet(path)
+
+
+def merged_history(spark: SparkSession, path: str, keep: int = HISTORY) -> DataFrame:
+    """The ``keep`` newest events over all buckets, from each bucket's last list. Reads at most ``keep`` rows per bucket beyond the batch numbers."""
+    lists = spark.read.parquet(path)
+    last = lists.groupBy("bucket").agg(F.max("batch").alias("batch"))  # one row per bucket
+    return lists.join(F.broadcast(last), ["bucket", "batch"]).orderBy(F.desc("at"), F.desc("id")).limit(keep).select("event.*")
 
 
 def validation_counters(batch: DataFrame, path: str) -> None:

@@ -1,6 +1,7 @@
 """Readers and writers on small files, and streams against their batch twins."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +117,48 @@ def test_stream_equals_batch_for_closed_days(spark):
     assert key(stream) == key(batch) and stream.count() > 0
 
 
-def test_late_rows_are_kept_apart(spark):
-    path = ev.run_batches(ev.event_stream(spark, D), "t-late", lambda b, p: ev.split_late(b, "2024-01-10 00:00:00", p))
-    assert spark.read.parquet(path).count() == cn.table(spark, D, "events").count()
+def landed(spark, folder, batches):
+    """One file per batch of (event_id, seconds, value), the first to come first."""
+    for rows in batches:
+        df = spark.createDataFrame([(i, None if at is None else at, v) for i, at, v in rows], "event_id long, at double, value double")
+        ts = (F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).cast("timestamp_ntz")
+        df.select("event_id", ts.alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("click").alias("event_type"), "value", F.lit('{"k": 1}').alias("props")).coalesce(1).write.mode("append").parquet(folder)
+    return ev.event_stream(spark, folder, files_per_trigger=1, glob="*.parquet")
+
+
+def test_late_rows_go_to_their_own_table(spark, tmp_path):
+    hour = 3600.0
+    stream = landed(spark, str(tmp_path / "in"), [
+        [(1, 10 * hour, 1.0), (2, 2 * hour, 2.0), (3, 12 * hour + 0.123456, 3.0)],  # nothing is settled yet
+        [(4, 10.9 * hour, 4.0), (5, 11.1 * hour, 5.0), (6, None, 6.0), (7, 20 * hour, None)],  # settled: 11 o'clock and 0.123 s
+        [(8, 18.9 * hour, 8.0), (9, 19 * hour, 9.0), (4, 10.9 * hour, 4.0)],  # settled: 19 o'clock; a copy of 4
+    ])
+    path = ev.run_batches(ev.with_lateness(stream), "t-late", ev.split_late)
+    rows = spark.read.parquet(path)
+    assert sorted((r.event_id, r.batch) for r in rows.where("late = 'true'").collect()) == [(4, 1), (4, 2), (8, 2)]
+    assert sorted(r.event_id for r in rows.where("late = 'false'").collect()) == [1, 2, 3, 5, 6, 7, 9]
+    assert {(r.batch, r.edge) for r in rows.select("batch", F.unix_millis("watermark").alias("edge")).collect()} == {(0, 0), (1, 11 * 3_600_000 + 123), (2, 19 * 3_600_000)}
+    assert rows.where("event_id = 3").select(F.unix_micros("ts").alias("t")).first().t == 12 * 3_600_000_000 + 123_456
+
+
+def test_history_holds_the_newest(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, float(rng.choice([rng.randrange(500), 77])), float(i)) for i in range(300)] + [(300, None, 0.5)]
+    rng.shuffle(rows)
+    stream = landed(spark, str(tmp_path / "in"), [rows[:10], rows[10:200], rows[200:]])
+    path = ev.run_batches(ev.newest_events(stream, keep=25, buckets=4), "t-history", ev.write_history, mode="update")
+    got = [r.event_id for r in ev.merged_history(spark, path, keep=25).collect()]
+    want = sorted((r for r in rows if r[1] is not None), key=lambda r: (r[1], r[0]), reverse=True)[:25]
+    assert got == [r[0] for r in want]
+    assert spark.read.parquet(path).groupBy("batch", "bucket").count().agg(F.max("count")).first()[0] <= 25
+    short = ev.run_batches(ev.newest_events(stream, keep=1000, buckets=4), "t-history", ev.write_history, mode="update")
+    assert sorted(r.event_id for r in ev.merged_history(spark, short, keep=1000).collect()) == list(range(301))
+
+
+def test_an_event_is_one_state_row_of_rolling_windows(spark):
+    stream = ev.run_to_table(ev.rolling_sessions(ev.event_stream(spark, D)), "t-rolling")
+    batch = ev.rolling_sessions(cn.event_log(spark, D)).join(stream.select("window_end").distinct(), "window_end", "left_semi")
+    key = lambda df: sorted((str(r.window_end), r.sessions, round(r.average_value, 3), round(r.average_risk, 3), str(r.latest)) for r in df.collect())
+    assert key(stream) == key(batch) and stream.count() > 600
+    plan = ev.rolling_sessions(cn.event_log(spark, D))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Expand") < plan.rindex("Aggregate")  # windows are spread out above the hourly sums
