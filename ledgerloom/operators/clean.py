@@ -158,8 +158,8 @@ def column_modes(df: DataFrame, columns: list[str]) -> DataFrame:
     return top_values(df, columns, 1).select("column_name", F.col("value").alias("mode"))
 
 
-def smart_impute(df: DataFrame) -> DataFrame:
-    """Median for amounts and premiums, mean for other numbers, mode for text. Statistics come as scalar subqueries."""
+def fill_values(df: DataFrame) -> dict[str, tuple[str, Column]]:
+    """How each column's gaps are filled (median, mean or mode) and with what; statistics come as scalar subqueries."""
     fills = {}
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     medians = [c for c in numeric if "amount" in c.lower() or "premium" in c.lower()]
@@ -170,16 +170,21 @@ def smart_impute(df: DataFrame) -> DataFrame:
         q = exact_quantiles(cells, ["column_name"], "x", {"m": 0.5})
         one = q.agg(*[F.max(F.when(F.col("column_name") == c, F.col("m"))).alias(c) for c in medians])
         stat = one.select(F.struct(*medians)).scalar()
-        fills |= {c: stat.getField(c) for c in medians}
+        fills |= {c: ("median", stat.getField(c)) for c in medians}
     if means:
         stat = df.agg(F.struct(*[F.avg(c).alias(c) for c in means])).scalar()
-        fills |= {c: stat.getField(c) for c in means}
+        fills |= {c: ("mean", stat.getField(c)) for c in means}
     if text:
         one = column_modes(df, text).agg(*[F.max(F.when(F.col("column_name") == c, F.col("mode"))).alias(c) for c in text])
         stat = one.select(F.struct(*text)).scalar()
-        fills |= {c: stat.getField(c) for c in text}
+        fills |= {c: ("mode", stat.getField(c)) for c in text}
     types = dict(df.dtypes)
-    return df.withColumns({c: F.coalesce(F.col(c), v.cast(types[c])) for c, v in fills.items()})
+    return {c: (how, v.cast(types[c])) for c, (how, v) in fills.items()}
+
+
+def smart_impute(df: DataFrame) -> DataFrame:
+    """Median for amounts and premiums, mean for other numbers, mode for text."""
+    return df.withColumns({c: F.coalesce(F.col(c), v) for c, (_, v) in fill_values(df).items()})
 
 
 def forward_fill(df: DataFrame, idx: str, column: str, chunk: int = 100_000) -> DataFrame:
@@ -297,7 +302,7 @@ def treaty_conflicts(df: DataFrame) -> DataFrame:
 
 
 def clean_policies(df: DataFrame, asof: str) -> DataFrame:
-    """Dedupe, type, repair dates, standardise, normalise, impute, cap and apply the rules."""
+    """Dedupe, repair dates, standardise, normalise, impute, cap and apply the rules, on a table that is typed already (see cleaning.py)."""
     d = keep_last(df, ["policy_id", "issue_date"], [F.desc("row_idx")])
     d = d.withColumn("issue_date", repair_future(F.col("issue_date"), asof))
     d = standardise_categories(d)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import canonical as cn
 from ..operators import clean as cl
+from ..operators import cleaning as cg
 from ..operators import quality as ql
 from .duck import duck
 from .registry import query
@@ -607,3 +608,78 @@ def cleaned_policies(spark, d):
     return cl.clean_policies(cn.messy_policies(spark, d), ASOF).select(
         "policy_id", "gender", "smoker_status", "policy_status", "product_type", "face_amount", "premium", "issue_age", "current_age", "issue_date"
     )
+
+
+# The table as it is landed: numbers and dates as text, a part of the rows sent again later with another premium.
+_landed_sql = """SELECT row_idx, policy_id, ' ' || gender AS gender, smoker_status, policy_status, product_type, underwriting_class, face_amount, CAST(CAST(premium * part AS DECIMAL(18, 4)) AS DOUBLE) AS premium, issue_age, current_age,
+  CASE WHEN k % 43 = 0 THEN issue_date WHEN k % 6 <> 5 THEN day END AS issue_date, CASE WHEN k % 43 = 0 THEN strftime(issue_date, '%Y-%m-%d') ELSE issue_text END AS issue_key FROM (
+  SELECT *, row_idx AS k, 1 AS part FROM messy UNION ALL SELECT * REPLACE (row_idx + 60000000 AS row_idx), row_idx, 2 FROM messy WHERE row_idx % 20 = 7)"""
+_SPELLED = ("gender", "smoker_status", "policy_status", "product_type", "underwriting_class")
+_typed_sql = "SELECT * REPLACE (" + ", ".join(f"trim({c}) AS {c}" for c in _SPELLED) + ") FROM landed"
+_formed_sql = "SELECT * REPLACE (" + ", ".join(f"{_map(c, c)} AS {c}" for c in _SPELLED if c in cl.CATEGORIES) + f""", CASE WHEN issue_date > DATE '{ASOF}' AND year(issue_date) > 2050 THEN CAST(issue_date - INTERVAL 100 YEAR AS DATE) ELSE issue_date END AS issue_date,
+  round(abs(face_amount), 2) AS face_amount, round(CAST(premium AS DECIMAL(18, 4)), 2)::DOUBLE AS premium) FROM typed"""
+_once_sql = "SELECT * FROM formed QUALIFY row_number() OVER (PARTITION BY policy_id, issue_key ORDER BY row_idx DESC) = 1"
+_mode_o = lambda c: f"(SELECT {c} FROM once WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+_whole_sql = "SELECT * REPLACE (" + ", ".join(f"coalesce({c}, {_mode_o(c)}) AS {c}" for c in _SPELLED) + ", " + ", ".join(
+    f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM once)) AS {c}" for c in ("face_amount", "premium")) + ", last_value(issue_date IGNORE NULLS) OVER (ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS issue_date) FROM once"
+_held_sql = f"SELECT * REPLACE ({_bound('face_amount').replace('filled', 'whole')}, {_bound('premium').replace('filled', 'whole')}) FROM whole"
+_ruled_sql = """SELECT * REPLACE (abs(face_amount) AS face_amount, abs(CASE WHEN premium / face_amount > 0.2 THEN face_amount * 0.2::DOUBLE WHEN premium / face_amount < 0.0001 THEN face_amount * 0.0001::DOUBLE ELSE premium END) AS premium,
+  CAST(least(120, greatest(0, issue_age)) AS INT) AS issue_age, CAST(least(120, greatest(0, greatest(current_age, issue_age))) AS INT) AS current_age) FROM held"""
+_WHOLE = dict(landed=_landed_sql, typed=_typed_sql, formed=_formed_sql, once=_once_sql, whole=_whole_sql, held=_held_sql, ruled=_ruled_sql)
+
+
+def _landed(spark, d):
+    m = cn.messy_policies(spark, d).withColumns({"k": F.col("row_idx"), "part": F.lit(1)})
+    again = m.where("k % 20 = 7").withColumns({"row_idx": F.col("k") + 60_000_000, "part": F.lit(2)})
+    return m.unionByName(again).select(
+        "row_idx", "policy_id", F.concat(F.lit(" "), "gender").alias("gender"), *_SPELLED[1:],
+        F.concat(F.lit("$"), F.format_number("face_amount", 2)).alias("face_amount"), (F.col("premium") * F.col("part")).cast("decimal(18,4)").cast("string").alias("premium"),
+        "issue_age", "current_age", F.when(F.col("k") % 43 == 0, F.date_format("issue_date", "yyyy-MM-dd")).otherwise(F.col("issue_text")).alias("issue_date"),
+    )
+
+
+def _clean_landed(spark, d):
+    return cg.clean_dataset(_landed(spark, d), ["policy_id", "issue_date"], "row_idx", ASOF)
+
+
+@query("C1 C2 C3 C4 C15", duck("messy", "SELECT * EXCLUDE (issue_key) FROM ruled", **_WHOLE), r4="face_amount premium", day="issue_date")
+def cleaned_dataset(spark, d):
+    """Stages the table four times while the query is being built."""
+    return _clean_landed(spark, d).rows
+
+
+_differs = lambda step, action, old, new, columns: " UNION ALL ".join(
+    f"SELECT {step} AS step, '{action}' AS action, '{c}' AS column_name, count(*) FILTER (o.{c} IS DISTINCT FROM n.{c}) AS cells FROM {old} o JOIN {new} n USING (row_idx)" for c in columns)
+_named = [c for c in _SPELLED if c in cl.CATEGORIES]
+
+
+@query(
+    "C1",
+    duck("messy", " UNION ALL ".join([
+        *[f"SELECT 1 AS step, 'type' AS action, '{c}' AS column_name, count({c}) AS cells FROM typed" for c in ("face_amount", "premium", "issue_date")],
+        *[f"SELECT 1, 'unreadable', '{c}', count(*) FILTER ({c} IS NULL AND {raw} IS NOT NULL) FROM typed" for c, raw in (("face_amount", "face_amount"), ("premium", "premium"), ("issue_date", "issue_key"))],
+        *[f"SELECT 1, 'trim', '{c}', count(*) FILTER (o.{c} <> n.{c}) FROM landed o JOIN typed n USING (row_idx)" for c in _SPELLED],
+        _differs(2, "repair_date", "typed", "formed", ["issue_date"]), _differs(3, "standardise", "typed", "formed", _named), _differs(4, "normalise_amount", "typed", "formed", ["face_amount", "premium"]),
+        "SELECT 5, 'drop_duplicates', NULL, (SELECT count(*) FROM formed) - (SELECT count(*) FROM once)",
+        _differs(6, "fill_median", "once", "whole", ["face_amount", "premium"]), _differs(6, "fill_mean", "once", "whole", ["policy_id", "issue_age", "current_age"]), _differs(6, "fill_mode", "once", "whole", _SPELLED),
+        _differs(6, "fill_forward", "once", "whole", ["issue_date"]), _differs(7, "cap", "whole", "held", ["face_amount", "premium"]), _differs(8, "rule", "held", "ruled", ["face_amount", "premium", "issue_age", "current_age"]),
+    ]), **_WHOLE),
+)
+def cleaning_actions(spark, d):
+    """Cells that each step of the cleaning changed, by column."""
+    return _clean_landed(spark, d).actions
+
+
+_FIELDS = ("policy_id", *_SPELLED, "face_amount", "premium", "issue_age", "current_age", "issue_date")
+_score_sql = lambda stage, view, date: f"""SELECT '{stage}' AS stage, count(*) AS rows, ({' + '.join(f'count({date if c == "issue_date" else c})' for c in _FIELDS)}) / (count(*) * {len(_FIELDS)}) AS completeness,
+  {' * '.join(f'(1 - count(*) FILTER ({c} < 0) / count(*))' for c in ('face_amount', 'premium', 'issue_age', 'current_age'))} AS consistency FROM {view}"""
+
+
+@query(
+    "C1 A20",
+    duck("messy", f"SELECT *, (0.7 * completeness + 0.3 * consistency) * 100 AS quality_score FROM ({_score_sql('before', 'landed', 'issue_key')} UNION ALL {_score_sql('after', 'ruled', 'issue_date')})", **_WHOLE),
+    r6="completeness consistency quality_score",
+)
+def cleaning_quality(spark, d):
+    """Quality of the landed and of the cleaned table, counted in the cleaning's own passes."""
+    return _clean_landed(spark, d).quality
