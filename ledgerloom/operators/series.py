@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .skew import skew_join
 
 def by_date():
@@ -113,26 +114,48 @@ def curve_measures(wide: DataFrame) -> DataFrame:
 
 
 def as_of_join(rows: DataFrame, states: DataFrame, key: list[str], time: str, columns: list[str]) -> DataFrame:
-    """Attach to each row the latest state at or before its time.
+    """Attach to each row the latest state of its key at or before its time; NULL where there is none, or where a key or the time is NULL.
 
-    ``states`` is small per key (one row per date). The state's validity interval is
-    made first, then each row meets one state: an equi join on key and date after the
-    intervals are spread to days, so no window ever runs over the big side.
+    Of states with one key and time the one that is largest in ``columns`` counts. Without a key ``time`` is a date: states are
+    spread to the days they hold and met in an equi join, so no window ever runs over the big side. With a key see ``_keyed_as_of``.
     """
-    w = Window.partitionBy(*key).orderBy(time) if key else Window.partitionBy(F.lit(0)).orderBy(time)
-    newest = states.agg(F.max_by(F.struct(time, *columns), time)).scalar() if not key else None
-    last = states.agg(F.max(time)).scalar()
-    spans = states.withColumn("_next", F.lead(time).over(w))
-    end = F.coalesce(F.date_sub("_next", 1), F.col(time))
-    daily = spans.withColumn("_day", F.explode(F.sequence(F.col(time), F.greatest(F.col(time), end)))).select(*key, "_day", *columns)
     if key:
-        return skew_join(rows.withColumn("_day", F.least(F.col(time), last)), daily, [*key, "_day"], "left").drop("_day")
+        return _keyed_as_of(rows, states, key, time, columns)
+    once = states.where(F.col(time).isNotNull()).groupBy(time).agg(F.max(F.struct(*columns)).alias("_s")).select(time, "_s.*")
+    newest = once.agg(F.max_by(F.struct(time, *columns), time)).scalar()
+    last = once.agg(F.max(time)).scalar()
+    spans = once.withColumn("_next", F.lead(time).over(Window.partitionBy(F.lit(0)).orderBy(time)))  # one row per date
+    end = F.coalesce(F.date_sub("_next", 1), F.col(time))
+    daily = spans.withColumn("_day", F.explode(F.sequence(F.col(time), F.greatest(F.col(time), end)))).select("_day", *columns)
     # After the last state, the last state holds: those rows, maybe most, take it as a scalar and meet no key.
     after = F.col(time) >= last
     joined = skew_join(rows.withColumn("_day", F.when(~after, F.col(time))), daily, "_day", "left")
     return joined.withColumn("_new", newest).withColumns({c: F.when(after, F.col("_new")[c]).otherwise(F.col(c)) for c in columns}).drop("_day", "_new")
 
 
+def _keyed_as_of(rows: DataFrame, states: DataFrame, key: list[str], time: str, columns: list[str]) -> DataFrame:
+    """Rows and states in one order by key and time, cut into ranges; each range fills forward on its own.
+
+    A key with a third of all rows lies in many ranges. What such a range's head needs is the newest state of the ranges
+    before it, if that is of the same key: one row per range carries it over the cut. Times of any type will do.
+    """
+    complete = F.lit(True)
+    for c in [*key, time]:
+        complete = complete & F.col(c).isNotNull()
+    known = states.where(complete).groupBy(*key, time).agg(F.max(F.struct(*columns)).alias("_state"))
+    mine = rows.select("*", F.lit(None).cast(known.schema["_state"].dataType).alias("_state"), F.lit(1).alias("_kind"), F.xxhash64(*rows.columns).alias("_tie"))
+    both = mine.unionByName(known.select("*", F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_tie")), allowMissingColumns=True)
+    cut = cut_lineage(both.repartitionByRange(*key, time, "_kind", "_tie").withColumn("_range", F.spark_partition_id()), "as-of")
+    whose = F.struct(*key)
+    newest = F.max_by(F.struct(whose.alias("key"), "_state"), F.when(F.col("_kind") == 0, F.struct(*key, time)))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    carried = cut.groupBy("_range").agg(newest.alias("_newest")).select("_range", F.last("_newest", ignorenulls=True).over(before).alias("_carried"))
+    upto = Window.partitionBy("_range", *key).orderBy(time, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    filled = cut.withColumn("_here", F.last("_state", ignorenulls=True).over(upto)).where("_kind = 1").join(carried, "_range")
+    state = F.coalesce("_here", F.when((F.col("_carried.key") == whose) & F.col(time).isNotNull(), F.col("_carried._state")))
+    return filled.withColumn("_found", state).select(*rows.columns, *[F.col("_found")[c].alias(c) for c in columns])
+
+
 def latest_values(states: DataFrame, time: str, columns: list[str]) -> DataFrame:
     """One row: each column's value at the newest time where it is known."""
     return states.agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(time))).alias(c) for c in columns])

@@ -331,6 +331,24 @@ def economic_state_at_issue(spark, d):
     return sr.as_of_join(p, monthly, [], "issue_date", ["rate"])
 
 
+@query(
+    "J5",
+    duck("claims treaties cedent_years", """SELECT c.cedent_id, count(*) AS claims, count(s.loss_ratio) AS with_experience, avg(s.loss_ratio) AS known_loss_ratio, min(s.known_on) AS first_known, max(s.known_on) AS last_known
+      FROM (SELECT cedent_id, loss_date FROM claims JOIN treaties USING (treaty_id)) c
+      ASOF LEFT JOIN (SELECT cedent_id, make_date(year, 12, 31) AS known_on, loss_ratio FROM cedent_years WHERE (cedent_id + year) % 3 > 0) s ON c.cedent_id = s.cedent_id AND c.loss_date >= s.known_on GROUP BY 1"""),
+    r6="known_loss_ratio", day="first_known last_known",
+)
+def cedent_experience_at_loss(spark, d):
+    """The cedent's loss ratio that was known on the day of each claim: that of its last year on file."""
+    c = cn.claims(spark, d).join(cn.treaties(spark, d).select("treaty_id", "cedent_id"), "treaty_id").select("cedent_id", F.col("loss_date").alias("known_on"))
+    filed = cn.cedent_years(spark, d).where((F.col("cedent_id") + F.col("year")) % 3 > 0)
+    states = filed.select("cedent_id", F.make_date("year", F.lit(12), F.lit(31)).alias("known_on"), F.make_date("year", F.lit(12), F.lit(31)).alias("as_of"), "loss_ratio")
+    known = sr.as_of_join(c, states, ["cedent_id"], "known_on", ["as_of", "loss_ratio"])
+    return known.groupBy("cedent_id").agg(
+        F.count(F.lit(1)).alias("claims"), F.count("loss_ratio").alias("with_experience"), F.avg("loss_ratio").alias("known_loss_ratio"),
+        F.min("as_of").alias("first_known"), F.max("as_of").alias("last_known"))
+
+
 @query(
     "J4",
     duck("economy treaties", f"""SELECT treaty_id, treaty_type, (SELECT arg_max(y10, date) FROM ({_wide})) AS current_interest_rate, (SELECT arg_max(inflation, date) FROM ({_wide})) AS current_inflation FROM treaties"""),

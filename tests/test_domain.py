@@ -177,3 +177,33 @@ def test_monthly_lapse_compounds_to_the_year(spark):
 
 def test_lognormal_tail_uses_the_normal_quantile():
     assert 0.5 * (1 + math.erf(ty.Z_995 / math.sqrt(2))) == pytest.approx(0.995)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_keyed_as_of_join_equals_brute_force(spark, parts):
+    """Many cuts, a key with most rows, a key whose states end early, keys without states or rows, NULLs and equal times."""
+    import random
+
+
+    rng = random.Random(parts)
+    pick = lambda: rng.choice(["hot"] * 6 + ["early", "late", "none", None])
+    rows = [(i, pick(), rng.choice([None, *range(100)])) for i in range(600)] + [(600, "hot", 50), (601, "hot", 50)]
+    states = [("hot", 30, 1.0, "a"), ("hot", 30, 2.0, "b"), ("hot", 90, 3.0, "c"), ("early", 2, 4.0, "d"), ("early", 5, None, "e"), ("late", 95, 5.0, "f"), ("other", 1, 6.0, "g"), (None, 1, 7.0, "h"), ("hot", None, 8.0, "i")]
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "id int, k string, t int").withColumn("_keep", F.lit("x"))
+        got = {r.id: (r.v, r.n) for r in sr.as_of_join(df, spark.createDataFrame(states, "k string, t int, v double, n string"), ["k"], "t", ["v", "n"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])
+    for i, k, t in rows:
+        found = [(s[1], s[2] is not None, s[2], s[3]) for s in states if None not in (k, t, s[1]) and s[0] == k and s[1] <= t]
+        assert got[i] == (max(found)[2:] if found else (None, None))
+
+
+def test_keyed_as_of_join_without_rows_or_states(spark):
+    rows, states = spark.createDataFrame([("a", 1)], "k string, t int"), spark.createDataFrame([("a", 1, 2.0)], "k string, t int, v double")
+    assert sr.as_of_join(rows, states.limit(0), ["k"], "t", ["v"]).collect()[0].v is None
+    assert sr.as_of_join(rows.limit(0), states, ["k"], "t", ["v"]).count() == 0
