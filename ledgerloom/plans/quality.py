@@ -8,6 +8,8 @@ from .. import canonical as cn
 from ..operators import clean as cl
 from ..operators import cleaning as cg
 from ..operators import quality as ql
+from ..operators import schemas as sc
+from ..session import cut_lineage
 from .duck import duck
 from .registry import query
 
@@ -683,3 +685,55 @@ _score_sql = lambda stage, view, date: f"""SELECT '{stage}' AS stage, count(*) A
 def cleaning_quality(spark, d):
     """Quality of the landed and of the cleaned table, counted in the cleaning's own passes."""
     return _clean_landed(spark, d).quality
+
+
+# Five landed files with the faults that schemas are checked for.
+_KIND_SQL = {
+    "treaty": "SELECT treaty_id, CASE WHEN treaty_id % 10 > 0 THEN CAST(premium AS VARCHAR) END AS premium, CAST(0.6 AS DOUBLE) AS loss_ratio, CASE WHEN treaty_id % 4 = 0 THEN 0.3 END AS cession_rate, CASE WHEN treaty_id % 10 = 0 THEN limit_amount END AS aggregate_limit, CASE WHEN treaty_id % 4 = 0 THEN business_line END AS reinsurer FROM treaties",
+    "claims": "SELECT policy_id AS claim_id, treaty_id, CAST(units AS BIGINT) AS gross_claim_amount, CASE WHEN claim_number % 4 = 1 THEN recovery END AS reinsurance_recovery FROM claims",
+    "portfolio": "SELECT exposure_id AS portfolio_id, sum_insured AS total_sum_insured, CAST(risk_count AS DOUBLE) AS number_of_risks, CASE WHEN exposure_id % 10 < 7 THEN line END AS territory FROM exposures",
+    "catastrophe": "SELECT event_type, ts AS occurrence_date, CASE WHEN event_id % 10 < 3 THEN value END AS industry_loss, CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR) AS modeled_loss FROM events",
+    "development": "SELECT policy_id AS claim_id, loss_date AS valuation_date, CAST(claim_amount AS DECIMAL(18, 2)) AS incurred_amount, CASE WHEN policy_id % 10 < 8 THEN recovery END AS paid_amount FROM claims",
+}
+
+
+def _kind_files(spark, d):
+    t, c, x, e = cn.treaties(spark, d), cn.claims(spark, d), cn.exposures(spark, d), cn.table(spark, d, "events")
+    some = lambda test, value: F.when(F.expr(test), value)
+    return {
+        "treaty": t.select("treaty_id", some("treaty_id % 10 > 0", F.col("premium").cast("string")).alias("premium"), F.lit(0.6).alias("loss_ratio"), some("treaty_id % 4 = 0", F.lit(0.3)).alias("cession_rate"),
+                           some("treaty_id % 10 = 0", F.col("limit_amount")).alias("aggregate_limit"), some("treaty_id % 4 = 0", F.col("business_line")).alias("reinsurer")),
+        "claims": c.select(F.col("policy_id").alias("claim_id"), "treaty_id", F.col("units").cast("long").alias("gross_claim_amount"), some("claim_number % 4 = 1", F.col("recovery")).alias("reinsurance_recovery")),
+        "portfolio": x.select(F.col("exposure_id").alias("portfolio_id"), F.col("sum_insured").alias("total_sum_insured"), F.col("risk_count").cast("double").alias("number_of_risks"), some("exposure_id % 10 < 7", F.col("line")).alias("territory")),
+        "catastrophe": e.select("event_type", F.col("ts").alias("occurrence_date"), some("event_id % 10 < 3", F.col("value")).alias("industry_loss"), F.col("value").cast("decimal(18,2)").cast("string").alias("modeled_loss")),
+        "development": c.select(F.col("policy_id").alias("claim_id"), F.col("loss_date").alias("valuation_date"), F.col("claim_amount").cast("decimal(18,2)").alias("incurred_amount"), some("policy_id % 10 < 8", F.col("recovery")).alias("paid_amount")),
+    }
+
+
+# The type of each declared column as SQL sees it, and its place in the lattice.
+_family_sql = lambda t: f"CASE WHEN {t} IN ('BIGINT', 'INTEGER') THEN 'Int' WHEN {t} IN ('DOUBLE', 'FLOAT') THEN 'Float' WHEN {t} LIKE 'DECIMAL%' THEN 'Decimal' WHEN {t} = 'VARCHAR' THEN 'String' ELSE {t} END"
+
+
+def _findings_sql():
+    columns = {
+        "treaty": ["treaty_id", "premium", "loss_ratio", "cession_rate", "aggregate_limit", "reinsurer"], "claims": ["claim_id", "treaty_id", "gross_claim_amount", "reinsurance_recovery"],
+        "portfolio": ["portfolio_id", "total_sum_insured", "number_of_risks", "territory"], "catastrophe": ["event_type", "occurrence_date", "industry_loss", "modeled_loss"],
+        "development": ["claim_id", "valuation_date", "incurred_amount", "paid_amount"],
+    }
+    missing = " UNION ALL ".join(f"SELECT '{k}' AS file_kind, '{c}' AS column_name, '{'sparse' if c in sc.FILE_KINDS[k].sparse else 'usual'}' AS band, count(*) - count({c}) AS affected_rows, (count(*) - count({c})) / count(*) * 100 AS missing_pct FROM f_{k}" for k, cs in columns.items() for c in cs)
+    typed = " UNION ALL ".join(f"SELECT '{k}' AS file_kind, '{c}' AS column_name, '{t}' AS declared, {_family_sql(f'any_value(typeof({c}))')} AS actual FROM f_{k}" for k, cs in columns.items() for c, t in sc.FILE_KINDS[k].types.items() if c in cs)
+    absent = " UNION ALL ".join(f"SELECT '{k}', 'required', 'CRITICAL', '{c}', {repr(sc.FILE_KINDS[k].types[c]) if c in sc.FILE_KINDS[k].types else 'NULL'}, NULL, 0, NULL" for k, cs in columns.items() for c in sc.FILE_KINDS[k].required if c not in cs)
+    return f"""SELECT file_kind, 'missing' AS "check", CASE WHEN band = 'sparse' THEN 'WARNING' WHEN missing_pct > 50 THEN 'CRITICAL' ELSE 'WARNING' END AS level, column_name, NULL AS declared, NULL AS actual, affected_rows, missing_pct
+      FROM ({missing}) WHERE missing_pct > CASE band WHEN 'sparse' THEN 80 ELSE 20 END
+      UNION ALL SELECT file_kind, 'type', CASE WHEN actual IN ('Int', 'Float') AND declared IN ('Float', 'Decimal') THEN 'INFO' ELSE 'WARNING' END, column_name, declared, actual, 0, NULL FROM ({typed}) WHERE declared <> actual
+      UNION ALL {absent}"""
+
+
+@query("V5", duck("treaties claims exposures", _findings_sql(), **{f"f_{k}": q for k, q in _KIND_SQL.items()}), r6="missing_pct")
+def typed_schema_findings(spark, d):
+    """The five files are landed as Parquet and checked as they are read back."""
+    found = [sc.schema_findings(cut_lineage(df, f"landed-{kind}"), kind) for kind, df in _kind_files(spark, d).items()]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out

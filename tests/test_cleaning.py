@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 
+from ledgerloom.operators import schemas as sc
 from ledgerloom.operators.cleaning import clean_dataset
 
 LANDED = "row_idx long, policy_id long, gender string, face_amount string, premium string, issue_age int, current_age int, issue_date string, note string"
@@ -62,3 +63,36 @@ def test_fill_is_over_the_whole_order(spark):
     assert {r.issue_date for r in out.rows.collect()} == {dt.date(2001, 2, 3)}
     log = {(r.action, r.column_name): r.cells for r in out.actions.collect()}
     assert log["fill_forward", "issue_date"] == 39 and log["fill_mode", "gender"] == 0
+
+
+# --- declared schemas
+
+@pytest.mark.parametrize("actual,declared,level", [
+    ("Float", "Float", None), ("Int", "Float", "INFO"), ("Int", "Decimal", "INFO"), ("Float", "Int", "WARNING"), ("Decimal", "Float", "WARNING"), ("String", "Float", "WARNING"),
+    ("Date", "String", "WARNING"), ("Int", "String", "WARNING"), ("Boolean", "Int", "WARNING"), ("array<int>", "Float", "WARNING"),
+])
+def test_types_against_the_lattice(actual, declared, level):
+    assert sc.type_level(actual, declared) == level
+
+
+def test_lattice_has_no_cycle():
+    for t in sc.WIDER:
+        assert sc.steps_up(t, t) == 0 and sc.steps_up(t, "String") > 0 and sc.steps_up("String", t) is None
+
+
+def test_findings_of_a_treaty_file(spark):
+    rows = [(i, None if i < 21 else 5, "x", None if i < 81 else 1.0, None if i < 80 else 1.0, None if i < 51 else "y", None if i < 20 else "z") for i in range(100)]
+    df = spark.createDataFrame(rows, "treaty_id long, premium int, loss_ratio string, cession_rate double, aggregate_limit double, `a.b` string, note string")
+    got = {(r.check, r.column_name): (r.level, r.declared, r.actual, r.affected_rows, r.missing_pct) for r in sc.schema_findings(df, "treaty").collect()}
+    assert got == {
+        ("type", "premium"): ("INFO", "Float", "Int", 0, None), ("type", "loss_ratio"): ("WARNING", "Float", "String", 0, None),
+        ("missing", "premium"): ("WARNING", None, None, 21, 21.0), ("missing", "cession_rate"): ("WARNING", None, None, 81, 81.0), ("missing", "a.b"): ("CRITICAL", None, None, 51, 51.0),
+    }
+    # The same column is judged by the usual bands in a file of another kind.
+    other = {(r.check, r.column_name): r.level for r in sc.schema_findings(df, "claims").collect()}
+    assert other["missing", "aggregate_limit"] == "CRITICAL" and other["required", "gross_claim_amount"] == "CRITICAL"
+
+
+def test_findings_of_no_rows(spark):
+    df = spark.createDataFrame([], "event_id long, industry_loss date")
+    assert [(r.check, r.level, r.actual) for r in sc.schema_findings(df, "catastrophe").collect()] == [("type", "WARNING", "Date")]
