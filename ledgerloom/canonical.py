@@ -189,6 +189,18 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def labelled_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheets with known junk put in: after every seventh row a blank one, a total or a page footer (``labelled``)."""
+    rows, i = sheets(spark, sf_dir), F.col("row_idx")
+    before = F.floor((i + 3) / 7).cast("long")  # rows put in above this one
+    kind = F.floor(i / 7) % 3
+    junk = F.when(kind == 0, "").when(kind == 1, F.concat(F.lit("Total: "), i.cast("string"))).otherwise("End of report - page footer")
+    own = F.struct((i + before).alias("row_idx"), F.col("line"), F.col("cells"), F.lit(False).alias("labelled"))
+    put = F.struct((i + before + 1).alias("row_idx"), junk.alias("line"), F.split(junk, " ").alias("cells"), F.lit(True).alias("labelled"))
+    both = F.when(i % 7 == 3, F.array(own, put)).otherwise(F.array(own))
+    return rows.select("file_id", F.explode(both).alias("r")).select("file_id", "r.*")
+
+
 def messy_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policies as a careless source would send them: gaps, spellings, text dates, bad amounts and repeated keys."""
     o = table(spark, sf_dir, "orders")

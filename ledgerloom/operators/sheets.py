@@ -544,11 +544,11 @@ def fallback_junk(rows: DataFrame) -> DataFrame:
 
 
 def explain(scored: DataFrame) -> DataFrame:
-    """Reasons of each flagged row."""
+    """Reasons of each flagged row. Its scores of both layers stay beside them."""
     c = F.col
     why = F.array_compact(
         F.array(
-            F.when(c("outlier_score") > 0.8, "outlying_vector"),
+            F.when(c("outlier_score") > 0.8, "outlying_vector").when(c("outlier_score").isNull(), "no_cluster"),
             F.when(c("non_null") == 0, "no_cells").when(c("non_null") <= 2, "few_cells"),
             F.when(c("row_idx") < 3, "top_of_sheet")
             .when(c("row_idx") >= c("n_rows") - 3, "end_of_sheet"),
@@ -603,6 +603,36 @@ def threshold_sweep(rows: DataFrame, score: str, truth: str, low: float = 1.0, h
     return sweep(placed, flags, F.col(truth))
 
 
+def best_cuts(rows: DataFrame, by: list[str], score: str, truth: str) -> DataFrame:
+    """The cut of ``score`` with the highest F1 against ``truth``, per group: by, threshold, rows, tp, fp, fn, precision, recall, f1.
+
+    Rows at or above the threshold count as flagged. Every distinct score is tried, so the best is exact; of equal ones the
+    highest cut stays, which flags fewest. Counts per score run down the scores in one order over all groups that is cut into
+    ranges; a group's totals in earlier ranges are added, one row per range and group, so a group with a third of the rows
+    is shared by many tasks. NULL scores are never flagged; a group without true rows has f1 0 and its highest score as threshold.
+    """
+    points = rows.groupBy(*by, F.col(score).alias("threshold")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(truth)).alias("_p"))
+    order = [F.col(c) for c in by] + [F.desc_nulls_last("threshold")]
+    cut = cut_lineage(points.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "cuts")
+    pieces = cut.groupBy("_range", *by).agg(F.sum("_n").alias("_rn"), F.sum("_p").alias("_rp"))
+    whole, before = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    if not by:  # one row per range
+        whole, before = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.select(
+        "_range", *[F.col(c).alias(f"_by_{c}") for c in by], F.coalesce(F.sum("_rn").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_rp").over(before), F.lit(0)).alias("_p0"),
+        F.sum("_rn").over(whole).alias("rows"), F.sum("_rp").over(whole).alias("_true"),
+    ).withColumnRenamed("_range", "_at")
+    same = [cut["_range"] == F.col("_at")] + [cut[c].eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    upto = Window.partitionBy("_range", *by).orderBy(F.desc_nulls_last("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    counted = cut.withColumns({"_cn": F.sum("_n").over(upto), "_cp": F.sum("_p").over(upto)}).join(offsets, reduce(lambda a, b: a & b, same))
+    counted = counted.select(*by, "threshold", "rows", (F.col("_p0") + F.col("_cp")).alias("tp"), (F.col("_n0") + F.col("_cn")).alias("_flagged"), "_true").where("threshold is not null")
+    judged = quality(counted.withColumns({"fp": F.col("_flagged") - F.col("tp"), "fn": F.col("_true") - F.col("tp")}))
+    names = ["threshold", "rows", "tp", "fp", "fn", "precision", "recall", "f1"]
+    # F1 as a ratio of whole numbers, so equal cuts are equal.
+    rank = F.struct((2 * F.col("tp") / (F.col("_flagged") + F.col("_true"))).alias("f"), "threshold")
+    return judged.groupBy(*by).agg(F.max_by(F.struct(*names), rank).alias("b")).select(*by, "b.*")
+
+
 def feature_importance(rows: DataFrame, features: list[str], flag: str = "is_junk") -> DataFrame:
     """Gap between junk and clean means of each feature, normalised to sum to one."""
     junk = F.col(flag)

@@ -71,6 +71,10 @@ VIEWS["applicants"] = """SELECT *, CAST(60 + policy_id % 17 AS INT) AS height_in
   (['Life Only','10 Year Certain','Joint Life','Period Certain 20'])[policy_id % 4 + 1] AS payout_option, face_amount * 0.005::DOUBLE AS monthly_payment, face_amount * (0.82::DOUBLE + (policy_id % 5) * 0.04::DOUBLE) AS surrender_value,
   CAST(600 + policy_id % 200 AS INT) AS credit_score, 0.85::DOUBLE + (policy_id % 4) * 0.05::DOUBLE AS payment_history FROM policies"""
 
+VIEWS["labelled_sheets"] = """SELECT file_id, row_idx + (row_idx + 3) // 7 AS row_idx, line, cells, false AS labelled FROM landed_sheets
+  UNION ALL SELECT file_id, row_idx + (row_idx + 3) // 7 + 1, junk, string_split(junk, ' '), true FROM (
+    SELECT *, CASE row_idx // 7 % 3 WHEN 0 THEN '' WHEN 1 THEN 'Total: ' || row_idx ELSE 'End of report - page footer' END AS junk FROM landed_sheets WHERE row_idx % 7 = 3)"""
+
 NEEDS = {"applicants": ["policies"], "policies_state": ["policies"], "cedent_years": ["claims", "treaties"]}
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import canonical as cn
 from ..operators import sheets as sh
 from ..operators.portfolio import scalars
-from .duck import duck
+from .duck import VIEWS, duck
 from .registry import query
 
 
@@ -278,8 +278,8 @@ SEM = f"""SELECT *, CASE WHEN (row_idx < 3 OR row_idx >= n_rows - 3) AND semanti
   SELECT *, CASE WHEN non_null = 0 THEN 1 WHEN non_null = 1 THEN least(1, c0 + 0.3::DOUBLE) ELSE c0 END AS c1 FROM (
     SELECT *, coalesce(outlier_score > m + 1.5 * s, false) AS semantic_junk, greatest(0, least(1, (outlier_score - m) / (s + 1e-8))) AS c0 FROM (
       SELECT *, avg(outlier_score) OVER (PARTITION BY file_id) AS m, stddev_pop(outlier_score) OVER (PARTITION BY file_id) AS s FROM (
-        SELECT *, 1 - ({' + '.join(f'u[{i + 1}] * sum(u[{i + 1}]) OVER (PARTITION BY file_id)' for i in range(8))} - 1) / nullif(n_rows - 1, 0) AS outlier_score FROM (
-          SELECT *, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM (SELECT *, [{', '.join(f'({x})::DOUBLE' for x in _dims)}] AS v FROM comb))))))"""
+        SELECT *, 1 - ({' + '.join(f'u[{i + 1}] * sum(u[{i + 1}]) OVER (PARTITION BY file_id)' for i in range(8))} - 1) / nullif(count(u[1]) OVER (PARTITION BY file_id) - 1, 0) AS outlier_score FROM (
+          SELECT *, list_transform(v, lambda x: x / nullif(sqrt(list_sum(list_transform(v, lambda y: y * y))), 0)) AS u FROM (SELECT *, [{', '.join(f'({x})::DOUBLE' for x in _dims)}] AS v FROM comb))))))"""
 HYB = """SELECT *, semantic_junk OR is_junk_s OR hybrid_score > hybrid_threshold AS is_junk FROM (SELECT *, greatest(0.2::DOUBLE, least(0.6::DOUBLE, avg(hybrid_score) OVER (PARTITION BY file_id) + 0.8::DOUBLE * stddev_pop(hybrid_score) OVER (PARTITION BY file_id))) AS hybrid_threshold
   FROM (SELECT * EXCLUDE (is_junk, confidence), is_junk AS is_junk_s, coalesce(confidence, 0) AS confidence, coalesce(confidence, 0) * 0.4::DOUBLE + statistical_score * 0.4::DOUBLE AS hybrid_score FROM sem))"""
 ALL = dict(**FULL, comb=COMB, sem=SEM, hyb=HYB)
@@ -303,7 +303,7 @@ def fallback_junk_rows(spark, d):
 
 @query(
     "K14",
-    duck("sheets", """SELECT file_id, row_idx, array_to_string(list_filter([CASE WHEN outlier_score > 0.8 THEN 'outlying_vector' END,
+    duck("sheets", """SELECT file_id, row_idx, array_to_string(list_filter([CASE WHEN outlier_score > 0.8 THEN 'outlying_vector' WHEN outlier_score IS NULL THEN 'no_cluster' END,
       CASE WHEN non_null = 0 THEN 'no_cells' WHEN non_null <= 2 THEN 'few_cells' END,
       CASE WHEN row_idx < 3 THEN 'top_of_sheet' WHEN row_idx >= n_rows - 3 THEN 'end_of_sheet' END], lambda x: x IS NOT NULL), '; ') AS reasons
       FROM hyb WHERE is_junk""", **ALL),
@@ -371,6 +371,89 @@ def hybrid_weight_sweep(spark, d):
     return sh.sweep(rows, flags, truth)
 
 
+# --- against known labels ----------------------------------------------------------------------
+
+_LABELLED = dict(landed_sheets=VIEWS["sheets"], sheets=VIEWS["labelled_sheets"])
+_pr = "tp / (tp + fp)::DOUBLE AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END AS recall, 2 * tp / (2 * tp + fp + fn)::DOUBLE AS f1"
+
+
+def _cuts_sql(by: str, source: str) -> str:
+    over = f"PARTITION BY {by} " if by else ""
+    key = f"{by}, " if by else ""
+    return f"""SELECT {key}threshold, rows, tp, fp, fn, precision, recall, f1 FROM (SELECT *, row_number() OVER ({over}ORDER BY f1 DESC, threshold DESC) AS best FROM (SELECT *, {_pr} FROM (
+      SELECT {key}threshold, rows, CAST(cp AS BIGINT) AS tp, CAST(cn - cp AS BIGINT) AS fp, CAST(truth - cp AS BIGINT) AS fn FROM (
+        SELECT {key}threshold, CAST(sum(n) OVER ({over}) AS BIGINT) AS rows, sum(p) OVER ({over}) AS truth, sum(n) OVER ({over}ORDER BY threshold DESC) AS cn, sum(p) OVER ({over}ORDER BY threshold DESC) AS cp
+        FROM (SELECT {key}threshold, count(*) AS n, count(*) FILTER (labelled) AS p FROM ({source}) GROUP BY ALL))))) WHERE best = 1"""
+
+
+@query(
+    "K15 T5",
+    duck("", _cuts_sql("file_id", "SELECT file_id, round(content_score, 6) AS threshold, labelled FROM content"), **_LABELLED, **BASE),
+    r6="threshold precision recall f1",
+)
+def best_content_cuts(spark, d):
+    """For every labelled sheet the cut of the content score with the highest F1, out of all scores that occur in it."""
+    rows = sh.content_score(sh.with_sheet_stats(sh.content_features(cn.labelled_sheets(spark, d))))
+    return sh.best_cuts(rows.withColumn("content_score", F.round("content_score", 6)), ["file_id"], "content_score", "labelled")
+
+
+@query(
+    "K15 T5 J23",
+    duck("", f"""SELECT a AS semantic_weight, b AS statistical_weight, tp, fp, fn, precision, recall, f1 FROM (SELECT *, {_qual} FROM (
+      SELECT a, b, count(*) FILTER (p AND labelled) AS tp, count(*) FILTER (p AND NOT labelled) AS fp, count(*) FILTER (NOT p AND labelled) AS fn FROM (
+      SELECT a, b, labelled, round(a * confidence + b * statistical_score - greatest(0.2::DOUBLE, least(0.6::DOUBLE, a * mc + b * ms + 0.8::DOUBLE * sqrt(greatest(0, a * a * vc + b * b * vs + 2 * a * b * cv)))), 9) > 0 AS p
+      FROM (SELECT * FROM hyb JOIN (SELECT file_id, avg(confidence) AS mc, avg(statistical_score) AS ms, var_pop(confidence) AS vc, var_pop(statistical_score) AS vs, covar_pop(confidence, statistical_score) AS cv FROM hyb GROUP BY 1) USING (file_id)),
+      (VALUES {', '.join(f'({a}::DOUBLE, {b}::DOUBLE)' for a, b in _ws)}) w(a, b)) GROUP BY 1, 2)) ORDER BY round(f1, 9) DESC, a, b LIMIT 1""", **_LABELLED, **ALL),
+    r6="precision recall f1",
+)
+def best_hybrid_weights(spark, d):
+    """The weights of the two layers with the highest F1 over all labelled sheets; of equal ones the smallest."""
+    rows = sh.hybrid_scores(cn.labelled_sheets(spark, d)).select("file_id", "labelled", "confidence", "statistical_score")
+    m = rows.groupBy("file_id").agg(
+        F.avg("confidence").alias("mc"), F.avg("statistical_score").alias("ms"), F.var_pop("confidence").alias("vc"),
+        F.var_pop("statistical_score").alias("vs"), F.covar_pop("confidence", "statistical_score").alias("cv"),
+    )
+    rows, c = sh.attach(rows, m, "file_id"), F.col
+    flags = {}
+    for a, b in _ws:
+        sd = F.sqrt(F.greatest(F.lit(0.0), a * a * c("vc") + b * b * c("vs") + 2 * a * b * c("cv")))
+        flags[f"{a:.1f}/{b:.1f}"] = F.round(a * c("confidence") + b * c("statistical_score") - sh.clip(a * c("mc") + b * c("ms") + 0.8 * sd, 0.2, 0.6), 9) > 0
+    tried = sh.sweep(rows, flags, F.col("labelled"))
+    weight = lambda i: F.split_part("candidate", F.lit("/"), F.lit(i)).cast("double")
+    best = tried.withColumns({"semantic_weight": weight(1), "statistical_weight": weight(2)})
+    names = ["semantic_weight", "statistical_weight", "tp", "fp", "fn", "precision", "recall", "f1"]
+    return best.agg(F.max_by(F.struct(*names), F.struct(F.round("f1", 9).alias("f"), (-weight(1)).alias("a"), (-weight(2)).alias("b"))).alias("x")).select("x.*")
+
+
+@query(
+    "A31 J23 U5",
+    duck("", f"""SELECT layer, tp, fp, fn, {_qual} FROM (
+      SELECT layer, count(*) FILTER (p AND labelled) AS tp, count(*) FILTER (p AND NOT labelled) AS fp, count(*) FILTER (NOT p AND labelled) AS fn FROM (
+      SELECT labelled, unnest(['hybrid', 'rules', 'semantic', 'statistical']) AS layer, unnest([is_junk, {_truth}, semantic_junk, is_junk_s]) AS p FROM hyb) GROUP BY 1)""", **_LABELLED, **ALL),
+    r6="precision recall f1",
+)
+def labelled_junk_quality(spark, d):
+    """Precision, recall and F1 of each layer against the labels, from one scan of the scored rows."""
+    rows = sh.hybrid_scores(cn.labelled_sheets(spark, d), carry=("line",))
+    rules = (F.trim("line") == "") | sh.has_any(F.lower("line"), sh.FALLBACK_WORDS)
+    flags = {"hybrid": F.col("is_junk"), "rules": rules, "semantic": F.col("semantic_junk"), "statistical": F.col("statistical_junk")}
+    return sh.sweep(rows, flags, F.col("labelled")).withColumnRenamed("candidate", "layer")
+
+
+@query(
+    "K14",
+    duck("", """SELECT file_id, row_idx, labelled, array_to_string(list_filter([CASE WHEN outlier_score > 0.8 THEN 'outlying_vector' WHEN outlier_score IS NULL THEN 'no_cluster' END,
+      CASE WHEN non_null = 0 THEN 'no_cells' WHEN non_null <= 2 THEN 'few_cells' END,
+      CASE WHEN row_idx < 3 THEN 'top_of_sheet' WHEN row_idx >= n_rows - 3 THEN 'end_of_sheet' END], lambda x: x IS NOT NULL), '; ') AS reasons,
+      content_score, proximity_score, statistical_score, hybrid_score FROM hyb WHERE is_junk""", **_LABELLED, **ALL),
+    r6="content_score proximity_score statistical_score hybrid_score",
+)
+def scored_junk_explanations(spark, d):
+    """Why a row of a labelled sheet is flagged, with the scores of the layers."""
+    out = sh.explain(sh.hybrid_scores(cn.labelled_sheets(spark, d)))
+    return out.select("file_id", "row_idx", "labelled", F.array_join("reasons", "; ").alias("reasons"), "content_score", "proximity_score", "statistical_score", "hybrid_score")
+
+
 # --- row filters ---------------------------------------------------------------------------------
 
 _low = "lower(text)"
