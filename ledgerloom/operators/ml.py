@@ -203,6 +203,33 @@ def maturity_forecasts(wide: DataFrame, maturities: list[str], horizon: int = 5,
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def reverting_forecasts(s: DataFrame, horizon: int = 5, window: int = 10, share: float = 0.8) -> DataFrame:
+    """A forecaster for every series at once: series, kind, train_rows, test_rows, slope, rmse, mae, last_value_rmse, skill.
+
+    ``s`` is long (series, kind, date, value): rates of any number of maturities and equity levels, which are taken in logs so that
+    a change is a return. The change over ``horizon`` rows is regressed on the distance from the mean of the last ``window``
+    rows, over the first ``share`` of each series; the fit of all series is one grouped aggregate, so neither the driver nor a task
+    runs through series. Errors are those of the rest, against the last value as forecast; skill is 1 less their ratio. An equity
+    level that is not positive is a gap. Series that are too short to have a test row are left out.
+    """
+    from .series import by_date, chronological_split, rolling
+
+    level = F.when(F.col("kind") != "equity", F.col("value")).otherwise(F.when(F.col("value") > 0, F.ln(F.when(F.col("value") > 0, F.col("value")))))
+    base = s.withColumn("level", level).where("level is not null")
+    base = base.withColumns({"gap": F.col("level") - rolling(F.col("level"), window, F.avg), "move": F.lead("level", horizon).over(by_date()) - F.col("level")})
+    base = chronological_split(base.where("gap is not null and move is not null"), share)
+    fits = base.where("split = 'train'").groupBy("series").agg(
+        F.count(F.lit(1)).alias("train_rows"), F.coalesce(F.regr_slope("move", "gap"), F.lit(0.0)).alias("slope"),
+        F.coalesce(F.regr_intercept("move", "gap"), F.avg("move")).alias("start"),
+    )
+    error = F.col("start") + F.col("slope") * F.col("gap") - F.col("move")
+    return (
+        base.where("split = 'test'").join(fits, "series").groupBy("series", "kind", "train_rows", "slope").agg(
+            F.count(F.lit(1)).alias("test_rows"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(F.col("move") * F.col("move"))).alias("last_value_rmse"))
+        .withColumn("skill", 1 - F.try_divide("rmse", "last_value_rmse"))
+    )
+
+
 def portable_share(key: Column, seed: int = SEED) -> Column:
     """A number from 0 to 1 that md5 draws for a key, the same in any engine."""
     return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}"))), 1, 8), 16, 10).cast("double") / 4294967296.0

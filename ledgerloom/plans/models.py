@@ -103,6 +103,27 @@ def rate_forecast_errors(spark, d):
     return ml.maturity_forecasts(_curve_rows(spark, d), ["y2", "y5", "y10"])
 
 
+_level = "CASE WHEN kind = 'equity' THEN ln(value) ELSE value END"
+
+
+@query(
+    "M8",
+    duck("economy", f"""SELECT series, kind, train_rows, count(*) AS test_rows, slope, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae, sqrt(avg(move * move)) AS last_value_rmse, 1 - sqrt(avg(e * e)) / sqrt(avg(move * move)) AS skill FROM (
+      SELECT *, start + slope * gap - move AS e FROM split JOIN (SELECT series, count(*) AS train_rows, regr_slope(move, gap) AS slope, regr_intercept(move, gap) AS start FROM split WHERE r <= floor(n * 0.8) GROUP BY 1) USING (series) WHERE r > floor(n * 0.8))
+      GROUP BY ALL""",
+      long_series="SELECT series, CASE WHEN series IN ('view', 'purchase') THEN 'equity' ELSE 'rate' END AS kind, date, value FROM economy",
+      gaps=f"""SELECT *, {_level} - avg({_level}) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS gap, lead({_level}, 3) OVER (PARTITION BY series ORDER BY date) - {_level} AS move,
+        row_number() OVER (PARTITION BY series ORDER BY date) AS place FROM long_series""",
+      split="SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) AS r, count(*) OVER (PARTITION BY series) AS n FROM gaps WHERE place >= 5 AND move IS NOT NULL"),
+    r6="slope rmse mae last_value_rmse skill",
+)
+def rate_and_equity_forecasts(spark, d):
+    """Errors of the forecasts three days ahead for three rates and two equity series."""
+    kind = F.when(F.col("series").isin("view", "purchase"), "equity").otherwise("rate")
+    return ml.reverting_forecasts(cn.economy(spark, d).withColumn("kind", kind), horizon=3, window=5).select(
+        "series", "kind", "train_rows", "test_rows", "slope", "rmse", "mae", "last_value_rmse", "skill")
+
+
 _share = "CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|42'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
 
 

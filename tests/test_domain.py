@@ -207,3 +207,26 @@ def test_keyed_as_of_join_without_rows_or_states(spark):
     rows, states = spark.createDataFrame([("a", 1)], "k string, t int"), spark.createDataFrame([("a", 1, 2.0)], "k string, t int, v double")
     assert sr.as_of_join(rows, states.limit(0), ["k"], "t", ["v"]).collect()[0].v is None
     assert sr.as_of_join(rows.limit(0), states, ["k"], "t", ["v"]).count() == 0
+
+
+def test_forecasts_beat_the_last_value_and_find_the_pull(spark):
+    """Two hundred series that fall back to their mean: every slope is near minus one; a random walk has no skill to speak of."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    noise = {f"r{i}": rng.normal(3, 1, 120) for i in range(100)} | {f"e{i}": np.exp(rng.normal(0, 0.1, 120)) for i in range(100)}
+    series = noise | {"walk": np.cumsum(rng.normal(0, 1, 4000)) + 500, "short": np.ones(12), "flat": np.full(60, 2.0), "gone": -np.ones(80)}
+    rows = [(n, "equity" if n[0] in "eg" else "rate", i, float(v)) for n, xs in series.items() for i, v in enumerate(xs)]
+    df = spark.createDataFrame(rows, "series string, kind string, date int, value double")
+    got = {r.series: r for r in ml.reverting_forecasts(df).collect()}
+    assert np.mean([got[n].skill for n in noise]) > 0.2 and np.mean([got[n].slope for n in noise]) == pytest.approx(-1, abs=0.1)
+    assert sum(got[n].skill > 0 for n in noise) > 190
+    assert abs(got["walk"].skill) < 0.05 and got["flat"].rmse == 0 and got["flat"].skill is None
+    assert "short" not in got and "gone" not in got
+    x = noise["r7"]
+    gap, move = np.array([x[i] - x[i - 9:i + 1].mean() for i in range(9, 115)]), np.array([x[i + 5] - x[i] for i in range(9, 115)])
+    cut = int(len(gap) * 0.8)
+    b, a = np.polyfit(gap[:cut], move[:cut], 1)
+    e = a + b * gap[cut:] - move[cut:]
+    assert (got["r7"].slope, got["r7"].rmse, got["r7"].mae) == pytest.approx((b, np.sqrt((e**2).mean()), np.abs(e).mean()))
+    assert (got["r7"].train_rows, got["r7"].test_rows) == (cut, len(gap) - cut)
