@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..refdata import small_table
+from ..session import cut_lineage
 from .quality import text_of
 from .skew import attach, skew_join
 
@@ -307,6 +308,45 @@ def column_overlap(columns: DataFrame) -> DataFrame:
     )
 
 
+def column_classes(columns: DataFrame) -> DataFrame:
+    """Files (file_id, column_name) by their set of column names, letters folded: class_id (its smallest file), columns, size, files."""
+    sets = columns.groupBy("file_id").agg(F.array_sort(F.collect_set(F.lower("column_name"))).alias("columns"))
+    return sets.groupBy("columns").agg(F.min("file_id").alias("class_id"), F.count(F.lit(1)).alias("files")).withColumn("size", F.size("columns"))
+
+
+def class_members(columns: DataFrame) -> DataFrame:
+    """file_id, class_id: which class of ``column_classes`` each file is in."""
+    sets = columns.groupBy("file_id").agg(F.array_sort(F.collect_set(F.lower("column_name"))).alias("columns"))
+    return skew_join(sets, column_classes(columns).select("columns", "class_id"), "columns", "inner").select("file_id", "class_id")
+
+
+def overlap_by_class(columns: DataFrame, min_strength: float = 60.0) -> DataFrame:
+    """``column_overlap`` of a landing zone, between classes of files: class1, class2, file_pairs, common_columns, strength.
+
+    Files with one set of columns are one class, and a row of two classes stands for all pairs of their files; a class of
+    two files or more also meets itself. Only pairs of at least ``min_strength`` percent are returned. A pair that strong shares
+    one of the rarest columns of its smaller set, of which it may lack only so many, so classes meet there alone: a column
+    that all files have is among those only where a set has no other that could be lacking.
+    """
+    classes = cut_lineage(column_classes(columns).where("size > 0"), "column-classes")
+    cells = classes.select("class_id", "size", F.explode("columns").alias("column_name"))
+    seen = cells.groupBy("column_name").agg(F.count(F.lit(1)).alias("_n"))
+    ordered = skew_join(cells, seen, "column_name", "inner").groupBy("class_id", "size").agg(F.array_sort(F.collect_list(F.struct("_n", "column_name"))).alias("_by"))
+    rare = F.col("size") - F.ceil(F.col("size") * F.lit(min_strength) / 100).cast("int") + 1
+    probes = ordered.select(F.col("class_id").alias("class1"), F.col("size").alias("s1"), F.explode(F.slice("_by.column_name", F.lit(1), rare)).alias("column_name"))
+    index = cells.select(F.col("class_id").alias("class2"), F.col("size").alias("s2"), "column_name")
+    later = (F.col("s2") > F.col("s1")) | ((F.col("s2") == F.col("s1")) & (F.col("class2") > F.col("class1")))
+    met = cut_lineage(probes.join(index, "column_name").where(later).select("class1", "class2").distinct(), "column-pairs")
+    side = lambda i: classes.select(F.col("class_id").alias(f"class{i}"), F.col("columns").alias(f"c{i}"), F.col("files").alias(f"f{i}"), F.col("size").alias(f"n{i}"))
+    both = met.join(side(1), "class1").join(side(2), "class2").withColumn("common_columns", F.size(F.array_intersect("c1", "c2")))
+    pairs = both.select(
+        F.least("class1", "class2").alias("class1"), F.greatest("class1", "class2").alias("class2"), (F.col("f1") * F.col("f2")).alias("file_pairs"),
+        "common_columns", (F.col("common_columns") / F.least("n1", "n2") * 100).alias("strength")).where(F.col("strength") >= min_strength)
+    alike = classes.where("files > 1").select(
+        F.col("class_id").alias("class1"), F.col("class_id").alias("class2"), F.expr("files * (files - 1) div 2").alias("file_pairs"), F.col("size").alias("common_columns"), F.lit(100.0).alias("strength"))
+    return pairs.unionByName(alike)
+
+
 def common_values(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """Distinct values that two datasets share in one column."""
     return a.select(F.col(column).cast("string").alias(column)).intersect(b.select(F.col(column).cast("string").alias(column)))

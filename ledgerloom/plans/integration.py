@@ -271,6 +271,19 @@ def dataset_column_overlap(spark, d):
     return ig.column_overlap(sets)
 
 
+@query(
+    "J20",
+    duck("", """SELECT least(a.class_id, b.class_id) AS class1, greatest(a.class_id, b.class_id) AS class2, CASE WHEN a.class_id = b.class_id THEN a.files * (a.files - 1) // 2 ELSE a.files * b.files END AS file_pairs,
+      CAST(len(list_intersect(a.columns, b.columns)) AS INT) AS common_columns, len(list_intersect(a.columns, b.columns)) / least(len(a.columns), len(b.columns)) * 100 AS strength
+      FROM classes a JOIN classes b ON a.class_id <= b.class_id WHERE (a.class_id < b.class_id OR a.files > 1) AND len(list_intersect(a.columns, b.columns)) / least(len(a.columns), len(b.columns)) * 100 >= 60""",
+      lz=_lz, sets="SELECT file_id, list_sort(list(DISTINCT lower(column_name))) AS columns FROM lz GROUP BY 1", classes="SELECT columns, min(file_id) AS class_id, count(*) AS files FROM sets GROUP BY 1"),
+    r4="strength",
+)
+def landing_zone_overlap(spark, d):
+    """All files of the landing zone against each other, a row per two classes of files with one set of columns."""
+    return ig.overlap_by_class(_landing(spark, d))
+
+
 @query(
     "A44",
     duck("", f"SELECT coverage, quality, coverage * 0.6 + quality * 0.4 AS readiness FROM (SELECT avg(CAST(confidence > 0.3 AS INT)) AS coverage, avg(confidence) AS quality FROM ({_types}))", lz=_lz),

@@ -230,3 +230,39 @@ def test_forecasts_beat_the_last_value_and_find_the_pull(spark):
     e = a + b * gap[cut:] - move[cut:]
     assert (got["r7"].slope, got["r7"].rmse, got["r7"].mae) == pytest.approx((b, np.sqrt((e**2).mean()), np.abs(e).mean()))
     assert (got["r7"].train_rows, got["r7"].test_rows) == (cut, len(gap) - cut)
+
+
+@pytest.mark.parametrize("strength", [10.0, 50.0, 60.0, 75.0, 100.0])
+def test_overlap_by_class_equals_all_pairs_of_files(spark, strength):
+    import random
+    from collections import Counter
+
+    rng = random.Random(int(strength))
+    files = {f"f{i:03d}": {"Policy_ID" if rng.random() < 0.5 else "policy_id", *rng.sample("abcdefgh", rng.randint(0, 5))} for i in range(70)}
+    columns = spark.createDataFrame([(f, c) for f, cs in files.items() for c in cs] + [("f000", next(iter(files["f000"])))], "file_id string, column_name string")
+    folded = {f: frozenset(c.lower() for c in cs) for f, cs in files.items()}
+    label = {s: min(f for f, t in folded.items() if t == s) for s in folded.values()}
+    assert {r.file_id: r.class_id for r in ig.class_members(columns).collect()} == {f: label[s] for f, s in folded.items()}
+    want, share = Counter(), {}
+    for f, a in folded.items():
+        for g, b in folded.items():
+            if f < g and 100 * len(a & b) >= strength * min(len(a), len(b)):
+                k = tuple(sorted((label[a], label[b])))
+                want[k] += 1
+                share[k] = (len(a & b), len(a & b) / min(len(a), len(b)) * 100)
+    got = {(r.class1, r.class2): (r.file_pairs, r.common_columns, r.strength) for r in ig.overlap_by_class(columns, strength).collect()}
+    assert got == {k: (n, share[k][0], pytest.approx(share[k][1])) for k, n in want.items()}
+
+
+def test_a_common_column_does_not_square_the_files(spark):
+    """Two thousand files that share one column and nothing else make no candidate pairs."""
+    from ledgerloom.operators import integrate
+
+    rows = spark.range(2000).selectExpr("concat('f', id) AS file_id", "explode(array('policy_id', concat('a', id), concat('b', id), concat('c', id))) AS column_name")
+    pairs, keep = [], integrate.cut_lineage
+    try:
+        integrate.cut_lineage = lambda df, label="stage": pairs.append((label, out := keep(df, label))) or out
+        assert ig.overlap_by_class(rows).count() == 0
+    finally:
+        integrate.cut_lineage = keep
+    assert dict(pairs)["column-pairs"].count() == 0
