@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +46,26 @@ def range_sorted(df: DataFrame, order: list[Column], label: str) -> tuple[DataFr
     return rows, sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
 
 
+#: Bits of a key filter: 16 MB, however many keys there are.
+FILTER_BITS = 1 << 27
+
+
+def key_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """A bit for every key (a 64-bit hash) of ``column``. Words are made on the executors; at most ``FILTER_BITS`` / 64 of them come here."""
+    k = F.col(column)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
+    words = keys.groupBy(F.shiftright(k.bitwiseAND(FILTER_BITS - 1), 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False only for keys that the filter was not made of; more keys than it has bits for make it let others through as well."""
+    at = keys.astype(np.int64) & (FILTER_BITS - 1)
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
 def connected(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of ``edges`` (a, b): columns ``node``, ``component`` (its smallest node).
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import cut_lineage
 
-from .common import connected
+from .common import connected, key_filter, may_hold
 from .hashing import mix, shingles
 
 _U = np.uint64
@@ -179,7 +179,9 @@ def link(sets: list[np.ndarray], labels: list[int], rule: Rule, ask: list[int] |
     return comp
 
 
-def _deal(docs: DataFrame, rule: Rule) -> DataFrame:
+def _deal(docs: DataFrame, rule: Rule, among=None) -> DataFrame:
+    """The cells of every document; with ``among`` (a broadcast key filter) hardly any but those it was made of."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keys, nodes, seen = [], [], set()
@@ -187,7 +189,8 @@ def _deal(docs: DataFrame, rule: Rule) -> DataFrame:
                 own = shingles(text, rule.words)
                 if len(own) and (node := signature(own)) not in seen:
                     seen.add(node)
-                    keys.append(block_keys(own, rule).view(np.int64))
+                    mine = block_keys(own, rule).view(np.int64)
+                    keys.append(mine if among is None else mine[may_hold(among.value, mine)])
                     nodes.append(np.full(len(keys[-1]), node))
             if keys:
                 yield pd.DataFrame({"cell": np.concatenate(keys), "node": np.concatenate(nodes)})
@@ -195,6 +198,19 @@ def _deal(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.select("text").mapInPandas(run, "cell long, node long")
 
 
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, text and the columns of ``wanted`` (a row per doc_id). Few documents are wanted, so a key filter lets the others go before texts move."""
+    bits = docs.sparkSession.sparkContext.broadcast(key_filter(wanted.select(F.xxhash64("doc_id").alias("k")), "k"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.loc[may_hold(bits.value, pdf.pop("k").to_numpy(np.int64))]
+
+    kind = dict(docs.dtypes)["doc_id"]
+    found = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("k")).mapInPandas(run, f"doc_id {kind}, text string")
+    return found.join(wanted, "doc_id")
+
+
 def _company(rule: Rule):
     """Of rows sorted by cluster, those whose point another member's point comes close enough to. Only the last cluster of a batch is held over."""
 
@@ -287,7 +303,9 @@ def components(docs: DataFrame, rule: Rule = Rule(), keep: tuple[str, ...] = ())
     # Cells of two different documents or more, named after their smallest.
     met = _deal(docs, rule).groupBy("cell").agg(F.min("node").alias("cluster"), F.max("node").alias("_other")).where("cluster < _other").select("cell", "cluster")
     met = cut_lineage(met, "jaccard-cells")
-    dealt = cut_lineage(_deal(docs, rule).join(met, "cell").select("cluster", "node").distinct(), "jaccard-dealt")
+    # Most cells are met by one document alone: the second time round a key filter leaves them out, so that little but real meetings moves.
+    among = docs.sparkSession.sparkContext.broadcast(key_filter(met, "cell"))
+    dealt = cut_lineage(_deal(docs, rule, among).join(met, "cell").select("cluster", "node").distinct(), "jaccard-dealt")
 
     # The points of the documents that meet others, and one doc_id to read each of their texts by.
     holder = rows.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("point").alias("point"))
@@ -303,16 +321,18 @@ def components(docs: DataFrame, rule: Rule = Rule(), keep: tuple[str, ...] = ())
     one = F.lit(1).cast("long")
     kept = cut_lineage(close.withColumns({"members": one, "parts": one}).unionByName(placed.where("parts > 1").select("cluster", "node", "members", "parts")), "jaccard-kept")
 
-    # Texts of those that are left.
-    wanted = active.join(kept.select("node").distinct(), "node", "left_semi").select("node", "doc_id")
-    texts = cut_lineage(docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text").dropDuplicates(), "jaccard-texts")
-    chosen = (F.col("parts") > 1) & (F.pmod(F.xxhash64("node", F.lit(3)), F.greatest(one, F.floor(F.col("members") / PIVOTS))) == 0)
-    everywhere = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     # A document of a group of near copies is in a few clusters. It is joined in the first one only;
     # where that leaves another cluster in pieces, the cluster is looked at again.
     home = kept.join(kept.groupBy("node").agg(F.min("cluster").alias("cluster")), ["node", "cluster"], "left_semi")
-    spread = home.withColumn("part", F.explode(F.when(chosen, everywhere).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts"))))))
-    local = spread.select("cluster", "part", "node").join(texts, "node").withColumns({"label": F.col("node"), "ask": F.lit(True)})
+    wanted = cut_lineage(active.select("node", "doc_id").join(home, "node"), "jaccard-wanted")
+    # Texts of those that are left. Rows of one doc_id are in one task already, so equal ones go without another shuffle.
+    read = _texts_of(docs, wanted).dropDuplicates(["doc_id", "node", "text"])
+    texts = cut_lineage(read.select("node", "text", "cluster", "members", "parts"), "jaccard-texts")
+    chosen = (F.col("parts") > 1) & (F.pmod(F.xxhash64("node", F.lit(3)), F.greatest(one, F.floor(F.col("members") / PIVOTS))) == 0)
+    everywhere = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    spread = texts.withColumn("part", F.explode(F.when(chosen, everywhere).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts"))))))
+    local = spread.select("cluster", "part", "node", "text", F.col("node").alias("label"), F.lit(True).alias("ask"))
+    texts = texts.select("node", "text")
     edges = cut_lineage(local.groupBy("cluster", "part").applyInPandas(_joiner(rule), "a long, b long").distinct(), "jaccard-edges")
     labels = connected(edges, "jaccard-components")
 
