@@ -29,6 +29,8 @@ from .hashing import mix, shingles
 _U = np.uint64
 #: Coordinates of the dealing vector in a block, coordinates of the R-tree's points, children of a node.
 GROUPS, DIMS, FANOUT = 1 << 16, 64, 16
+#: Coordinates of the points that pairs out of the R-tree are bounded by once more.
+FINE = 1024
 #: Documents, and their shingles, that one task joins at once; documents that every task of a larger group gets.
 MEMBERS, SHINGLES, PIVOTS = 256, 500_000, 8
 #: Ratio of the bounds of a size band.
@@ -56,7 +58,11 @@ class Rule:
         return n * self.den // self.num
 
     def links(self, a: np.ndarray, b: np.ndarray) -> bool:
-        both = len(np.intersect1d(a, b, assume_unique=True))
+        """``a`` and ``b`` are sorted and distinct."""
+        if len(a) > len(b):
+            a, b = b, a
+        at = np.searchsorted(b, a)
+        both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
         return self.den * both >= self.num * (len(a) + len(b) - both)
 
     def bands(self, n: int) -> list[tuple[int, int]]:
@@ -76,9 +82,9 @@ def signature(own: np.ndarray) -> int:
     return int(mix(np.array([total], _U)).view(np.int64)[0])
 
 
-def point(own: np.ndarray) -> np.ndarray:
+def point(own: np.ndarray, dims: int = DIMS) -> np.ndarray:
     """Group counts of a set: its point in the R-tree."""
-    return np.bincount((own >> _U(40)).astype(np.int64) % DIMS, minlength=DIMS).astype(np.uint32)
+    return np.bincount((own >> _U(40)).astype(np.int64) % dims, minlength=dims).astype(np.uint32)
 
 
 # A plain dictionary: a cached function could not travel to the executors by value.
@@ -166,9 +172,16 @@ def link(sets: list[np.ndarray], labels: list[int], rule: Rule, ask: list[int] |
     sizes = np.array([len(s) for s in sets], np.int64)
     points = np.stack([point(s) for s in sets])
     tree = RTree(points, sizes)
+    fine = np.stack([point(s, FINE) for s in sets])
     for i in range(len(sets)) if ask is None else ask:
-        near, bound = tree.search(points[i], int(sizes[i]), rule)
-        near = near[np.argsort(-bound, kind="stable")]
+        near, _ = tree.search(points[i], int(sizes[i]), rule)
+        near = near[comp[near] != comp[i]]
+        if not len(near):
+            continue
+        # The same bound on finer groups, where sets of unlike texts hardly meet.
+        bound = np.minimum(fine[near], fine[i]).sum(axis=1)
+        fits = bound >= rule.least_shared(int(sizes[i]) + sizes[near])
+        near = near[fits][np.argsort(-bound[fits], kind="stable")]
         while True:
             near = near[comp[near] != comp[i]]
             if not len(near):
