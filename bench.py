@@ -50,9 +50,10 @@ def main() -> None:
                 break
         times[name] = round(statistics.median(got), 4)
     lines = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("sum(size(split(text, '\n'))) AS n").first().n
+    f1 = jobs["labelled_junk_quality"](spark, folder).where("layer = 'statistical'").first()["f1"]
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": Path(folder).name.removeprefix("sf"),
-        "junk_rows_per_second": round(lines / times["sheet_junk_rows"]), "shuffle_partitions": int(cpus), "cpus": int(cpus),
+        "junk_rows_per_second": round(lines / times["sheet_junk_rows"]), "junk_f1": round(f1, 4), "shuffle_partitions": int(cpus), "cpus": int(cpus),
     }))
     spark.stop()
 
