@@ -190,7 +190,7 @@ def stream_daily_counts(spark, d):
 
 @query(
     "ST4 ST8",
-    duck("event_log", f"""SELECT strftime(e, '%Y-%m-%d %H:%M:%S') AS window_end, count(*) AS sessions, avg(value) AS average_value, avg(k) AS average_risk, greatest(0, 100 - 2 * (epoch(e) - floor(epoch(max(ts)))) / 3600) AS freshness FROM (
+    duck("event_log", f"""SELECT strftime(e, '%Y-%m-%d %H:%M:%S') AS window_end, count(*) AS sessions, CAST(sum(CAST(value AS DECIMAL(28,9))) AS DOUBLE) / count(value) AS average_value, avg(k) AS average_risk, greatest(0, 100 - 2 * (epoch(e) - floor(epoch(max(ts)))) / 3600) AS freshness FROM (
       SELECT *, unnest(range(time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 25 HOUR, INTERVAL 1 HOUR)) AS e FROM event_log) WHERE e <= {_wm} GROUP BY e"""),
     r6="average_value average_risk freshness",
 )

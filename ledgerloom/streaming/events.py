@@ -49,15 +49,16 @@ def rolling_sessions(events: DataFrame) -> DataFrame:
     """Statistics of the last 24 hours, every hour.
 
     Hours are summed first, so an event is one update of one state row; the 24 windows that an hour is in
-    then take the hour's sums. Both steps keep state until the watermark passes a window's end.
+    then take the hour's sums. Both steps keep state until the watermark passes a window's end. Values are summed
+    as decimals of nine places, so a mean does not depend on the order of events.
     """
-    sums = {"value": F.sum("value"), "values": F.count("value"), "k": F.sum("k"), "ks": F.count("k")}
+    sums = {"value": F.sum(F.col("value").cast("decimal(28,9)")), "values": F.count("value"), "k": F.sum("k"), "ks": F.count("k")}
     hours = events.withWatermark("ts", DELAY).groupBy(F.window("ts", "1 hour").alias("hour")).agg(
         F.count(F.lit(1)).alias("events"), F.max("ts").alias("newest"), *[c.alias(n) for n, c in sums.items()]
     )
     w = F.window(F.window_time("hour"), "24 hours", "1 hour")
     return hours.groupBy(w).agg(
-        F.sum("events").alias("sessions"), (F.sum("value") / F.sum("values")).alias("average_value"), (F.sum("k") / F.sum("ks")).alias("average_risk"),
+        F.sum("events").alias("sessions"), (F.sum("value").cast("double") / F.sum("values")).alias("average_value"), (F.sum("k") / F.sum("ks")).alias("average_risk"),
         F.max("newest").alias("latest"),
     ).select(F.col("window.end").alias("window_end"), "sessions", "average_value", "average_risk", "latest")
 
