@@ -121,6 +121,42 @@ def test_markup():
     assert pages.main_text("</p></div>x<nav>never closed", []) == "x"
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<div class='layout has-sidebar'><article>Body</article></div>", "Body"),
+    ("<div class='page sidebar-right'><p>top<article>Body</article></div>", "Body"),
+    ("<form id=f><article>Body</article></form>", "Body"),
+    ("<article><p class=notice>Note<p>Body one<p>Body two</article>", "Body one Body two"),
+    ("<ul><li class=menu-item>A<li class=menu-item>B</ul><article>Body</article>", "Body"),
+    ("<ul><li class=menu>A<li>B</ul>", "B"),
+    ("<head><title>t</title><body><article>Body</article>", "Body"),
+    ("<article><div class=article-header><h1>Title</h1></div>x</article>", "Title x"),
+    ("<table><tr><td class=ad>x<td>Body</table>", "Body"),
+    ("<article><p>a <span class=ad>buy</p><p>b</article>", "a b"),
+    ("<article>Real</article><div class=related><article>teaser longer than it</article></div>", "Real"),
+    ("<main>Text<div class=comments><article>c1 c2 c3 c4</article></div></main>", "Text"),
+    ("<nav><a href=x>n</a><article>teaser</article></nav><p>Body", "Body"),
+    ("<article>a<table><tr><td>b</div>c</td></tr></table>d</article>e", "a b c d"),
+    ("a<svg/>b<svg><text>t</text></svg>c<p>x<select><option>1</select>y", "abc xy"),
+    ("<b>one<p>two</b>three<div class=ads>four</div>five", "one twothree five"),
+    ("<div class=related><article>only this</article></div>", "only this"),
+])
+def test_open_elements(page, text):
+    assert pages.main_text(page, []) == text
+
+
+def test_shared_lines_inside_articles(spark):
+    def page(i):
+        return f"<div>Shop</div><article><p>Subscribe now for our letter</p><p>{prose(random.Random(i), 60)}</p></article>"
+
+    rows = [(i, f"http://h.example/{i:02}", page(i)) for i in range(12)] + [(i, f"http://copy.example/{i}", page(0).replace("Shop", f"Shop {i}")) for i in (20, 21)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = {r.page_id: r.text for r in pages.extract(frame).collect()}
+    cut = {r.page_id: r.text for r in pages.extract(frame, article=0.25).collect()}
+    assert all(whole[i] == "Subscribe now for our letter " + " ".join(prose(random.Random(0 if i >= 20 else i), 60).split()) for i in whole)
+    assert all(cut[i] == whole[i].removeprefix("Subscribe now for our letter ") for i in range(12))
+    assert cut[20] == whole[20] and cut[21] == whole[21]  # articles that repeat stay whole
+
+
 def test_shared_lines_go(spark):
     def page(i, body):
         return f"<body><div>Our shop</div><p>{body}</p><div>All rights kept</div><div>Call us</div></body>"
