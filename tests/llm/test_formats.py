@@ -232,6 +232,22 @@ def test_short_items_inside_longer_documents(spark):
     assert all(r.a == r.b for r in sizes)
 
 
+def test_copies_in_another_case_or_with_words_added(spark):
+    german = "Wenn ein Zug von Köln nach Bonn in 3 Stunden 120 km fährt und der Bus von Köln nach Bonn in 5 Stunden 90 km fährt, wie schnell ist der Zug im Mittel"
+    items = spark.createDataFrame([*ITEMS, (7, german), (8, german.replace("Köln", "Trier"))], "item_id long, text string")
+    train = ITEMS[0][1]
+    docs = [
+        (1, german.lower(), 7), (2, german.upper(), 7), (3, train.lower(), 1), (4, train.upper(), 1), (5, train.title(), 1), (6, german.replace("Köln", "Trier").lower(), 7),
+        (7, ITEMS[5][1].title(), 6), (8, german.replace(" fährt", " dann fährt").replace("Bus von", "alte rote Bus von"), 7),
+        (9, train.replace("Paris", "New York"), 1), (10, train.replace("travels", "then travels").replace("what", "so what"), 1), (11, train.lower().replace("paris", "rome"), 1),
+        (12, "x " * 9 + " ".join(train.split()[:9]) + " y" * 60 + " ".join(train.split()[9:18]), None), (13, "NUMBERS 1 2 3 4 5 6 7 8 9 10 11 12 " * 20, None),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, items).collect()}
+    assert got == {(i, k) for i, _, k in docs if k}
+    assert decontaminate.item_classes(items).where("not named and item_id = 7").first()["items"] == 2
+
+
 def test_beyond_the_broadcast_bound(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     want = sorted(decontaminate.leaks(docs, items).collect())
