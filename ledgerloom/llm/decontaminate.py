@@ -33,6 +33,8 @@ UNITS = (
 # Java regular expressions. A name is a capitalised word (not one in capitals) inside a sentence, after a lower-case letter or a comma and one space.
 # Scripts without spaces between words: each character is a token.
 _SINGLE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+# Code points among which all characters of these scripts are (other scripts' as well): a text without any is read without asking for the script of each character.
+_MAYBE = r"[\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{19FF}\x{2E80}-\x{9FFF}\x{A9E0}-\x{AA7F}\x{F900}-\x{FAFF}\x{FE30}-\x{FFEF}\x{10000}-\x{10FFFF}]"
 _LETTER = rf"[\p{{L}}\p{{M}}&&[^{_SINGLE}]]"
 _CHARACTER = rf"[\p{{L}}\p{{M}}&&[{_SINGLE}]]"
 _NUMBER = r"\p{Nd}+(?:[.,]\p{Nd}+)*"
@@ -59,8 +61,7 @@ def marked(text: Column) -> Column:
         slots = F.regexp_replace(F.regexp_replace(_plain(text), name, NAME + "$0"), _NUMBER, NUMBER)
         return F.regexp_extract_all(F.lower(F.regexp_replace(slots, unit, "$1" + UNIT)), F.lit(rf"{NAME}?{letter}+{others}|[{NUMBER}{UNIT}]"), F.lit(0))
 
-    # most texts have no character that is a token of its own, and read faster without asking for each letter
-    return F.when(text.rlike(f"[{_SINGLE}]"), tokens(_LETTER, "|" + _CHARACTER)).otherwise(tokens(r"[\p{L}\p{M}]", ""))
+    return F.when(text.rlike(_MAYBE), tokens(_LETTER, "|" + _CHARACTER)).otherwise(tokens(r"[\p{L}\p{M}]", ""))
 
 
 def _form(tokens: Column, named: bool) -> Column:
@@ -82,7 +83,7 @@ def forms(tokens: Column) -> Column:
 def values(text: Column) -> Column:
     """The tokens of a text as they stand, lower-cased."""
     lower = F.lower(_plain(text))
-    return F.when(text.rlike(f"[{_SINGLE}]"), F.regexp_extract_all(lower, F.lit(_RAW), F.lit(0))).otherwise(
+    return F.when(text.rlike(_MAYBE), F.regexp_extract_all(lower, F.lit(_RAW), F.lit(0))).otherwise(
         F.regexp_extract_all(lower, F.lit(rf"[\p{{L}}\p{{M}}]+|{_NUMBER}"), F.lit(0)))
 
 
@@ -91,21 +92,23 @@ def _paired(hashes: Column, apart: int) -> Column:
     return _bind(hashes, lambda h: F.zip_with(F.slice(h, F.lit(1), F.size(h) - apart), F.slice(h, F.lit(1 + apart), F.size(h) - apart), lambda a, b: F.xxhash64(a, b)))
 
 
+def _rolled(hashes: Column, window: int) -> Column:
+    """Hash of each window of token hashes."""
+    width = 1
+    while width * 2 <= window:
+        hashes, width = _paired(hashes, width), width * 2
+    return _paired(hashes, window - width) if width < window else hashes
+
+
 def window_hashes(tokens: Column, window: int = WINDOW) -> Column:
     """Hash of each window; a shorter text is one window that only another whole text can equal.
 
     Tokens are hashed once, then pairs, pairs of pairs and so on; two overlapping powers of two cover any other length.
     """
 
-    def rolled(t: Column) -> Column:
-        h, width = F.transform(t, lambda x: F.xxhash64(x)), 1
-        while width * 2 <= window:
-            h, width = _paired(h, width), width * 2
-        return _paired(h, window - width) if width < window else h
-
     def of(t: Column) -> Column:
         n = F.size(t)
-        return F.when(n >= window, rolled(t)).when(n > 0, F.array(F.xxhash64(t, F.lit("whole")))).otherwise(F.array().cast("array<long>"))
+        return F.when(n >= window, _rolled(F.transform(t, lambda x: F.xxhash64(x)), window)).when(n > 0, F.array(F.xxhash64(t, F.lit("whole")))).otherwise(F.array().cast("array<long>"))
 
     return _bind(tokens, of)
 
@@ -183,8 +186,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
             return F.transform(document_windows(t, window, lengths), lambda w: w["hash"])
         return window_hashes(t, window)
 
-    # a window without a name has one hash in both forms
-    both = _bind(marked(F.col("text")), lambda t: F.array_union(all_hashes(_form(t, False)), all_hashes(_form(t, True))))
+    # without a name both forms are one
+    def of_both(t: Column) -> Column:
+        named = F.exists(t, lambda x: x.startswith(NAME))
+        return F.when(named, F.concat(all_hashes(_form(t, False)), all_hashes(_form(t, True)))).otherwise(all_hashes(t))
+
+    both = _bind(marked(F.col("text")), of_both)
     seen = texts.select("doc_id", _key().alias("text_key"), F.explode(both).alias("hash"))
     suspects = cut_lineage(seen.join(known, "hash", "left_semi").select("doc_id", "text_key").distinct(), "leak-suspects")
 
