@@ -56,12 +56,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 or more of their 5-word shingles, the one with the smallest doc_id stays.
 
-    Rows with one doc_id are one document and one of them stays. A row without an id goes if a row with an id has its shingles.
+    Rows with one doc_id are one document: of those with one text a single row stays, picked by a hash of all columns. A row without an id goes if a row with an id has its shingles.
     """
     keyed = docs.withColumn("row_key", F.xxhash64("text"))
     found = jaccard.components(keyed, jaccard.Rule(words=5, num=80, den=100), keep=("row_key",))
     first = cut_lineage(found.where("doc_id = component_id").select("doc_id").distinct(), "pipeline-first")
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    everything = [F.col(c) for c in docs.columns]
+    one = F.min_by(F.struct(*everything), F.xxhash64(*everything)).alias("row")
+    kept = keyed.join(first, "doc_id", "left_semi").groupBy("doc_id", "row_key").agg(one).select("row.*")
     nameless = keyed.where("doc_id is null")
     if nameless.limit(1).count():
         alone = found.where("doc_id is null and component_id is null").select("row_key").distinct()
@@ -71,11 +73,14 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @tidy
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 50 bytes that also start in an earlier document are cut out; a document of which nothing is left goes."""
+    """Strings of 50 bytes that also start in an earlier document are cut out; a document of which nothing is left goes. A null text stays null."""
     keep = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = repeats.remove_repeats(docs, need=50, keep=keep).where("n_removed = 0 or n_removed < n_bytes")
-    text = F.when((F.col("n_bytes") > 0), F.col("kept_text")).otherwise(F.lit(""))
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(docs.columns)
+    flag = "no_text"
+    while flag in docs.columns:
+        flag += "_"
+    out = repeats.remove_repeats(docs.withColumn(flag, F.col("text").isNull()), need=50, keep=(*keep, flag)).where("n_removed = 0 or n_removed < n_bytes")
+    n_chars = F.when(F.col(flag), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.withColumn("text", F.when(~F.col(flag), F.col("kept_text"))).withColumn("n_chars", n_chars).select(docs.columns)
 
 
 @tidy
