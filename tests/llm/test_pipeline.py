@@ -53,6 +53,10 @@ def test_edge_rows_pass_through(spark):
     ids = {name: sorted((r.doc_id for r in stage(spark, docs, SF).collect()), key=str) for name, stage in pipe.STAGES[1:4]}
     assert ids["ngram_jaccard"] == [1, 5, 6, None]
     assert len(ids["decontamination"]) == len(rows)
+    after = {r.doc_id: r for r in pipe.suffix_dedup(spark, docs, SF).collect()}
+    assert after[5].text is None and after[5].n_chars is None and (after[6].text, after[6].n_chars) == ("", 0)
+    two = docs.union(spark.createDataFrame([(6, "a second text of the same document", "en", "a", 34)], docs.schema))
+    assert sorted(r.text for r in pipe.ngram_jaccard(spark, two, SF).collect() if r.doc_id == 6) == ["", "a second text of the same document"]
     for _, stage in pipe.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
 
