@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,15 +49,26 @@ def range_sorted(df: DataFrame, order: list[Column], label: str) -> tuple[DataFr
 
 #: Bits of a key filter: 16 MB, however many keys there are.
 FILTER_BITS = 1 << 27
+#: Words of 64 bits in a piece of a key filter; the driver takes in the pieces of one partition at a time.
+PIECE_WORDS = 1 << 12
 
 
 def key_filter(keys: DataFrame, column: str) -> np.ndarray:
-    """A bit for every key (a 64-bit hash) of ``column``. Words are made on the executors; at most ``FILTER_BITS`` / 64 of them come here."""
+    """A bit for every key (a 64-bit hash) of ``column``. Pieces of it are made on the executors; all that come here are ``FILTER_BITS`` bits."""
     k = F.col(column)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
-    words = keys.groupBy(F.shiftright(k.bitwiseAND(FILTER_BITS - 1), 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    words = keys.groupBy(F.shiftright(k.bitwiseAND(FILTER_BITS - 1), 6).alias("at")).agg(F.bit_or(bit).alias("bits"))
+
+    def piece(rows: pd.DataFrame) -> pd.DataFrame:
+        at = rows["at"].to_numpy(np.int64)
+        part = np.zeros(PIECE_WORDS, np.int64)
+        part[at % PIECE_WORDS] = rows["bits"].to_numpy(np.int64)
+        return pd.DataFrame({"first": [at[0] - at[0] % PIECE_WORDS], "part": [part.tobytes()]})
+
+    pieces = words.groupBy((F.col("at") / PIECE_WORDS).cast("long").alias("_piece")).applyInPandas(piece, "first long, part binary")
     out = np.zeros(FILTER_BITS // 64, np.uint64)
-    out[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    for row in pieces.toLocalIterator():
+        out[row["first"] : row["first"] + PIECE_WORDS] = np.frombuffer(row["part"], np.uint64)
     return out
 
 

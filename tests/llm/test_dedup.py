@@ -159,3 +159,21 @@ def test_a_passage_in_many_documents_fills_no_shard(spark, monkeypatch):
     got = rp.remove_repeats(frame(spark, rows), need=50).collect()
     want = as_bag((i, n, gone, spans, hashlib.sha256(kept).hexdigest()) for i, n, gone, spans, kept in repeats(rows, 50))
     assert as_bag((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+
+
+def test_key_filter_holds_every_key(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from ledgerloom.llm import common
+
+    keys = spark.range(50_000).select(F.xxhash64("id").alias("k"))
+    bits = common.key_filter(keys.union(keys.limit(1000)), "k")
+    own = np.array([r.k for r in keys.collect()])
+    want = np.zeros(common.FILTER_BITS // 64, np.uint64)
+    at = own & (common.FILTER_BITS - 1)
+    np.bitwise_or.at(want, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    assert (bits == want).all() and common.may_hold(bits, own).all()
+    others = np.array([r.k for r in spark.range(1_000_000, 1_010_000).select(F.xxhash64("id").alias("k")).collect()])
+    assert common.may_hold(bits, others).mean() < 0.01
+    assert not common.key_filter(keys.limit(0), "k").any()
