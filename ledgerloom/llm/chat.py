@@ -4,64 +4,130 @@ Grammar of a rendered conversation::
 
     conversation := "<s>" turn* "</s>"
     turn         := "[INST:" role mark "]" body "[/INST]" newline
-    mark         := "" (body as it is) | "!" (control strings in the body are escaped)
+    mark         := "" (level 0: the body as it is) | "!" (level 1: control strings escaped) | "!!" (level 2: every bracket escaped)
 
-``role`` is URL-encoded. In an escaped body every control string has one more backslash
-after its first character than in the text, so ``[/INST]`` reads ``[\\/INST]`` and
-``[\\/INST]`` reads ``[\\\\/INST]``: taking one away is always exact. The parser is one regular
-expression whose first closing tag ends a turn.
+``role`` is URL-encoded. On level 1 every control string has one more backslash after its first character than in
+the text, so ``[/INST]`` reads ``[\\/INST]`` and ``[\\/INST]`` reads ``[\\\\/INST]``. On level 2 every ``[`` and ``<`` is followed by
+a backslash that the text doesn't have. The parser takes a conversation as a whole or not at all: closing tags cut it
+into turns, nothing may stand before, between or after them, a body of level 0 holds no control string and one of another level none
+without a backslash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+OPEN, CLOSE, END = "<s>", "[/INST]\n", "</s>"
 # Java regular expressions of the template. CONTROL finds a control string with any number of backslashes after its first character.
 CONTROL = r"([\[<])(\\*)(/?INST(?::[^\]\n]*)?\]|/?s>)"
 ESCAPED = r"([\[<])\\(\\*)(/?INST(?::[^\]\n]*)?\]|/?s>)"
-TURN = r"(?s)\[INST:([^\]!\n]*)(!?)\](.*?)\[/INST\]\n"
+BARE = r"[\[<](?:/?INST(?::[^\]\n]*)?\]|/?s>)"
+HEAD = r"\A\[INST:([^\]!\n]*)(!{0,2})\]"
+SPANS = "array<struct<start:int,end:int,level:int>>"
+
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-def escape(text: Column) -> Column:
-    return F.regexp_replace(text, CONTROL, r"$1$2\\$3")
 
+def escape(text: Column, level: Column) -> Column:
+    return F.when(level == 2, F.regexp_replace(text, r"[\[<]", r"$0\\")).when(level == 1, F.regexp_replace(text, CONTROL, r"$1$2\\$3")).otherwise(text)
 
-def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, ESCAPED, r"$1$2$3")
+
+def unescape(body: Column, level: Column) -> Column:
+    return F.when(level == 2, F.regexp_replace(body, r"([\[<])\\", "$1")).when(level == 1, F.regexp_replace(body, ESCAPED, "$1$2$3")).otherwise(body)
 
 
 def encode_role(role: Column) -> Column:
     return F.url_encode(role)
 
 
-def render_turn(turn: Column, escaped: Column) -> Column:
-    body = F.when(escaped, escape(turn["text"])).otherwise(turn["text"])
-    return F.concat(F.lit("[INST:"), encode_role(turn["role"]), F.when(escaped, F.lit("!")).otherwise(F.lit("")), F.lit("]"), body, F.lit("[/INST]\n"))
+def render_turn(turn: Column, level: Column) -> Column:
+    return F.concat(F.lit("[INST:"), encode_role(turn["role"]), F.repeat(F.lit("!"), level), F.lit("]"), escape(turn["text"], level), F.lit(CLOSE))
+
+
+def render(turns: Column, levels: Column) -> Column:
+    """The whole conversation; ``levels`` has the level of each turn's body."""
+    return F.concat(F.lit(OPEN), F.array_join(F.zip_with(turns, levels, render_turn), ""), F.lit(END))
+
+
+def _pieces(rendered: Column) -> Column:
+    """What closing tags cut a rendered conversation into; the last piece is what follows the last tag, empty where the text is sound."""
+    inner = F.substr(rendered, F.lit(len(OPEN) + 1), F.length(rendered) - len(OPEN + END))
+    return F.split(inner, r"\[/INST\]\n", -1)
 
 
-def render(turns: Column, escaped: Column) -> Column:
-    """The whole conversation; ``escaped`` has a boolean per turn."""
-    return F.concat(F.lit("<s>"), F.array_join(F.zip_with(turns, escaped, render_turn), ""), F.lit("</s>"))
+def _turns(pieces: Column) -> Column:
+    return F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+
+
+def _mark(piece: Column) -> Column:
+    return F.length(F.regexp_extract(piece, HEAD, 2))
+
+
+def read_turn(piece: Column) -> Column:
+    """role and text of a turn without its closing tag; null where the grammar doesn't allow it."""
+    head = F.regexp_extract(piece, HEAD, 0)
+
+    def read(body: Column) -> Column:
+        wrong = F.when(_mark(piece) == 0, body.rlike(CONTROL)).otherwise(body.rlike(BARE))
+        return F.when((head != "") & ~wrong, F.struct(F.url_decode(F.regexp_extract(piece, HEAD, 1)).alias("role"), unescape(body, _mark(piece)).alias("text")))
+
+    return _let(F.substr(piece, F.length(head) + 1), read)
 
 
 def parse(rendered: Column) -> Column:
-    """Turns (role, text) read back from a rendered conversation."""
-    got = [F.regexp_extract_all(rendered, F.lit(TURN), F.lit(i)) for i in (1, 2, 3)]
-    return F.transform(
-        F.arrays_zip(got[0].alias("role"), got[1].alias("mark"), got[2].alias("body")),
-        lambda t: F.struct(
-            F.url_decode(t["role"]).alias("role"),
-            F.when(t["mark"] == "!", unescape(t["body"])).otherwise(t["body"]).alias("text"),
-        ),
-    )
+    """Turns (role, text) read back from a rendered conversation; null where the text as a whole is not one."""
+
+    def read(pieces: Column) -> Column:
+        turns = F.transform(_turns(pieces), read_turn)
+        return _let(turns, lambda t: F.when((F.element_at(pieces, -1) == "") & F.forall(t, lambda x: x.isNotNull()), t))
+
+    return F.when(F.startswith(rendered, F.lit(OPEN)) & F.endswith(rendered, F.lit(END)) & (F.length(rendered) >= len(OPEN + END)), _let(_pieces(rendered), read))
+
+
+def level_of(turn: Column) -> Column:
+    """The first level on which the turn, rendered alone, is read back as it was.
+
+    The last one always is: there no bracket stands before anything but a backslash, so no control string and no closing tag
+    can arise, and each backslash behind a bracket is an added one or follows it.
+    """
+
+    def identical(level: int) -> Column:
+        alone = F.concat(F.lit(OPEN), render_turn(turn, F.lit(level)), F.lit(END))
+        return _let(alone, parse).eqNullSafe(F.array(turn))
+
+    return F.when(identical(0), 0).when(identical(1), 1).otherwise(2)
+
+
+def loss_spans(formatted: Column, role: str = "assistant") -> Column:
+    """The loss mask: start (included), end (not included) and level of each body of ``role``, in UTF-8 bytes of a formatted conversation."""
+    begin = F.struct(F.lit(len(OPEN)).alias("at"), F.array().cast(SPANS).alias("spans"))
+
+    def step(done: Column, piece: Column) -> Column:
+        end = done["at"] + F.octet_length(piece)
+        span = F.struct((done["at"] + F.octet_length(F.regexp_extract(piece, HEAD, 0))).alias("start"), end.alias("end"), _mark(piece).alias("level"))
+        mine = F.url_decode(F.regexp_extract(piece, HEAD, 1)) == role
+        return F.struct((end + len(CLOSE)).alias("at"), F.when(mine, F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans"))
+
+    return F.aggregate(_let(_pieces(formatted), _turns), begin, step, lambda done: done["spans"])
+
+
+def under(formatted: Column, spans: Column) -> Column:
+    """The texts under ``spans``, cut out of the formatted conversation and unescaped."""
+    return _let(formatted.cast("binary"), lambda b: F.transform(
+        spans, lambda s: unescape(F.substring(b, s["start"] + 1, s["end"] - s["start"]).cast("string"), s["level"])))
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, turns (the source), formatted (the rendered text), recovered (its turns).
+    """One row per conversation: conv_id, turns (the source), formatted (the rendered text), recovered (its turns), loss_spans (of the assistants' bodies).
 
-    A turn is rendered alone first and parsed; where that doesn't give the turn back, or a control string stands in
-    its text, its content conflicts with the template and is escaped. The whole conversation is then rendered and parsed again.
+    A turn is rendered alone and parsed; as long as that doesn't give the turn back, its content conflicts with the template
+    and is escaped on the next level, of which the last is always read back. The whole conversation is then rendered and parsed again.
 
     Rows go by turn, then role and text; null turns come first. Null text and null role count as empty. Rows without a conv_id are
     one conversation. Repeated rows are repeated turns. An empty table gives no rows; extra columns are ignored. A conversation is one text, so it must fit in a row.
@@ -69,24 +135,23 @@ def formatted(conversations: DataFrame) -> DataFrame:
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = conversations.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     turns = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    held = grouped.select("conv_id", turns.alias("turns"))
-    conflict = F.transform("turns", lambda t: t["text"].rlike(CONTROL) | (parse(render_turn(t, F.lit(False))) != F.array(t)))
-    marked = held.withColumn("escaped", conflict)
-    return marked.withColumn("formatted", render(F.col("turns"), F.col("escaped"))).withColumn("recovered", parse(F.col("formatted"))).drop("escaped")
+    held = grouped.select("conv_id", turns.alias("turns")).withColumn("levels", F.transform("turns", level_of))
+    whole = held.withColumn("formatted", render(F.col("turns"), F.col("levels"))).drop("levels")
+    return whole.withColumns({"recovered": parse(F.col("formatted")), "loss_spans": loss_spans(F.col("formatted"))})
 
 
 def digests(conversations: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the formatted text.
 
-    The loss mask covers the assistants' texts.
+    The loss mask covers the assistants' texts; the text under it is cut out along its spans.
     """
     turns = F.array_join(F.transform("recovered", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("recovered", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    ok = F.col("recovered") == F.col("turns")
+    ok = F.col("recovered").eqNullSafe(F.col("turns"))
     checked = formatted(conversations).withColumn("recovered", F.when(ok, F.col("recovered")).otherwise(F.raise_error(F.lit("a conversation was not read back as it was written"))))
-    return checked.select(
+    loss = F.array_join(under(F.col("formatted"), F.col("loss_spans")), "")
+    return checked.withColumn("loss", loss).select(
         "conv_id", F.size("recovered").cast("long").alias("n_turns"), F.sha2(F.encode(turns, "utf-8"), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"), F.sha2(F.encode(loss, "utf-8"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.encode("loss", "utf-8"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
 

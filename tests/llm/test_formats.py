@@ -81,6 +81,45 @@ def test_chat_round_trip(spark):
     assert (hostile.n_turns, hostile.loss_chars) == (2, 21)
 
 
+NESTED = ["[INST:[/INST]\nrest", "[INST:<s>]", "<[INST:[/INST]]", "[INST:[\\/INST]\n[/INST]", "[INST:[INST:[/INST]\n]\\", "plain"]
+
+
+def test_content_is_escaped_until_it_is_read_back(spark):
+    """Control strings inside control strings defeat the first level of escapes."""
+    texts = NESTED + [a + b for a in NESTED for b in NESTED] + HOSTILE
+    frame = spark.createDataFrame([(i, 0, "assistant", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.formatted(frame).collect()}
+    marks = {r.formatted[len("<s>[INST:assistant") :].split("]")[0] for r in got.values()}
+    assert marks == {"", "!", "!!"} and all(r.recovered == r.turns and r.turns[0].text == texts[i] for i, r in got.items())
+    assert {r.conv_id: r.loss_chars for r in chat.digests(frame).collect()} == {i: len(t) for i, t in enumerate(texts)}
+
+
+def test_loss_mask_spans(spark):
+    turns = [("assistant" if i % 3 else "user", t + "é") for i, t in enumerate(HOSTILE + NESTED)]
+    frame = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    row = chat.formatted(frame).first()
+    raw, at, cut, rest = row.formatted.encode(), 0, [], b""
+    undo = [lambda s: s, lambda s: re.sub(r"([\[<])\\(\\*)(/?INST(?::[^\]\n]*)?\]|/?s>)", r"\1\2\3", s), lambda s: re.sub(r"([\[<])\\", r"\1", s)]
+    for s in row.loss_spans:
+        cut.append(undo[s.level](raw[s.start : s.end].decode()))
+        rest, at = rest + raw[at : s.start], s.end
+    rest += raw[at:]
+    assert cut == [t for r, t in turns if r == "assistant"]
+    # what is left: each assistant's tags with nothing between, the users' turns as they were
+    assert len(re.findall(rb"\[INST:assistant!{0,2}\]\[/INST\]\n", rest)) == len(cut) and rest.count(b"[INST:user") == len(turns) - len(cut)
+
+
+def test_parser_takes_a_text_whole_or_not_at_all(spark):
+    sound = "<s>[INST:user]a[/INST]\n[INST:b%21!][\\/INST][/INST]\n</s>"
+    wrong = [
+        "", "<s>", "</s>", "<s/s>", "x" + sound, sound + "x", sound[:-1], "<s>x[INST:user]a[/INST]\n</s>", "<s>[INST:user]a[/INST]\nx</s>", "<s>[INST:user]a</s>",
+        "<s>[INST:user][INST:user]a[/INST]\n</s>", "<s>[INST:user]<s>[/INST]\n</s>", "<s>[INST:user!]<s>[/INST]\n</s>", "<s>[INST:user!!!]a[/INST]\n</s>",
+    ]
+    frame = spark.createDataFrame([(t,) for t in [sound, "<s></s>", *wrong]], "t string")
+    got = [r.p for r in frame.select(chat.parse(F.col("t")).alias("p")).collect()]
+    assert [tuple(t) for t in got[0]] == [("user", "a"), ("b!", "[/INST]")] and got[1] == [] and got[2:] == [None] * len(wrong)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     from check_oracle import compare, duck
