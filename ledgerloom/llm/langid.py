@@ -15,25 +15,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of an n-gram, hash bins of the n-grams, code points handled at once, most bytes of a model.
-ORDER, BINS, PIECE, MODEL_BYTES = 3, 1 << 16, 1 << 20, 256 << 20
+#: Characters of an n-gram, most and fewest hash bins of the n-grams, code points handled at once, most bytes of a model, bins sent to the driver in a row.
+ORDER, BINS, LEAST_BINS, PIECE, MODEL_BYTES, SLAB = 3, 1 << 16, 1 << 8, 1 << 20, 256 << 20, 1 << 12
 
 
-def grams(text: str, bins: int = BINS) -> np.ndarray:
-    """Bin of each trigram of code points of the lower-cased text, with a space before and after."""
-    code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def grams(padded: str, bins: int = BINS) -> np.ndarray:
+    """Bin of each trigram of code points."""
+    code = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     h = (code[:-2] * np.uint64(0x9E3779B1) + code[1:-1]) * np.uint64(0x85EBCA6B) + code[2:]
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return (h >> np.uint64(40)).astype(np.int64) % bins
 
 
 def gram_counts(text: str, bins: int = BINS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct bins of a whole text and their counts; long texts go piece by piece, overlapping by two code points."""
-    if len(text) <= PIECE:
-        return np.unique(grams(text, bins), return_counts=True)
+    """Distinct bins and their counts of the trigrams of a whole text, lower-cased, with a space before and after it.
+
+    Long texts go piece by piece; pieces overlap by two code points, so each trigram is counted once.
+    """
+    padded = f" {text.lower()} "
+    if len(padded) <= PIECE:
+        return np.unique(grams(padded, bins), return_counts=True)
     total = np.zeros(bins, np.int64)
-    for at in range(0, len(text), PIECE):
-        total += np.bincount(grams(text[max(0, at - 1) : at + PIECE + 1], bins), minlength=bins)
+    for at in range(0, len(padded) - ORDER + 1, PIECE):
+        total += np.bincount(grams(padded[at : at + PIECE + ORDER - 1], bins), minlength=bins)
     found = np.flatnonzero(total)
     return found, total[found]
 
@@ -67,21 +71,29 @@ class Model:
     def proportions(self, bins: np.ndarray, n: np.ndarray, rounds: int = 30) -> tuple[list[int], np.ndarray]:
         """The chosen languages and their proportions.
 
-        EM over all languages orders them; the sets of the 1, 2, ... largest are then fitted
-        and the one with the highest log likelihood - (k / 2) log(n-grams) wins, the smaller on ties.
+        EM over all languages orders them; of the sets of the 1, 2, ... largest, fitted again, the one with the highest
+        log likelihood - (k / 2) log(n-grams) wins, the smaller on ties. The search ends only where no larger set can win: the
+        likelihood of any mixture is at most that of the fit over all languages plus n-grams * log(largest gradient).
         """
         p, total = self.chance[bins], n.sum()
         weights = em(p, n, np.full(p.shape[1], 1 / p.shape[1]), rounds)
         order = np.argsort(-weights, kind="stable")
+        mixed = p @ weights
+        most = float(n @ np.log(mixed)) + total * np.log((p.T @ (n / mixed)).max() / total)
         best, choice = -np.inf, None
         for k in range(1, len(order) + 1):
+            cost = 0.5 * k * np.log(total)
+            if most - cost <= best:
+                break
             use = order[:k]
             part = p[:, use]
-            w = em(part, n, weights[use] / weights[use].sum(), rounds) if k > 1 else np.ones(1)
-            value = float(n @ np.log(part @ w)) - 0.5 * k * np.log(total)
-            if value <= best:
-                break  # one more language did not pay
-            best, choice = value, (use.tolist(), w)
+            w = np.ones(1)
+            if k > 1:
+                start = weights[use] + 1e-9  # a weight of zero would stay zero
+                w = em(part, n, start / start.sum(), rounds)
+            value = float(n @ np.log(part @ w)) - cost
+            if value > best:
+                best, choice = value, (use.tolist(), w)
         return choice
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -104,17 +116,40 @@ def em(p: np.ndarray, n: np.ndarray, w: np.ndarray, rounds: int) -> np.ndarray:
     return w
 
 
+def bins_for(languages: int, bins: int = BINS) -> int:
+    """Hash bins of a model of so many languages: halved from ``bins`` until it has no more than MODEL_BYTES."""
+    while bins > LEAST_BINS and languages * bins * 8 > MODEL_BYTES:
+        bins //= 2
+    if languages * bins * 8 > MODEL_BYTES:
+        raise ValueError(f"more than {MODEL_BYTES // (8 * bins)} distinct lang values")
+    return bins
+
+
 def fit(docs: DataFrame, bins: int = BINS, smooth: float = 0.5) -> Model:
-    """Learn from all rows of ``docs`` with text and lang. The driver gets the summed table: languages times bins, refused above MODEL_BYTES."""
-    counts = learned_counts(docs, bins)
-    langs = sorted(r.lang for r in docs.where("text is not null and lang is not null").select("lang").distinct().collect())
-    if len(langs) * bins * 8 > MODEL_BYTES:
-        raise ValueError(f"{len(langs)} languages by {bins} bins exceed {MODEL_BYTES} bytes; give fewer bins")
+    """Learn from all rows of ``docs`` with text and lang.
+
+    The driver holds one table of languages by bins, at most MODEL_BYTES: more languages have fewer bins each, down to
+    LEAST_BINS (131,072 languages; more are refused). Counts come to it a partition at a time, SLAB bins of a language in a row.
+    """
+    found = docs.where("text is not null and lang is not null").select("lang").distinct().limit(MODEL_BYTES // (8 * LEAST_BINS) + 1)
+    langs = sorted(r.lang for r in found.toLocalIterator())
+    bins = bins_for(len(langs), bins)
     table = np.full((bins, max(1, len(langs))), smooth)
-    got = counts.toPandas()
     at = {x: i for i, x in enumerate(langs)}
-    np.add.at(table, (got["bin"].to_numpy(), got["lang"].map(at).to_numpy(np.int64)), got["n"].to_numpy())
-    return Model(langs, table / table.sum(axis=0))
+
+    def slab(rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows["bin"].to_numpy(np.int64)
+        first = own[0] - own[0] % SLAB
+        part = np.zeros(min(SLAB, bins - first), np.int64)
+        part[own - first] = rows["n"].to_numpy(np.int64)
+        return pd.DataFrame({"lang": rows["lang"].iloc[:1], "first": [first], "part": [part.tobytes()]})
+
+    slabs = learned_counts(docs, bins).groupBy("lang", (F.col("bin") / SLAB).cast("int").alias("_slab")).applyInPandas(slab, "lang string, first int, part binary")
+    for row in slabs.toLocalIterator():
+        part = np.frombuffer(row["part"], np.int64)
+        table[row["first"] : row["first"] + len(part), at[row["lang"]]] += part
+    table /= table.sum(axis=0)
+    return Model(langs, table)
 
 
 def predict(docs: DataFrame, model: Model, held_out: Column | None = None) -> DataFrame:

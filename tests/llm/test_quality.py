@@ -61,6 +61,41 @@ def test_long_text_in_pieces(monkeypatch):
     assert not Counter(whole) - Counter(pieces) and sum(extra.values()) <= 4 * (len(text) // 101 + 1)
 
 
+def test_long_text_is_counted_like_brute_force():
+    text = "Zwölf Boxkämpfer jagen Viktor. " * 100_000  # 3.1 million characters
+    padded, found = f" {text.lower()} ", Counter()
+    for gram, n in Counter(padded[i : i + 3] for i in range(len(padded) - 2)).items():
+        found[int(langid.grams(gram)[0])] += n
+    bins, n = langid.gram_counts(text)
+    assert dict(zip(bins.tolist(), n.tolist())) == dict(found)
+
+
+def test_many_noisy_languages(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 40), "en") for i in range(50)] + [(100 + i, "щука и карась " * 5, f"noise{i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.chance.shape == (16_384, 2001) and np.allclose(model.chance.sum(axis=0), 1)
+    assert {r.lang_pred for r in langid.predict(docs.where("doc_id < 20"), model).collect()} == {"en"}
+
+
+def test_set_search_is_exact():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        chance = rng.dirichlet(np.full(60, 0.4), size=6).T
+        n = rng.multinomial(400, chance @ rng.dirichlet(np.full(6, 0.3)))
+        bins = np.flatnonzero(n)
+        model = langid.Model(list("abcdef"), chance)
+        use, w = model.proportions(bins, n[bins])
+        weights = langid.em(chance[bins], n[bins], np.full(6, 1 / 6), 30)
+        order, values = np.argsort(-weights, kind="stable"), []
+        for k in range(1, 7):
+            part, start = chance[np.ix_(bins, order[:k])], weights[order[:k]] + 1e-9
+            own = langid.em(part, n[bins], start / start.sum(), 30)
+            values.append(float(n[bins] @ np.log(part @ own)) - 0.5 * k * np.log(400))
+        assert len(use) == int(np.argmax(values)) + 1 and np.isclose(w.sum(), 1)
+
+
 # --- quality rules
 
 def brute_rules(text):
