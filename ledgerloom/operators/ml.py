@@ -15,6 +15,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from . import metrics as mt
 
 SEED = 42
@@ -108,12 +109,37 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("weight", w)
 
 
+class _WithoutSummary:
+    """Fits the model, then saves it and reads it back, which leaves the training summary behind.
+
+    The summary holds the session, which tasks can't be sent once anything in it was observed (``DataFrame.observe``).
+    """
+
+    def _fit(self, dataset):
+        model = super()._fit(dataset)
+        path = scratch_path(dataset.sparkSession, "classifier")
+        model.write().save(path)
+        return type(model).load(path)
+
+
+class Logistic(_WithoutSummary, LogisticRegression):
+    pass
+
+
+class Forest(_WithoutSummary, RandomForestClassifier):
+    pass
+
+
+class Perceptron(_WithoutSummary, MultilayerPerceptronClassifier):
+    pass
+
+
 def classifiers(label: str, width: int) -> dict[str, tuple]:
     """Lapse models and the grids searched for them."""
-    lr = LogisticRegression(labelCol=label, weightCol="weight", maxIter=50)
-    rf = RandomForestClassifier(labelCol=label, weightCol="weight", seed=SEED, numTrees=20)
+    lr = Logistic(labelCol=label, weightCol="weight", maxIter=50)
+    rf = Forest(labelCol=label, weightCol="weight", seed=SEED, numTrees=20)
     gb = GBTClassifier(labelCol=label, weightCol="weight", seed=SEED, maxIter=15)
-    nn = MultilayerPerceptronClassifier(labelCol=label, layers=[width, 16, 8, 2], maxIter=60, seed=SEED)
+    nn = Perceptron(labelCol=label, layers=[width, 16, 8, 2], maxIter=60, seed=SEED)
     return {
         "logistic": (lr, ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.1]).build()),
         "random_forest": (rf, ParamGridBuilder().addGrid(rf.maxDepth, [4, 6]).build()),
