@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..refdata import small_table
 from ..session import cut_lineage
 from .quality import text_of
-from .skew import attach, skew_join
+from .skew import skew_join
 
 # Column names of each file type.
 FILE_TYPES = {
@@ -85,9 +85,23 @@ PRODUCT_FIELDS = {
 }
 
 
+#: Rows of ``by_file`` in one task, each with a dozen columns to come.
+FILES_PER_TASK = 50_000
+
+
+def by_file(rows: DataFrame) -> DataFrame:
+    """Rows dealt by file_id to as many tasks as their number asks for, so that what a task holds does not grow with the table.
+
+    The rows are counted first. Steps per file that follow need no further shuffle. Left to itself Spark would make one task of a
+    file with one row group, however many columns its rows unfold to.
+    """
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // FILES_PER_TASK))
+    return rows.repartition(tasks, "file_id")
+
+
 def squash(c: Column) -> Column:
     """Lower case without underscores and spaces."""
-    return F.regexp_replace(F.lower(c), "[_ ]", "")
+    return F.translate(F.lower(c), "_ ", "")
 
 
 def catalogue(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
@@ -109,42 +123,46 @@ def _matches(squashed: Column, pattern: str) -> Column:
     return same
 
 
-def file_type_scores(columns: DataFrame) -> DataFrame:
-    """Score of every file for every file type, from one aggregate over the catalogue."""
-    name = squash(F.col("column_name"))
+def _type_scores(columns: DataFrame) -> DataFrame:
+    """file_id and _scores, the score for every file type in their order, from one aggregate over the catalogue."""
+    name = F.col("_n")
     aggs, keys = [], []
     for kind, groups in FILE_TYPES.items():
         for group, patterns in groups.items():
             for i, p in enumerate(patterns):
                 test = name.contains(p) if group == "indicator" else _matches(name, p)
                 aggs.append(F.max(test.cast("int")).alias(f"{kind}|{group}|{i}"))
-    wide = columns.groupBy("file_id").agg(*aggs)
+    wide = columns.withColumn("_n", squash(F.col("column_name"))).groupBy("file_id").agg(*aggs)
     for kind, groups in FILE_TYPES.items():
         share = {
             g: reduce(lambda a, b: a + b, [F.col(f"`{kind}|{g}|{i}`") for i in range(len(ps))]) / len(ps) for g, ps in groups.items()
         }
         score = share["required"] * 0.7 + share["optional"] * 0.5 * 0.2 + share["indicator"] * 0.3 * 0.1
         keys.append(F.struct(F.lit(kind).alias("file_type"), (score * F.when(share["required"] < 0.5, 0.3).otherwise(1.0)).alias("confidence")))
-    return wide.select("file_id", F.explode(F.array(*keys)).alias("s")).select("file_id", "s.*")
+    return wide.select("file_id", F.array(*keys).alias("_scores"))
+
+
+def file_type_scores(columns: DataFrame) -> DataFrame:
+    """Score of every file for every file type."""
+    return _type_scores(columns).select("file_id", F.explode("_scores").alias("s")).select("file_id", "s.*")
 
 
 def detect_file_types(columns: DataFrame) -> DataFrame:
     """Best file type per file; equal scores go to the type listed first."""
-    order = {k: i for i, k in enumerate(FILE_TYPES)}
-    rank = F.coalesce(*[F.when(F.col("file_type") == k, -i) for k, i in order.items()])
-    best = file_type_scores(columns).groupBy("file_id").agg(F.max(F.struct("confidence", rank.alias("r"), "file_type")).alias("b"))
+    ranked = F.transform("_scores", lambda s, i: F.struct(s["confidence"].alias("confidence"), (-i).alias("r"), s["file_type"].alias("file_type")))
+    best = _type_scores(columns).select("file_id", F.array_max(ranked).alias("b"))
     return best.select("file_id", F.col("b.file_type").alias("file_type"), F.col("b.confidence").alias("confidence"))
 
 
 def column_roles(columns: DataFrame, types: DataFrame) -> DataFrame:
-    """required / optional / additional for each column of a typed file."""
-    name = squash(F.col("column_name"))
+    """required / optional / additional for each column of a typed file. A file has few columns, so none is heavy as a key."""
+    name = F.col("_n")
     role = F.lit("additional")
     for kind, groups in FILE_TYPES.items():
         hit = {g: reduce(lambda a, b: a | b, [_matches(name, p) for p in groups[g]]) for g in ("required", "optional")}
         label = F.when(hit["required"], "required").when(hit["optional"], "optional").otherwise("additional")
         role = F.when(F.col("file_type") == kind, label).otherwise(role)
-    return attach(columns, types.select("file_id", "file_type"), "file_id").withColumn("role", role)
+    return columns.join(types.select("file_id", "file_type"), "file_id", "left").withColumn("_n", squash(F.col("column_name"))).withColumn("role", role).drop("_n")
 
 
 def map_columns(columns: DataFrame, schema: str) -> DataFrame:
@@ -153,17 +171,25 @@ def map_columns(columns: DataFrame, schema: str) -> DataFrame:
     A name equal after squashing wins; else containment with a length ratio above
     .6, the best ratio first. Each column row meets the few expected fields as an array.
     """
-    required, optional = SCHEMAS[schema]
-    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(f in required).alias("required")) for f in [*required, *optional]]))
-    c = columns.withColumn("_f", fields).withColumns({"_n": squash(F.col("column_name")), "_t": squash(F.col("_f.field"))})
-    n, t = F.length("_n"), F.length("_t")
-    near = F.col("_n").contains(F.col("_t")) | F.col("_t").contains(F.col("_n"))
-    score = F.when(F.col("_n") == F.col("_t"), 2.0).when(near, F.least(n, t) / F.greatest(n, t))
-    hits = c.withColumn("score", score).where("score > 0.6")
-    best = hits.groupBy("file_id", F.col("_f.field").alias("field"), F.col("_f.required").alias("required")).agg(
-        F.max(F.struct("score", (-F.col("position")).alias("p"), "column_name")).alias("b")
+    return map_all_columns(columns, [schema]).drop("target")
+
+
+def map_all_columns(columns: DataFrame, schemas: list[str] | None = None) -> DataFrame:
+    """``map_columns`` for each of ``schemas`` (all), named in column target, from one pass over the columns."""
+    wanted = [(s, f, f in SCHEMAS[s][0]) for s in schemas or SCHEMAS for f in [*SCHEMAS[s][0], *SCHEMAS[s][1]]]
+    name = F.col("_n")
+
+    def hit(schema: str, field: str, required: bool) -> Column:
+        t = field.replace("_", "").lower()
+        near = name.contains(t) | F.lit(t).contains(name)
+        score = F.when(name == t, 2.0).when(near, F.least(F.length(name), F.lit(len(t))) / F.greatest(F.length(name), F.lit(len(t))))
+        return F.when(score > 0.6, F.struct(F.lit(schema).alias("target"), F.lit(field).alias("field"), F.lit(required).alias("required"), score.alias("score")))
+
+    hits = columns.withColumn("_n", squash(F.col("column_name"))).select("file_id", "position", "column_name", F.explode(F.array_compact(F.array(*[hit(*w) for w in wanted]))).alias("_f"))
+    best = hits.groupBy("file_id", "_f.target", "_f.field", "_f.required").agg(
+        F.max(F.struct(F.col("_f.score").alias("score"), (-F.col("position")).alias("p"), "column_name")).alias("b")
     )
-    return best.select("file_id", "field", "required", F.col("b.column_name").alias("column_name"), F.least(F.lit(1.0), F.col("b.score")).alias("score"))
+    return best.select("target", "file_id", "field", "required", F.col("b.column_name").alias("column_name"), F.least(F.lit(1.0), F.col("b.score")).alias("score"))
 
 
 def apply_mapping(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
@@ -172,12 +198,15 @@ def apply_mapping(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 
 def missing_fields(columns: DataFrame, required: dict[str, list[str]]) -> DataFrame:
-    """(file_id, family, field) for each required field a file has no column for."""
-    rows = [(k, f) for k, fs in required.items() for f in fs]
-    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("family"), F.lit(f).alias("field")) for k, f in rows]))
-    files = columns.select("file_id").distinct().withColumn("_w", wanted).select("file_id", "_w.family", "_w.field")
-    have = columns.select("file_id", F.lower("column_name").alias("field"))
-    return files.join(have, ["file_id", "field"], "left_anti")
+    """(file_id, family, field) for each required field a file has no column for.
+
+    One aggregate per file holds a flag for each field, so nothing is joined. A NULL name is no field's.
+    """
+    fields = list(dict.fromkeys(f for fs in required.values() for f in fs))
+    name = F.lower("column_name")
+    has = columns.groupBy("file_id").agg(*[F.max(F.coalesce(name == f, F.lit(False))).alias(f"_h{i}") for i, f in enumerate(fields)])
+    gaps = [F.when(~F.col(f"_h{fields.index(f)}"), F.struct(F.lit(k).alias("family"), F.lit(f).alias("field"))) for k, fs in required.items() for f in fs]
+    return has.select("file_id", F.explode(F.array_compact(F.array(*gaps))).alias("_w")).select("file_id", "_w.family", "_w.field")
 
 
 def match_fields(profile: DataFrame) -> DataFrame:

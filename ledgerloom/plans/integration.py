@@ -164,10 +164,12 @@ def _landing(spark, d):
     p = cn.table(spark, d, "part")
     k = F.col("p_partkey")
     cols = F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long") + F.col("p_size") % 8)
-    rows = p.select(F.concat(F.lit("file_"), k).alias("file_id"), k, F.posexplode(cols).alias("position", "j"))
+    parts = ig.by_file(p.select(F.concat(F.lit("file_"), k).alias("file_id"), "p_partkey", "p_size"))
+    rows = parts.select("file_id", k, F.posexplode(cols).alias("position", "j"))
     name = cn.pick((k % 20 + F.col("j") * (1 + k % 3)) % 20, _names)
     kind = F.when(name.contains("date"), "date").when(name.contains("amount") | name.isin("premium", "limit", "sum_insured", "loss_ratio"), "double").otherwise("string")
-    return rows.select("file_id", "position", name.alias("column_name"), kind.alias("data_type")).dropDuplicates(["file_id", "column_name"])
+    first = rows.select("file_id", "position", name.alias("column_name"), kind.alias("data_type")).groupBy("file_id", "column_name", "data_type")
+    return first.agg(F.min("position").alias("position")).select("file_id", "position", "column_name", "data_type")
 
 
 _lz = f"""SELECT file_id, min(position) AS position, column_name FROM (SELECT 'file_' || p_partkey AS file_id, j AS position, ({_names!r})[(p_partkey % 20 + j * (1 + p_partkey % 3)) % 20 + 1] AS column_name
@@ -225,8 +227,7 @@ def _map_sql(schema: str) -> str:
 
 @query("P1 P2", duck("", " UNION ALL ".join(f"SELECT '{s}' AS target, * FROM ({_map_sql(s)})" for s in ig.SCHEMAS), lz=_lz), r6="score")
 def mapped_columns(spark, d):
-    lz = _landing(spark, d)
-    return reduce(lambda a, b: a.unionByName(b), [ig.map_columns(lz, s).select(F.lit(s).alias("target"), "*") for s in ig.SCHEMAS])
+    return ig.map_all_columns(_landing(spark, d))
 
 
 TREATY_NAMES = {"s_suppkey": "treaty_id", "s_name": "cedant", "s_acctbal": "premium", "s_nationkey": "territory"}
