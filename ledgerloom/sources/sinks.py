@@ -75,10 +75,16 @@ def append_manifest(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").parquet(path)
 
 
-def file_manifest(df: DataFrame, name: str) -> DataFrame:
-    """One row per input file: rows, columns and completeness."""
+def file_manifest(df: DataFrame, name: str, landed: str | None = None) -> DataFrame:
+    """One row per input file: rows, columns and completeness.
+
+    ``landed`` names the file that ``df`` was landed as: a folder of part files is then one file, with a row also when it is empty.
+    """
     data = [c for c in df.columns]
     filled = sum((F.col(c).isNotNull().cast("int") for c in data), F.lit(0))
-    return df.withColumn("_file", F.element_at(F.split(F.input_file_name(), "/"), -1)).groupBy("_file").agg(
-        F.count(F.lit(1)).alias("rows"), F.lit(len(data)).alias("columns"), (F.avg(filled) / len(data)).alias("score")
-    ).select(F.col("_file").alias("file_name"), F.lit(name).alias("data_type"), "rows", "columns", "score")
+    measures = [F.count(F.lit(1)).alias("rows"), F.lit(len(data)).alias("columns"), (F.avg(filled) / len(data)).alias("score")]
+    if landed is not None:
+        found = df.agg(*measures).withColumn("_file", F.lit(landed))
+    else:
+        found = df.withColumn("_file", F.element_at(F.split(F.input_file_name(), "/"), -1)).groupBy("_file").agg(*measures)
+    return found.select(F.col("_file").alias("file_name"), F.lit(name).alias("data_type"), "rows", "columns", "score")
