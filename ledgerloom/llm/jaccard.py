@@ -33,6 +33,8 @@ GROUPS, DIMS, FANOUT = 1 << 16, 64, 16
 FINE = 1024
 #: Documents, and their shingles, that one task joins at once; documents that every task of a larger group gets.
 MEMBERS, SHINGLES, PIVOTS = 256, 500_000, 8
+#: Members of a cluster whose points one task compares at once, coordinates of the largest points that travel.
+COMPANY, WIDEST = 2048, 4096
 #: Ratio of the bounds of a size band.
 BAND = 1.5
 
@@ -87,6 +89,28 @@ def point(own: np.ndarray, dims: int = DIMS) -> np.ndarray:
     return np.bincount((own >> _U(40)).astype(np.int64) % dims, minlength=dims).astype(np.uint32)
 
 
+def dims_of(n: int) -> int:
+    """Coordinates of the point that travels for a set of ``n``: 2 to 4 shingles each, as far as WIDEST goes. With more, unlike sets look alike."""
+    return min(WIDEST, max(DIMS, 1 << ((n - 1) // 4).bit_length()))
+
+
+def packed(own: np.ndarray) -> bytes:
+    """The point of a set, in the narrowest integers that hold it."""
+    at = point(own, dims_of(len(own)))
+    return at.astype(np.min_scalar_type(int(at.max(initial=0)))).tobytes()
+
+
+def unpacked(raws, sizes: np.ndarray) -> np.ndarray:
+    """``packed`` points of sets of these sizes, folded to the coordinates of the smallest: a power of two divides the next one."""
+    dims, out = dims_of(int(sizes.min())), []
+    for raw, n in zip(raws, sizes.tolist()):
+        wide = dims_of(n)
+        at = np.frombuffer(raw, f"u{len(raw) // wide}")
+        out.append(at if wide == dims else at.reshape(-1, dims).sum(axis=0, dtype=np.uint32))
+    points = np.stack(out)
+    return points.astype(np.min_scalar_type(int(points.max())))
+
+
 # A plain dictionary: a cached function could not travel to the executors by value.
 _starts: dict[int, np.ndarray] = {}
 
@@ -229,19 +253,20 @@ def _company(rule: Rule):
 
     def close(rows: pd.DataFrame) -> pd.DataFrame:
         cluster, sizes = rows["cluster"].to_numpy(), rows["n"].to_numpy(np.int64)
-        points = np.frombuffer(b"".join(rows["point"]), np.uint32).reshape(len(rows), DIMS).astype(np.int64)
+        raws = rows["point"].to_numpy()
         starts = np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1]))
-        counts = np.diff(np.append(starts, len(cluster)))
         keep = np.zeros(len(rows), bool)
-        two = starts[counts == 2]
-        bound = np.minimum(points[two], points[two + 1]).sum(axis=1)
-        fits = bound >= rule.least_shared(sizes[two] + sizes[two + 1])
-        keep[two[fits]] = keep[two[fits] + 1] = True
-        for s, c in zip(starts[counts > 2], counts[counts > 2]):
-            tree = RTree(points[s : s + c], sizes[s : s + c])
-            for i in range(c):
-                keep[s + i] = len(tree.search(points[s + i], int(sizes[s + i]), rule)[0]) > 1  # itself is one
-        return rows.loc[keep, ["cluster", "node"]]
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)]):
+            if e - s == 1:
+                continue
+            points, own = unpacked(raws[s:e], sizes[s:e]), sizes[s:e]
+            if e - s == 2:
+                keep[s:e] = int(np.minimum(*points).sum()) >= rule.least_shared(int(own.sum()))
+                continue
+            tree = RTree(points, own)
+            for i in range(e - s):
+                keep[s + i] = len(tree.search(points[i], int(own[i]), rule)[0]) > 1  # itself is one
+        return rows.loc[keep, ["cluster", "node", "n"]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -263,8 +288,8 @@ def _close_calls(rule: Rule):
     """Of a part of a large cluster and of those outside its largest piece: the askers with a close point of another piece, and those points."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        points = np.frombuffer(b"".join(rows["point"]), np.uint32).reshape(len(rows), DIMS).astype(np.int64)
         sizes, labels = rows["n"].to_numpy(np.int64), rows["label"].to_numpy()
+        points = unpacked(rows["point"], sizes)
         tree, keep = RTree(points, sizes), np.zeros(len(rows), bool)
         for i in np.flatnonzero(rows["ask"].to_numpy(bool)):
             near = tree.search(points[i], int(sizes[i]), rule)[0]
@@ -307,7 +332,7 @@ def components(docs: DataFrame, rule: Rule = Rule(), keep: tuple[str, ...] = ())
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [shingles(t, rule.words) for t in pdf.pop("text")]
-            yield pdf.assign(n_shingles=[len(s) for s in sets], node=[signature(s) for s in sets], point=[point(s).tobytes() for s in sets])
+            yield pdf.assign(n_shingles=[len(s) for s in sets], node=[signature(s) for s in sets], point=[packed(s) for s in sets])
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep))
@@ -323,16 +348,19 @@ def components(docs: DataFrame, rule: Rule = Rule(), keep: tuple[str, ...] = ())
     # The points of the documents that meet others, and one doc_id to read each of their texts by.
     holder = rows.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("point").alias("point"))
     active = cut_lineage(holder.join(dealt.select("node").distinct(), "node", "left_semi"), "jaccard-active")
-    sizes = dealt.join(active.select("node", "n"), "node").groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where("members > 1")
-    parts = F.greatest(F.ceil(F.col("members") / MEMBERS), F.ceil(F.col("shingles") / SHINGLES))
-    sizes = cut_lineage(sizes.select("cluster", "members", parts.alias("parts")), "jaccard-sizes")
-    placed = dealt.join(sizes, "cluster")
-
-    # Chance meetings end here: in clusters of one part, only members that some other member's point is close to go on, without any text moved.
-    single = placed.where("parts = 1").join(active.select("node", "n", "point"), "node").select("cluster", "node", "n", "point")
-    close = single.repartition("cluster").sortWithinPartitions("cluster").mapInPandas(_company(rule), "cluster long, node long")
+    members = dealt.join(active.select("node", "n"), "node")
+    crowds = cut_lineage(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "jaccard-crowds")
+    placed = members.join(crowds, "cluster")
+
+    # Chance meetings end here: only members that some other member's point is close to go on, without any text moved. A cluster too large for one task goes on whole.
+    one_task = F.col("members") <= COMPANY
+    single = placed.where(one_task).join(active.select("node", "point"), "node").select("cluster", "node", "n", "point")
+    close = single.repartition("cluster").sortWithinPartitions("cluster").mapInPandas(_company(rule), "cluster long, node long, n long")
+    close = cut_lineage(close.unionByName(placed.where(~one_task).select("cluster", "node", "n")), "jaccard-near")
     one = F.lit(1).cast("long")
-    kept = cut_lineage(close.withColumns({"members": one, "parts": one}).unionByName(placed.where("parts > 1").select("cluster", "node", "members", "parts")), "jaccard-kept")
+    parts = F.greatest(F.ceil(F.col("members") / MEMBERS), F.ceil(F.col("shingles") / SHINGLES))
+    sizes = close.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).select("cluster", "members", parts.alias("parts"))
+    kept = cut_lineage(close.select("cluster", "node").join(sizes, "cluster"), "jaccard-kept")
 
     # A document of a group of near copies is in a few clusters. It is joined in the first one only;
     # where that leaves another cluster in pieces, the cluster is looked at again.

@@ -177,3 +177,33 @@ def test_key_filter_holds_every_key(spark):
     others = np.array([r.k for r in spark.range(1_000_000, 1_010_000).select(F.xxhash64("id").alias("k")).collect()])
     assert common.may_hold(bits, others).mean() < 0.01
     assert not common.key_filter(keys.limit(0), "k").any()
+
+
+def test_points_tell_long_unlike_sets_apart_and_bound_the_overlap():
+    """With 64 coordinates for all sizes, sets of some thousand shingles all looked alike, so their texts were moved to be compared."""
+    rng = np.random.default_rng(6)
+    rule = jaccard.Rule(5, 80, 100)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (30, 260, 2000, 2100, 9000, 9100)]
+    sets.append(np.unique(np.append(sets[2][100:], rng.integers(0, 1 << 63, 90).astype(np.uint64))))
+    sets.append(np.sort(np.append(sets[0], (np.uint64(1 << 50) + np.arange(300, dtype=np.uint64)))))  # many in one group
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            n = np.array([len(a), len(b)])
+            bound = int(np.minimum(*jaccard.unpacked([jaccard.packed(a), jaccard.packed(b)], n)).sum())
+            assert bound >= len(np.intersect1d(a, b))
+            assert i == j or {i, j} == {2, 6} or bound < rule.least_shared(int(n.sum()))
+
+
+def test_texts_of_chance_meetings_are_not_moved(spark, monkeypatch):
+    """Long unlike documents meet in cells by a passage they share. None of them is close to another one, whether their cluster fits into one part or not."""
+    moved = []
+    texts_of = jaccard._texts_of
+    monkeypatch.setattr(jaccard, "_texts_of", lambda docs, wanted: moved.append(wanted.count()) or texts_of(docs, wanted))
+    monkeypatch.setattr(jaccard, "MEMBERS", 8)
+    monkeypatch.setattr(jaccard, "block_keys", lambda own, rule: np.array([7], np.uint64))  # everyone meets everyone
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(1500 + i))) for i in range(20)]
+    rows += [(50, rows[3][1] + " one more"), (51, rows[3][1] + " another one")]
+    found = {r.doc_id: r.component_id for r in jaccard.components(frame(spark, rows), jaccard.Rule(5, 80, 100)).collect()}
+    assert found == {i: 3 if i in (50, 51) else i for i, _ in rows}
+    assert moved == [3]
