@@ -61,11 +61,13 @@ LINE_LOSS_RATIO = {"Property": 0.65, "Casualty": 0.72, "Marine": 0.68, "Aviation
 
 def standard(c: Column, spellings: dict[str, list[str]], fold: bool = True) -> Column:
     """Standard category of a spelling; an unknown spelling stays as it is."""
-    key = F.upper(F.trim(c)) if fold else c
-    out = None
+    names: dict[str, str] = {}
     for name, words in spellings.items():
-        out = F.when(key.isin(words), name) if out is None else out.when(key.isin(words), name)
-    return out.otherwise(c)
+        for w in words:
+            names.setdefault(w, name)
+    # A lookup reads the spelling once and stays small code; a branch per name makes methods too long for the JVM to compile.
+    lookup = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.try_element_at(lookup, F.upper(F.trim(c)) if fold else c), c)
 
 
 def standardise_categories(df: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
@@ -124,8 +126,13 @@ def _attempt(c: Column, name: str) -> Column:
 
 def parse_date(c: Column, formats: list[str] | None = None) -> Column:
     """Serial day numbers first, then each format in order; the first that parses wins."""
-    serial = F.date_add(F.to_date(F.lit("1899-12-30")), F.floor(_serial(c)).cast("int"))
-    return F.coalesce(serial, *[_attempt(c, f) for f in formats or DATE_FORMATS])
+
+    def read(text: Column) -> Column:
+        serial = F.date_add(F.to_date(F.lit("1899-12-30")), F.floor(_serial(text)).cast("int"))
+        return F.coalesce(serial, *[_attempt(text, f) for f in formats or DATE_FORMATS])
+
+    # A lambda stays out of the generated code; all formats in it make methods too long for the JVM to compile.
+    return F.get(F.transform(F.array(c), read), F.lit(0))
 
 
 def date_format_used(c: Column, formats: list[str] | None = None) -> Column:

@@ -3,7 +3,9 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
+from ledgerloom.operators import clean as cl
 from ledgerloom.operators import schemas as sc
 from ledgerloom.operators.cleaning import clean_dataset
 
@@ -96,3 +98,22 @@ def test_findings_of_a_treaty_file(spark):
 def test_findings_of_no_rows(spark):
     df = spark.createDataFrame([], "event_id long, industry_loss date")
     assert [(r.check, r.level, r.actual) for r in sc.schema_findings(df, "catastrophe").collect()] == [("type", "WARNING", "Date")]
+
+
+def test_generated_code_of_typing_stays_compilable(spark):
+    """The JVM never compiles methods of more than 8,000 bytes; the date formats made one."""
+    from ledgerloom.plans import quality
+
+    landed = quality._landed(spark, "/root/testdata/sf0.001")
+    df = cl.coerce_types(landed, [f.name for f in landed.schema.fields if f.dataType.typeName() == "string"])
+    parts = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package").codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    assert 0 < max(parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())) <= 8000
+
+
+@pytest.mark.parametrize("text,day", [
+    (" 2001-2-3 ", (2001, 2, 3)), ("03/02/2001", (2001, 2, 3)), ("12/31/2001", (2001, 12, 31)), ("3-Feb-2001", (2001, 2, 3)), ("03-Feb-75", (1975, 2, 3)), ("20010203", (2001, 2, 3)),
+    ("3.2.2001", (2001, 2, 3)), ("12-31-2001", (2001, 12, 31)), ("2001/2/3", (2001, 2, 3)), ("36925.5", (2001, 2, 3)), ("soon", None), (None, None),
+])
+def test_dates_of_all_formats(spark, text, day):
+    got = spark.createDataFrame([(text,)], "issue_date string").select(cl.parse_date(F.col("issue_date")).alias("d")).first().d
+    assert got == (day and dt.date(*day))
