@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, jaccard, mixing, quality_net, repeats
-from ledgerloom.llm.common import crc_fold, table
+from ledgerloom.llm.common import crc_fold, from_blocks, row_blocks, table, word_count
 from ledgerloom.session import cut_lineage, drop_scratch, scratch_scope
 
 #: SQL can't train the classifier, so the stages are tested against brute force instead.
@@ -91,13 +91,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @tidy
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their copies (1 to 3) and the words taken."""
-    keyed = docs.withColumn("row_key", F.xxhash64(*docs.columns))
-    mixed = cut_lineage(mixing.mix(keyed, keep=("row_key",)), "pipeline-mix")
-    taken = mixed.groupBy("row_key").agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
-    if taken.where("rows > 1").limit(1).count():  # repeated rows become one, with the copies of all
-        keyed = keyed.dropDuplicates(["row_key"])
-    return keyed.join(taken.where("copies > 0").drop("rows"), "row_key").select(*docs.columns, "copies", "taken")
+    """The documents that the mix takes, with their copies (1 to 3) and the words taken.
+
+    Texts are written once, into a table bucketed by block, and stay there: the mix moves numbers, and its copies come back as one array per block.
+    """
+    keyed = row_blocks(docs.withColumns({"row_key": F.xxhash64(*docs.columns), "row_words": word_count(F.col("text"))}))
+    mixed = cut_lineage(mixing.mix(keyed, keep=("row_key", "row_id"), size=F.col("row_words")), "pipeline-mix")
+    same = mixed.groupBy("row_key").agg(F.min("row_id").alias("row_id"), F.sum("copies").alias("copies"), F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
+    if same.where("rows > 1").limit(1).count():  # of repeated rows one has the copies of all, the others none
+        mixed = mixed.select("row_id").join(same, "row_id", "left").na.fill(0, ["copies", "taken"])
+    return from_blocks(keyed, mixed, ["copies", "taken"]).where("copies > 0").select(*docs.columns, "copies", "taken")
 
 
 STAGES = [

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.session import cut_lineage
@@ -84,7 +84,7 @@ def _block_rounder(seed: int, level: int):
     return run
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, limit: float = 3.0, seed: int = 17, block: int = 256, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, limit: float = 3.0, seed: int = 17, block: int = 256, keep: tuple[str, ...] = (), size: Column | None = None) -> DataFrame:
     """Copies of each document so that every source's words come to its target.
 
     Returns doc_id, the columns in ``keep``, source, size, source_size, target, copies, taken (copies times size), one row
@@ -94,9 +94,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float =
 
     Null text or no word: size 0, nothing taken. Null source: a source of its own, last. Null doc_id: dealt
     like any other. Repeated rows are rounded one by one. Empty table: no rows. Extra columns are ignored.
-    Draws depend on ``seed`` and the ids alone, so reruns and retried tasks agree.
+    Draws depend on ``seed`` and the ids alone, so reruns and retried tasks agree. ``size`` takes word counts that are there already; the text is not read then.
     """
-    sizes = cut_lineage(docs.select("doc_id", *keep, "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sizes = cut_lineage(docs.select("doc_id", *keep, "source", (word_count(F.col("text")) if size is None else size).alias("size")), "mix-sizes")
     src = cut_lineage(source_targets(sizes, weights, share, limit), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     to = src.select(F.col("source").alias("_s"), "n_docs", "source_size", "target", rate.alias("rate"))

@@ -1,5 +1,7 @@
 import importlib
+import re
 import sys
+from collections import Counter
 from pathlib import Path
 
 from helpers import components, repeats, words
@@ -61,6 +63,27 @@ def test_edge_rows_pass_through(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_mixed_texts_stay_in_their_blocks(spark):
+    pipe = importlib.import_module("corpus_pipeline")
+    rows = [(i % 700, " ".join(["word"] * (i % 9)), "en", "abc"[i % 3], i % 5) for i in range(1500)] + [(9, "the same row", "en", "a", 1)] * 40 + [(None, None, None, None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = pipe.source_mixing(spark, docs, SF)
+        moved = [part for part in out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted").split("\n\n") if re.match(r"\(\d+\) \w*Exchange", part)]
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert moved and not any("text#" in part.split("Arguments")[0] for part in moved)
+    # What the mix takes of equal rows is all on one of them.
+    want = Counter()
+    for r in pipe.mixing.mix(docs, keep=("text", "lang", "n_chars")).collect():
+        want[r.doc_id, r.text, r.lang, r.source, r.n_chars] += r.copies
+    assert {(r.doc_id, r.text, r.lang, r.source, r.n_chars): r.copies for r in got} == {k: n for k, n in want.items() if n} and len(got) == len({r[:5] for r in got})
+    assert all(r.taken == r.copies * len(words(r.text)) for r in got)
+
+
 def test_run_is_registered():
     entry = importlib.import_module("__spark_entry__")
     pipe = importlib.import_module("corpus_pipeline")
