@@ -35,6 +35,8 @@ FINE = 1024
 MEMBERS, SHINGLES, PIVOTS = 256, 500_000, 8
 #: Members of a cluster whose points one task compares at once, coordinates of the largest points that travel.
 COMPANY, WIDEST = 2048, 4096
+#: Texts whose sets a task holds at once, cells that it hands on at once.
+TEXTS, CELLS = 512, 1 << 17
 #: Ratio of the bounds of a size band.
 BAND = 1.5
 
@@ -221,7 +223,7 @@ def _deal(docs: DataFrame, rule: Rule, among=None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys, nodes, seen = [], [], set()
+            keys, nodes, seen, size = [], [], set(), 0
             for text in pdf["text"]:
                 own = shingles(text, rule.words)
                 if len(own) and (node := signature(own)) not in seen:
@@ -229,6 +231,10 @@ def _deal(docs: DataFrame, rule: Rule, among=None) -> DataFrame:
                     mine = block_keys(own, rule).view(np.int64)
                     keys.append(mine if among is None else mine[may_hold(among.value, mine)])
                     nodes.append(np.full(len(keys[-1]), node))
+                    size += len(keys[-1])
+                if size >= CELLS:
+                    yield pd.DataFrame({"cell": np.concatenate(keys), "node": np.concatenate(nodes)})
+                    keys, nodes, size = [], [], 0
             if keys:
                 yield pd.DataFrame({"cell": np.concatenate(keys), "node": np.concatenate(nodes)})
 
@@ -330,9 +336,9 @@ def components(docs: DataFrame, rule: Rule = Rule(), keep: tuple[str, ...] = ())
     rows; extra columns are ignored; texts are taken whole. Sets are told apart by 64-bit hashes.
     """
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sets = [shingles(t, rule.words) for t in pdf.pop("text")]
-            yield pdf.assign(n_shingles=[len(s) for s in sets], node=[signature(s) for s in sets], point=[packed(s) for s in sets])
+        for pdf in (batch.iloc[at : at + TEXTS] for batch in batches for at in range(0, len(batch), TEXTS)):
+            sets = [shingles(t, rule.words) for t in pdf["text"]]
+            yield pdf.drop(columns="text").assign(n_shingles=[len(s) for s in sets], node=[signature(s) for s in sets], point=[packed(s) for s in sets])
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep))

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import as_bag, components, corpus, prose, repeats, shingle_set, words
 
@@ -207,3 +208,20 @@ def test_texts_of_chance_meetings_are_not_moved(spark, monkeypatch):
     found = {r.doc_id: r.component_id for r in jaccard.components(frame(spark, rows), jaccard.Rule(5, 80, 100)).collect()}
     assert found == {i: 3 if i in (50, 51) else i for i, _ in rows}
     assert moved == [3]
+
+
+def test_cells_are_handed_on_in_small_frames(monkeypatch):
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    batch = pd.DataFrame({"text": [t for _, t in corpus(5)] * 2})
+    whole = pd.concat(jaccard._deal(Docs(), jaccard.Rule())(iter([batch])))
+    monkeypatch.setattr(jaccard, "CELLS", 100)
+    frames = list(jaccard._deal(Docs(), jaccard.Rule())(iter([batch])))
+    assert pd.concat(frames).values.tolist() == whole.values.tolist()
+    # Without its last document a frame is below the limit.
+    assert len(frames) > 1 and all((f["node"] != f["node"].iloc[-1]).sum() < 100 for f in frames)
